@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # fixed values: scripts whose runs are cut into overlapping character pairs
 PAIR_SCRIPTS = r"\p{IsHangul}\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+# no character below these ranges belongs to one of the scripts; a cheap first look
+MAYBE_PAIRS = r"[\u1100-\u11FF\u2E80-\x{10FFFF}]"
+WORD = r"[\p{L}\p{Nd}]+"
 TOKEN = rf"[{PAIR_SCRIPTS}]+|[\p{{L}}\p{{Nd}}&&[^{PAIR_SCRIPTS}]]+"
 
 # fixed values: decision markers in order of precedence (name, pattern)
@@ -25,8 +28,15 @@ EXTENDED_MARKERS = [
 ]
 
 # marker rules for Latin-script text, same structure: (name, pattern)
-LATIN_CORE_MARKERS = [("WILL", r"\b(the|der|les)\b"), ("SHALL", r"\b(and|und|des)\b"), ("DECIDE", r"\b(with|mit|aux)\b")]
-LATIN_EXTENDED_MARKERS = [("PLAN", r"\b(of|von|que)\b"), ("MUST", r"\b(is|ist|el)\b")]
+LATIN_CORE_MARKERS = [
+    ("WILL", r"(^|[^\p{L}])(the|der|les)([^\p{L}]|$)"),
+    ("SHALL", r"(^|[^\p{L}])(and|und|des)([^\p{L}]|$)"),
+    ("DECIDE", r"(^|[^\p{L}])(with|mit|aux)([^\p{L}]|$)"),
+]
+LATIN_EXTENDED_MARKERS = [
+    ("PLAN", r"(^|[^\p{L}])(of|von|que)([^\p{L}]|$)"),
+    ("MUST", r"(^|[^\p{L}])(is|ist|el)([^\p{L}]|$)"),
+]
 
 
 def is_blank(col: Column) -> Column:
@@ -41,16 +51,15 @@ def strip(col: Column) -> Column:
 
 def tokenize(col: Column) -> Column:
     """Lower-case tokens: words of letters and digits, character pairs for CJK runs."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    low = F.lower(F.coalesce(col, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
     def pieces(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
-        return F.when(
-            run.rlike(f"^[{PAIR_SCRIPTS}]") & (F.length(run) > 1), pairs
-        ).otherwise(F.array(run))
+        return F.when(run.rlike(f"^[{PAIR_SCRIPTS}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    # texts without such a run skip the second pass
-    return F.when(col.rlike(f"[{PAIR_SCRIPTS}]"), F.flatten(F.transform(runs, pieces))).otherwise(runs)
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.when(low.rlike(MAYBE_PAIRS), F.flatten(F.transform(runs, pieces))).otherwise(words)
 
 
 def sentences(col: Column, min_length: int = 11) -> Column:

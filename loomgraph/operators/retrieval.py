@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sentences, tokenize
 from loomgraph.operators.nearest import nearest_k
-from loomgraph.operators.scale import first_per_key, salted_join, top_k
+from loomgraph.operators.scale import first_per_key, salted_join, top_k, unnest
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -19,7 +19,7 @@ SNIPPET = 200
 
 def sentences_of(docs: DataFrame, id_col: str, text_col: str, min_length: int = 11) -> DataFrame:
     """One row per sentence, numbered from 1."""
-    parts = docs.select(id_col, F.posexplode(sentences(F.col(text_col), min_length)).alias("ordinal", "sentence"))
+    parts = unnest(docs, [id_col], sentences(F.col(text_col), min_length), "sentence", "ordinal")
     return parts.withColumn("ordinal", (F.col("ordinal") + 1).cast("long"))
 
 
@@ -33,11 +33,8 @@ def documents_with_phrase(
     """
     w = F.split(F.col(text_col), r"\s+")
     starts = F.sequence(F.lit(1), F.size("w") - words + 1)
-    grams = (
-        docs.select(id_col, w.alias("w"))
-        .where(F.size("w") >= words)
-        .select(id_col, F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, words), " "))).alias("g"))
-    )
+    runs = F.when(F.size("w") >= words, F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, words), " ")))
+    grams = unnest(docs.select(id_col, w.alias("w")), [id_col], runs, "g")
     wanted = phrases.select(F.col(phrase_id), F.col(phrase_col).alias("g")).where(F.size(F.split("g", " ")) == words)
     return salted_join(grams, wanted, ["g"], F.col(id_col)).select(phrase_id, id_col).distinct()
 
@@ -63,18 +60,19 @@ def text_index(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFram
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select(
         "n", (F.col("total") / F.col("n")).alias("avgdl")
     )
-    exploded = sized.select(id_col, "len", F.explode("tokens").alias("term"))
+    exploded = unnest(sized, [id_col, "len"], F.col("tokens"), "term")
     if only_terms is not None:
         exploded = salted_join(exploded, only_terms.select("term").distinct(), ["term"], F.col(id_col), "left_semi")
     postings = exploded.groupBy(id_col, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # reading tf keeps this branch equal to the postings branch, so both share one exchange
+    terms = postings.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     return TextIndex(id_col, postings, terms, totals)
 
 
 def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
     """Query tokens with their repeat count."""
     return (
-        queries.select(qid, F.explode(tokenize(F.col(text))).alias("term"))
+        unnest(queries, [qid], tokenize(F.col(text)), "term")
         .groupBy(qid, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )

@@ -26,6 +26,17 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
+def unnest(df: DataFrame, keep: Sequence, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per non-null element of ``array``, positions from 0.
+
+    The outer form plus a filter keeps Spark from evaluating a costly array expression a
+    second time in the emptiness filter it infers below a plain ``explode``.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(name).isNotNull())
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],

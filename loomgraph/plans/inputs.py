@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval, sections
-from loomgraph.sources.tables import read_table
+from loomgraph.operators.scale import unnest
+from loomgraph.sources.tables import read_table, read_texts
 
 # fixed reference time of every time-dependent query
 NOW = "TIMESTAMP_NTZ'2024-06-01 00:00:00'"
@@ -22,7 +23,7 @@ def hashed(col: str) -> Column:
 
 
 def v_doc(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").selectExpr(
+    return read_texts(spark, d).selectExpr(
         "doc_id",
         "source AS space",
         "concat(CASE WHEN doc_id % 97 = 0 THEN '20261345 ' "
@@ -49,9 +50,7 @@ def v_owner(spark: SparkSession, d: str) -> DataFrame:
 
 def v_block(spark: SparkSession, d: str) -> DataFrame:
     """One typed block per line, content as a nested JSON node."""
-    lines = read_table(spark, d, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")
-    )
+    lines = unnest(read_texts(spark, d), ["doc_id"], F.split("text", "\n"), "line", "position")
     return lines.selectExpr(
         "doc_id",
         "cast(position AS bigint) AS position",
@@ -108,7 +107,7 @@ def v_qvec(spark: SparkSession, d: str) -> DataFrame:
 def v_gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which the six query words occur in a row."""
     return retrieval.documents_with_phrase(
-        read_table(spark, d, "documents"), "doc_id", "text", v_query(spark, d), "qid", "q", words=6
+        read_texts(spark, d), "doc_id", "text", v_query(spark, d), "qid", "q", words=6
     )
 
 
@@ -127,7 +126,7 @@ def v_msg(spark: SparkSession, d: str) -> DataFrame:
         "turn",
     )
     copies = F.when((F.col("conv_id") + F.col("turn")) % 10 == 0, F.lit(2)).otherwise(F.lit(1))
-    return base.withColumn("delivery", F.explode(F.sequence(F.lit(1), copies)).cast("long"))
+    return base.withColumn("delivery", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
 
 
 def v_channel(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +159,7 @@ def v_thread_log(spark: SparkSession, d: str) -> DataFrame:
 
 def v_ledger(spark: SparkSession, d: str) -> DataFrame:
     return (
-        read_table(spark, d, "documents")
+        read_texts(spark, d)
         .where("doc_id % 3 = 0")
         .selectExpr(
             "CASE doc_id % 9 WHEN 0 THEN 'drive' WHEN 3 THEN 'tiro' ELSE 'meetily' END AS source",
@@ -326,7 +325,7 @@ def v_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 def v_human(spark: SparkSession, d: str) -> DataFrame:
     labels = read_table(spark, d, "labels")
-    docs = read_table(spark, d, "documents").select("doc_id", "n_chars")
+    docs = read_texts(spark, d).select("doc_id", "n_chars")
     return labels.join(docs, "doc_id").selectExpr(
         "doc_id",
         "concat('sys', doc_id % 2) AS system",
@@ -337,7 +336,7 @@ def v_human(spark: SparkSession, d: str) -> DataFrame:
 
 def v_claim(spark: SparkSession, d: str) -> DataFrame:
     """Third sentence of a document with every second word dropped."""
-    third = retrieval.sentences_of(read_table(spark, d, "documents"), "doc_id", "text").where("ordinal = 3")
+    third = retrieval.sentences_of(read_texts(spark, d), "doc_id", "text").where("ordinal = 3")
     words = F.split("sentence", r"\s+")
     kept = F.filter(words, lambda w, i: i % 2 == 0)
     return third.select(

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import tokenize as tok
 from loomgraph.operators import retrieval as R
+from loomgraph.operators.scale import salted_join, unnest
 from loomgraph.plans import inputs as I
 from loomgraph.plans.oracle_views import NOW, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.sources.tables import read_table
+from loomgraph.sources.tables import read_table, read_texts
 
 PLANS = Plans()
 K = 10
 
-CORPUS = F.concat_ws(" ", "statement", "subject", "predicate", "object")
+CORPUS = "concat_ws(' ', statement, subject, predicate, object)"
 
 EXTRA = {
     "v_tok": r"""
@@ -77,7 +79,7 @@ def sql(text: str) -> str:
 
 
 def docs(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return read_texts(spark, d).select("doc_id", "text")
 
 
 def full_index(spark, d):
@@ -91,18 +93,13 @@ def doc_scores(spark, d):
 
 @PLANS.add("tokenize", sql("SELECT doc_id, term, count(*) AS n FROM v_tok GROUP BY doc_id, term"))
 def tokenize(spark, d):
-    from loomgraph.functions.text import tokenize as tok
-
-    return docs(spark, d).select("doc_id", F.explode(tok(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    tokens = unnest(docs(spark, d), ["doc_id"], tok(F.col("text")), "term")
+    return tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @PLANS.add("bm25_index", sql("SELECT p.doc_id, p.term, p.tf, p.len, t.df, a.n, round(a.avgdl, 6) AS avgdl FROM v_post p JOIN v_term t USING (term), v_total a"))
 def bm25_index(spark, d):
     ix = full_index(spark, d)
-    from loomgraph.operators.scale import salted_join
-
     return salted_join(ix.postings, ix.terms, ["term"], F.col("doc_id")).select(
         "doc_id", "term", "tf", "len", "df",
         ix.totals.select("n").scalar().alias("n"),
