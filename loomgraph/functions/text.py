@@ -39,6 +39,11 @@ LATIN_EXTENDED_MARKERS = [
 ]
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(col: Column) -> Column:
     """Null, empty or white space only."""
     return F.coalesce(F.trim(F.regexp_replace(col, r"\s+", " ")) == "", F.lit(True))

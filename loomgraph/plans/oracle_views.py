@@ -94,7 +94,7 @@ SELECT 'C' || conv_id % 5 AS channel_id,
   role AS user_id,
   CASE WHEN (conv_id * 8 + turn) % 37 = 0 THEN '  ' ELSE text END AS text,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS created_at,
-  conv_id, turn, delivery
+  conv_id, turn, CAST(delivery AS BIGINT) AS delivery
 FROM conversations, (SELECT unnest([1, 2]) AS delivery)
 WHERE delivery = 1 OR (conv_id + turn) % 10 = 0"""
 

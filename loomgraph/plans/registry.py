@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "documents")
+MODULES = ("search", "documents", "graph")
 
 
 class Plans:
