@@ -198,3 +198,38 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, name: str
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key in ``order``."""
     return top_k(df, keys, order, 1, "__first").drop("__first")
+
+
+def break_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, fields: Sequence[str], starts_new, name: str
+) -> DataFrame:
+    """Number the runs of each key, where a run ends as soon as ``starts_new(prev, cur)`` holds.
+
+    ``prev`` and ``cur`` are structs of ``fields``. Neighbours inside a bucket are compared in
+    a window; across buckets only each bucket's first and last row and its number of breaks
+    are compared, so no task holds a whole key.
+    """
+    keys = list(keys)
+    row = F.struct(*fields)
+    inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
+    src = df.withColumn(BUCKET, bucket).withColumn("__cur", row)
+    local = src.withColumn("__prev", F.lag("__cur").over(inside)).withColumn(
+        "__br", F.when(F.col("__prev").isNotNull() & starts_new(F.col("__prev"), F.col("__cur")), 1).otherwise(0)
+    )
+    at = F.struct(*order)
+    per = local.groupBy(*keys, BUCKET).agg(
+        F.min_by("__cur", at).alias("__first"), F.max_by("__cur", at).alias("__last"), F.sum("__br").alias("__n")
+    )
+    across = W.partitionBy(*keys).orderBy(BUCKET)
+    prev = F.lag("__last").over(across)
+    heads = per.withColumn("__pl", prev).withColumn(
+        "__open", F.when(F.col("__pl").isNull() | starts_new(F.col("__pl"), F.col("__first")), 1).otherwise(0)
+    )
+    base = F.sum(F.col("__n") + F.col("__open")).over(across.rowsBetween(W.unboundedPreceding, -1))
+    heads = heads.select(*keys, BUCKET, (F.coalesce(base, F.lit(0)) + F.col("__open")).alias("__base"))
+    running = F.sum("__br").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (
+        local.withColumn("__run", running)
+        .join(heads, [*keys, BUCKET])
+        .select(*df.columns, (F.col("__base") + F.col("__run")).cast("long").alias(name))
+    )
