@@ -71,15 +71,15 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
 
 
-def day_bucket(ts: Column) -> Column:
-    """Calendar day: a long-lived key is handled day by day."""
-    return F.to_date(ts)
+def hour_bucket(ts: Column) -> Column:
+    """Hour of the time: a long-lived or busy key is handled hour by hour."""
+    return F.date_trunc("hour", ts)
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: float, name: str = "session") -> DataFrame:
     """Session number per row: a row starts a session when the previous one is at least ``gap_seconds`` older."""
     return break_groups(
-        rows, keys, [ts, tie], day_bucket(F.col(ts)), [ts],
+        rows, keys, [ts, tie], hour_bucket(F.col(ts)), [ts],
         lambda prev, cur: seconds_between(prev[ts], cur[ts]) >= gap_seconds, name,
     )
 
@@ -169,7 +169,7 @@ def revision_squash(revisions: DataFrame, window_seconds: float = 600) -> DataFr
         )
 
     runs = break_groups(
-        revisions, ["document_id"], ["created_at", "event_id"], day_bucket(F.col("created_at")),
+        revisions, ["document_id"], ["created_at", "event_id"], hour_bucket(F.col("created_at")),
         ["editor_id", "cause", "created_at"], new, "revision",
     )
     at = F.struct("created_at", "event_id")
@@ -212,7 +212,7 @@ def status_fold(events: DataFrame, bucket: Column | None = None) -> DataFrame:
         *[x for name, m in MOVES.items() for x in (F.lit(name), F.array(*[F.lit(s) for s in m]))]
     )
     step = F.coalesce(F.try_element_at(moves, action), F.array(*[F.lit(s) for s in MOVES["none"]]))
-    rows = events.withColumn("__b", bucket if bucket is not None else day_bucket(F.col("ts"))).withColumn("__m", step)
+    rows = events.withColumn("__b", bucket if bucket is not None else hour_bucket(F.col("ts"))).withColumn("__m", step)
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "__m")))
     identity = F.array(*[F.lit(s) for s in MOVES["none"]])
     composed = F.aggregate(ordered, identity, lambda acc, e: F.transform(acc, lambda s: F.get(e["__m"], s)))
