@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "documents", "graph", "lifecycle", "modelio", "datasets")
+MODULES = ("search", "documents", "graph", "lifecycle", "modelio", "datasets", "evaluation")
 
 
 class Plans:
