@@ -72,7 +72,8 @@ class EntityRules:
 
 
 def collapse(col: Column) -> Column:
-    return F.regexp_replace(strip(col), r"\s+", " ")
+    """White space runs as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
 def normalize_entity(raw: Column, rules: EntityRules = EntityRules()) -> Column:

@@ -46,12 +46,12 @@ def bind(value: Column, body) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(F.trim(F.regexp_replace(col, r"\s+", " ")) == "", F.lit(True))
+    return ~F.coalesce(col.rlike(r"\S"), F.lit(False))
 
 
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.trim(col, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokenize(col: Column) -> Column:

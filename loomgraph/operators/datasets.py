@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import is_blank, tokenize
@@ -113,7 +114,8 @@ def split_balance(rows: DataFrame, split: str, label: str, labels: list[str], fl
 def resplit_docs(rows: DataFrame, doc: str, n_eval: int = 60, n_dev: int = 10) -> DataFrame:
     """The first ``n_eval`` documents go to eval, the next ``n_dev`` to dev, the rest to train."""
     head = rows.select(doc).distinct().orderBy(doc).limit(n_eval + n_dev)
-    ordered = bucketed_row_number(head, F.lit(0), [doc], "__pos")
+    # at most n_eval + n_dev rows are numbered
+    ordered = head.withColumn("__pos", F.row_number().over(W.orderBy(doc)))
     side = ordered.select(doc, F.when(F.col("__pos") <= n_eval, "eval").otherwise("dev").alias("split"))
     return rows.join(side, doc, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
@@ -208,8 +210,6 @@ def length_stats(rows: DataFrame, length: Column, limit: int, empty: Column) ->
 
     Equal lengths are counted together first, so the ordered scan runs over distinct lengths.
     """
-    from pyspark.sql import Window as W
-
     per = rows.select(length.alias("len"), empty.alias("e")).groupBy("len").agg(
         F.count(F.lit(1)).alias("c"), F.count_if("e").alias("e")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import sentences, tokenize
 from loomgraph.operators.nearest import nearest_k
 from loomgraph.operators.scale import first_per_key, salted_join, top_k, unnest
+from loomgraph.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -41,32 +42,36 @@ def documents_with_phrase(
 
 @dataclass
 class TextIndex:
-    """Postings (doc, term, tf, len), term counts (term, df) and one row of totals (n, avgdl)."""
+    """Postings (doc, term, tf, len, kept columns), term counts (term, df), one row of totals (n, avgdl)."""
 
-    id_col: str
+    keys: list[str]
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
-def text_index(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None = None) -> TextIndex:
-    """Inverted index of a text column.
+def text_index(
+    docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> TextIndex:
+    """Inverted index of a text column; ``keep`` columns ride along in the postings.
 
-    With ``only_terms`` (column ``term``) postings of other terms are dropped before the
-    shuffle; totals still cover every document.
+    With ``only_terms`` (column ``term``) other terms are dropped before anything is
+    shuffled; totals still cover every document. All tokens of a document come from one row,
+    so the partial counts are complete before the shuffle.
     """
-    tokens = docs.select(F.col(id_col), tokenize(F.col(text_col)).alias("tokens"))
-    sized = tokens.select(id_col, F.size("tokens").cast("long").alias("len"), "tokens")
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).select(
+    keys = [id_col, *keep]
+    tokens = docs.select(*keys, tokenize(F.col(text_col)).alias("tokens"))
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens").cast("long")).alias("total")).select(
         "n", (F.col("total") / F.col("n")).alias("avgdl")
     )
-    exploded = unnest(sized, [id_col, "len"], F.col("tokens"), "term")
+    sized = tokens.select(*keys, F.size("tokens").cast("long").alias("len"), "tokens")
+    exploded = unnest(sized, [*keys, "len"], F.col("tokens"), "term")
     if only_terms is not None:
         exploded = salted_join(exploded, only_terms.select("term").distinct(), ["term"], F.col(id_col), "left_semi")
-    postings = exploded.groupBy(id_col, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = exploded.groupBy(*keys, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     # reading tf keeps this branch equal to the postings branch, so both share one exchange
     terms = postings.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    return TextIndex(id_col, postings, terms, totals)
+    return TextIndex(keys, postings, terms, totals)
 
 
 def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -117,12 +122,15 @@ def bm25_okapi_scores(
 
 
 def _score(index: TextIndex, weighted: DataFrame, qid: str, avgdl: Column, k1: float, b: float) -> DataFrame:
+    # written out, the weights have a known size: Spark broadcasts them when they are small and
+    # otherwise joins on (term, salt)
+    weights = materialize(weighted, "query-weights")
     tf = F.col("tf")
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / avgdl))
-    hits = salted_join(index.postings, weighted, ["term"], F.col(index.id_col))
+    hits = salted_join(index.postings, weights, ["term"], F.col(index.keys[0]))
     return (
-        hits.select(qid, index.id_col, part.alias("part"))
-        .groupBy(qid, index.id_col)
+        hits.select(qid, *index.keys, part.alias("part"))
+        .groupBy(qid, *index.keys)
         .agg(F.round(F.sum("part"), 6).alias("score"))
         .where("score > 0")
     )
@@ -136,13 +144,10 @@ def bm25_search(
     The index is restricted to the query terms before its shuffle.
     """
     wanted = query_terms(queries, qid, q)
-    index = text_index(docs, id_col, text_col, wanted)
-    scores = bm25_scores(index, queries, qid, q)
-    order = [F.desc("score")]
-    if newest:
-        scores = scores.join(docs.select(id_col, newest), id_col)
-        order.append(F.desc(newest))
-    return top_k(scores, [qid], [*order, F.col(id_col)], k)
+    keep = (newest,) if newest else ()
+    index = text_index(docs, id_col, text_col, wanted, keep)
+    order = [F.desc("score"), *[F.desc(c) for c in keep], F.col(id_col)]
+    return top_k(bm25_scores(index, queries, qid, q), [qid], order, k)
 
 
 def latest_n(docs: DataFrame, created: str, id_col: str, n: int) -> DataFrame:
@@ -247,15 +252,16 @@ def expand_one_hop(
     Neighbours follow newest first with score 0 until ``total`` rows; seeds are never cut.
     ``triples``: triple_id, subject, object, event_at and a ``corpus`` text column.
     """
-    top = bm25_search(triples, "triple_id", "corpus", queries, qid, q, seeds, newest="event_at").select(
-        qid, "triple_id", "score", "rank"
-    )
+    top = bm25_search(triples, "triple_id", "corpus", queries, qid, q, seeds, newest="event_at")
+    # a few rows per query, used four times below; written out, their size is known to the joins
+    top = materialize(top.select(qid, "triple_id", "score", "rank"), "seeds")
     ends = triples.select("triple_id", "subject", "object")
     entities = (
         top.join(ends, "triple_id")
         .select(qid, F.explode(F.array("subject", "object")).alias("entity"))
         .distinct()
     )
+    entities = materialize(entities, "seed-entities")
     found = None
     for side in ("subject", "object"):
         side_rows = triples.select("triple_id", "event_at", F.col(side).alias("entity"))

@@ -17,7 +17,7 @@ from loomgraph.plans import modelio as PM
 from loomgraph.plans import search
 from loomgraph.plans.oracle_views import hashed, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
 LABELS = ["answerable", "answerable_paired", "unanswerable", "unanswerable_hard"]
@@ -135,7 +135,7 @@ SELECT doc_id, chunk, CASE WHEN r <= 60 THEN 'eval' WHEN r <= 70 THEN 'dev' ELSE
 FROM (SELECT doc_id, chunk, dense_rank() OVER (ORDER BY doc_id) AS r FROM v_pack)"""),
 )
 def resplit_docs(spark, d):
-    return DS.resplit_docs(P.paragraph_pack(read_texts(spark, d), PD.PACK), "doc_id").select("doc_id", "chunk", "split")
+    return DS.resplit_docs(P.paragraph_pack(read_spread(spark, d), PD.PACK), "doc_id").select("doc_id", "chunk", "split")
 
 
 @PLANS.add(
@@ -250,7 +250,7 @@ SELECT count(*) AS n, list_sort(list(length(text)))[count(*) // 2 + 1] AS median
   max(length(text)) AS max, count(*) FILTER (WHERE length(text) > 8000) AS over_limit, count(*) FILTER (WHERE trim(text) = '') AS empty FROM documents""",
 )
 def length_stats(spark, d):
-    return DS.length_stats(read_texts(spark, d), F.length("text"), 8000, F.trim("text") == "")
+    return DS.length_stats(read_spread(spark, d), F.length("text"), 8000, F.trim("text") == "")
 
 
 @PLANS.add(

@@ -13,9 +13,9 @@ from loomgraph.operators import sections as S
 from loomgraph.plans import inputs as I
 from loomgraph.plans.oracle_views import NOW, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.session import fresh_path
+from loomgraph.session import fresh_path, materialize
 from loomgraph.sources.jsonl import read_jsonl, write_jsonl
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
 PACK = 1500
@@ -188,7 +188,7 @@ def thread_flatten(spark, d):
 
 
 def incoming(spark, d):
-    return read_texts(spark, d).selectExpr(
+    return read_spread(spark, d).selectExpr(
         "doc_id AS item_id",
         "CASE doc_id % 9 WHEN 0 THEN 'drive' WHEN 3 THEN 'tiro' ELSE 'meetily' END AS source",
         "concat('ref-', doc_id) AS ref",
@@ -229,7 +229,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS
 FROM v_block WHERE trim(line) <> ''"""),
 )
 def paragraph_blocks(spark, d):
-    return G.paragraph_blocks(read_texts(spark, d))
+    return G.paragraph_blocks(read_spread(spark, d))
 
 
 @PLANS.add(
@@ -267,7 +267,7 @@ def markdown_docs(spark, d):
         11: "concat('![x](http://h/', i, ')')", 12: "concat('### ', x)",
     }
     case = " ".join(f"WHEN {k} THEN {v}" for k, v in rule.items())
-    return read_texts(spark, d).selectExpr(
+    return read_spread(spark, d).selectExpr(
         "doc_id", f"array_join(transform(split(text, '\\n'), (x, i) -> CASE i % 13 {case} ELSE x END), '\\n') AS text"
     )
 
@@ -470,13 +470,13 @@ def fixed_chunks(spark, d):
 
 @PLANS.add("paragraph_pack", sql("SELECT * FROM v_pack"))
 def paragraph_pack(spark, d):
-    return P.paragraph_pack(read_texts(spark, d), PACK)
+    return P.paragraph_pack(read_spread(spark, d), PACK)
 
 
 def doc_sentences(spark, d):
     from loomgraph.operators.retrieval import sentences_of
 
-    return sentences_of(read_texts(spark, d), "doc_id", "text")
+    return sentences_of(read_spread(spark, d), "doc_id", "text")
 
 
 @PLANS.add("sentence_split", sql("SELECT doc_id, ordinal, sentence FROM v_sentence"))
@@ -497,7 +497,7 @@ WITH RECURSIVE r AS (
 SELECT doc_id, chunk, 'S' || lpad(CAST(n AS VARCHAR), 3, '0') AS sentence_id, sentence, start, start + length(sentence) AS "end" FROM r"""),
 )
 def sentence_number(spark, d):
-    return P.number_sentences(P.paragraph_pack(read_texts(spark, d), PACK), ["doc_id", "chunk"])
+    return P.number_sentences(P.paragraph_pack(read_spread(spark, d), PACK), ["doc_id", "chunk"])
 
 
 def tagged(spark, d):
@@ -524,7 +524,7 @@ FROM v_pack LEFT JOIN (SELECT doc_id, chunk, count(*) AS n, string_agg('- ' || s
 (SELECT unnest(['off', 'hint', 'filter']) AS mode) WHERE mode <> 'filter' OR n > 0"""),
 )
 def gate_chunks(spark, d):
-    chunks = P.paragraph_pack(read_texts(spark, d), PACK)
+    chunks = P.paragraph_pack(read_spread(spark, d), PACK)
     parts = [
         P.gate_chunks(chunks, m, core=LATIN_CORE_MARKERS, extended=LATIN_EXTENDED_MARKERS).select(
             F.lit(m).alias("mode"), "doc_id", "chunk", "body"
@@ -546,7 +546,8 @@ FROM v_doc d LEFT JOIN (
   FROM v_chunk a FULL JOIN v_chunk_old b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal GROUP BY 1) USING (doc_id)"""),
 )
 def chunk_diff(spark, d):
-    return S.chunk_diff(I.v_chunk(spark, d), I.v_chunk_old(spark, d), I.v_doc(spark, d))
+    chunks = materialize(I.v_chunk(spark, d), "chunks")
+    return S.chunk_diff(chunks, I.v_chunk_old(chunks), I.v_doc(spark, d))
 
 
 @PLANS.add(
@@ -557,7 +558,7 @@ SELECT doc_id, ordinal, heading_path, len(embedding) AS dims FROM v_chunk WHERE
   JOIN v_chunk_old b ON a.doc_id = b.doc_id AND a.ordinal = b.ordinal GROUP BY a.doc_id) USING (doc_id) WHERE status <> 'DRAFT' AND ok)"""),
 )
 def chunk_reuse(spark, d):
-    chunks = I.v_chunk(spark, d)
-    actions = S.chunk_diff(chunks, I.v_chunk_old(spark, d), I.v_doc(spark, d))
+    chunks = materialize(I.v_chunk(spark, d), "chunks")
+    actions = S.chunk_diff(chunks, I.v_chunk_old(chunks), I.v_doc(spark, d))
     rows = S.reuse_embeddings(actions, chunks.drop("embedding"), chunks)
     return rows.select("doc_id", "ordinal", "heading_path", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dims"))

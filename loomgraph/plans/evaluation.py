@@ -15,7 +15,8 @@ from loomgraph.plans import inputs as I
 from loomgraph.plans import search
 from loomgraph.plans.oracle_views import hashed, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.session import materialize
+from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
 GRADES = ["confirmed", "conditional", "intended", "proposed", "needed", "none"]
@@ -70,8 +71,13 @@ def sql(text: str) -> str:
     return oracle(text, EXTRA)
 
 
+def stored_scores(spark, d):
+    """Scores of a run, written once: the metrics read them twice."""
+    return materialize(search.doc_scores(spark, d), "scores")
+
+
 def ranks(spark, d):
-    return E.known_item_rank(I.v_query(spark, d), search.doc_scores(spark, d), I.v_gold(spark, d))
+    return E.known_item_rank(I.v_query(spark, d), stored_scores(spark, d), I.v_gold(spark, d))
 
 
 @PLANS.add("known_item_rank", sql("SELECT * FROM v_rank"))
@@ -94,12 +100,13 @@ def hit_at_k(spark, d):
 count(*) FILTER (WHERE NOT coalesce(a.rank <= 10, false) AND coalesce(b.rank <= 10, false)) AS gained FROM v_rank a JOIN v_wrank b USING (qid)"""),
 )
 def rank_guardrail(spark, d):
-    scores = search.doc_scores(spark, d)
+    scores = stored_scores(spark, d)
     weights = read_table(spark, d, "labels").selectExpr("doc_id", f"cast({PG.DOC_WEIGHT} AS double) AS weight")
     w = F.coalesce("weight", F.lit(0.7))
     weighted = scores.join(weights, "doc_id", "left").withColumn("score", F.round(F.col("score") * (0.4 + 0.6 * w), 6)).select("qid", "doc_id", "score")
     after = E.known_item_rank(I.v_query(spark, d), weighted, I.v_gold(spark, d))
-    return E.rank_guardrail(ranks(spark, d), after)
+    before = E.known_item_rank(I.v_query(spark, d), scores, I.v_gold(spark, d))
+    return E.rank_guardrail(before, after)
 
 
 @PLANS.add(
@@ -226,7 +233,7 @@ def marker_loss(spark, d):
 
 
 def overlap(spark, d):
-    return E.token_overlap(I.v_claim(spark, d), read_texts(spark, d), LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS)
+    return E.token_overlap(I.v_claim(spark, d), read_spread(spark, d), LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS)
 
 
 @PLANS.add(

@@ -16,7 +16,7 @@ from loomgraph.plans import search
 from loomgraph.plans.oracle_views import hashed, oracle
 from loomgraph.plans.registry import Plans
 from loomgraph.session import materialize
-from loomgraph.sources.tables import read_table
+from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
 ROLES = TR.Roles(
@@ -144,7 +144,7 @@ def raw(spark, d):
 
 
 def raw_triples(spark, d):
-    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = read_spread(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     parts = raw(spark, d)
     return line.join(parts, line.l_partkey == parts.p_partkey).selectExpr(
         "l_orderkey AS document_id", "l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordinal",

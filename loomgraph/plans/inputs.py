@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval, sections
 from loomgraph.operators.scale import unnest
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.sources.tables import read_table, read_spread
 
 # fixed reference time of every time-dependent query
 NOW = "TIMESTAMP_NTZ'2024-06-01 00:00:00'"
@@ -23,7 +23,7 @@ def hashed(col: str) -> Column:
 
 
 def v_doc(spark: SparkSession, d: str) -> DataFrame:
-    return read_texts(spark, d).selectExpr(
+    return read_spread(spark, d).selectExpr(
         "doc_id",
         "source AS space",
         "concat(CASE WHEN doc_id % 97 = 0 THEN '20261345 ' "
@@ -50,7 +50,7 @@ def v_owner(spark: SparkSession, d: str) -> DataFrame:
 
 def v_block(spark: SparkSession, d: str) -> DataFrame:
     """One typed block per line, content as a nested JSON node."""
-    lines = unnest(read_texts(spark, d), ["doc_id"], F.split("text", "\n"), "line", "position")
+    lines = unnest(read_spread(spark, d), ["doc_id"], F.split("text", "\n"), "line", "position")
     return lines.selectExpr(
         "doc_id",
         "cast(position AS bigint) AS position",
@@ -79,9 +79,9 @@ def v_chunk(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def v_chunk_old(spark: SparkSession, d: str) -> DataFrame:
+def v_chunk_old(chunks: DataFrame) -> DataFrame:
     """Stored version of the chunks, changed in three known ways."""
-    return v_chunk(spark, d).selectExpr(
+    return chunks.selectExpr(
         "doc_id",
         "ordinal",
         "CASE WHEN doc_id % 6 = 1 THEN concat('old > ', heading_path) ELSE heading_path END AS heading_path",
@@ -107,7 +107,7 @@ def v_qvec(spark: SparkSession, d: str) -> DataFrame:
 def v_gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which the six query words occur in a row."""
     return retrieval.documents_with_phrase(
-        read_texts(spark, d), "doc_id", "text", v_query(spark, d), "qid", "q", words=6
+        read_spread(spark, d), "doc_id", "text", v_query(spark, d), "qid", "q", words=6
     )
 
 
@@ -159,7 +159,7 @@ def v_thread_log(spark: SparkSession, d: str) -> DataFrame:
 
 def v_ledger(spark: SparkSession, d: str) -> DataFrame:
     return (
-        read_texts(spark, d)
+        read_spread(spark, d)
         .where("doc_id % 3 = 0")
         .selectExpr(
             "CASE doc_id % 9 WHEN 0 THEN 'drive' WHEN 3 THEN 'tiro' ELSE 'meetily' END AS source",
@@ -194,12 +194,12 @@ def v_status_event(spark: SparkSession, d: str) -> DataFrame:
 
 def v_triple(spark: SparkSession, d: str) -> DataFrame:
     """Edges order–customer, customer–nation, nation–region and order–part."""
-    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = read_spread(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, d, "nation")
     region = read_table(spark, d, "region")
     part = read_table(spark, d, "part").select("p_partkey", "p_name")
-    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = read_spread(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
     wide = (
         orders.join(cust, orders.o_custkey == cust.c_custkey)
@@ -237,7 +237,7 @@ def v_triple(spark: SparkSession, d: str) -> DataFrame:
 
 def v_decision_triple(spark: SparkSession, d: str) -> DataFrame:
     """Reified decision nodes, one node per order, grouped into documents of customers."""
-    orders = read_table(spark, d, "orders")
+    orders = read_spread(spark, d, "orders")
     cust = read_table(spark, d, "customer").select("c_custkey", "c_name")
     rows = orders.join(cust, orders.o_custkey == cust.c_custkey)
     return rows.selectExpr(
@@ -325,7 +325,7 @@ def v_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 def v_human(spark: SparkSession, d: str) -> DataFrame:
     labels = read_table(spark, d, "labels")
-    docs = read_texts(spark, d).select("doc_id", "n_chars")
+    docs = read_spread(spark, d).select("doc_id", "n_chars")
     return labels.join(docs, "doc_id").selectExpr(
         "doc_id",
         "concat('sys', doc_id % 2) AS system",
@@ -336,7 +336,7 @@ def v_human(spark: SparkSession, d: str) -> DataFrame:
 
 def v_claim(spark: SparkSession, d: str) -> DataFrame:
     """Third sentence of a document with every second word dropped."""
-    third = retrieval.sentences_of(read_texts(spark, d), "doc_id", "text").where("ordinal = 3")
+    third = retrieval.sentences_of(read_spread(spark, d), "doc_id", "text").where("ordinal = 3")
     words = F.split("sentence", r"\s+")
     kept = F.filter(words, lambda w, i: i % 2 == 0)
     return third.select(

@@ -10,7 +10,7 @@ from loomgraph.plans import inputs as I
 from loomgraph.plans.oracle_views import NOW, oracle
 from loomgraph.plans.registry import Plans
 from loomgraph.session import fresh_path
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.sources.tables import read_table, read_spread
 from loomgraph.streaming import archive as SA
 from loomgraph.streaming import stateful as SS
 
@@ -200,7 +200,7 @@ SELECT source, doc_id, CASE WHEN oks - ok > 0 THEN 'done' WHEN ok = 1 THEN 'ok'
   WINDOW w AS (PARTITION BY source ORDER BY doc_id))""",
 )
 def poison_filter(spark, d):
-    attempts = read_texts(spark, d).selectExpr("source", "doc_id", "text AS body")
+    attempts = read_spread(spark, d).selectExpr("source", "doc_id", "text AS body")
     rows = L.poison_filter(attempts, "source", "doc_id", F.floor(F.col("doc_id") / 10_000), min_body=6000)
     return rows.select("source", "doc_id", "route", F.length("body").cast("long").alias("n_chars"))
 

@@ -16,7 +16,7 @@ from loomgraph.plans import inputs as I
 from loomgraph.plans import lifecycle as PL
 from loomgraph.plans.oracle_views import hashed, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.sources.tables import read_table, read_texts
+from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
 PROMPT = "Extract decisions as JSON.\n%s\nEnd."
@@ -70,7 +70,7 @@ SELECT doc_id, chunk, 'Extract decisions as JSON.' || chr(10) || text || chr(10)
 JOIN (SELECT DISTINCT doc_id, chunk FROM v_packsent WHERE length(sentence) > 10 AND {PD.MARK} IS NOT NULL) USING (doc_id, chunk)"""),
 )
 def extraction_prompts(spark, d):
-    chunks = P.paragraph_pack(read_texts(spark, d), PD.PACK)
+    chunks = P.paragraph_pack(read_spread(spark, d), PD.PACK)
     gated = P.gate_chunks(chunks, "filter", core=LATIN_CORE_MARKERS, extended=LATIN_EXTENDED_MARKERS)
     return MI.extraction_prompts(gated, PROMPT).select("doc_id", "chunk", "prompt")
 
@@ -232,7 +232,7 @@ def claims(spark, d):
 
 
 def resolved(spark, d):
-    first = P.paragraph_pack(read_texts(spark, d), PD.PACK).where("chunk = 1")
+    first = P.paragraph_pack(read_spread(spark, d), PD.PACK).where("chunk = 1")
     return MI.resolve_citations(claims(spark, d), P.number_sentences(first, ["doc_id"]), ["doc_id"])
 
 
@@ -260,7 +260,7 @@ SELECT doc_id, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN contains(text, tr
 
 
 def evidence(spark, d):
-    docs = read_texts(spark, d)
+    docs = read_spread(spark, d)
     second = PD.doc_sentences(spark, d).where("ordinal = 2")
     rows = second.selectExpr(
         "doc_id",

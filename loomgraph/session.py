@@ -32,6 +32,7 @@ def local_session(cpus: str = "*", name: str = "loomgraph", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
     )
     spark = configure(builder.getOrCreate())

@@ -29,8 +29,8 @@ def read_jdbc(
     )
 
 
-def read_texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
-    """A table whose text column is costly to process, spread over all cores.
+def read_spread(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are costly to process, spread over all cores.
 
     A small file arrives in one or two tasks while the work per row is high. Only then the
     rows are redistributed; a table with at least one split per core is left as it is, so a
