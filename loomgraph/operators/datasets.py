@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import is_blank, tokenize
+from loomgraph.functions.text import tokenize
 from loomgraph.operators.scale import bucketed_row_number, first_per_key, hash_row_number, top_k
 
 # fixed values: question templates

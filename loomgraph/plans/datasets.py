@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import datasets as DS
 from loomgraph.operators import documents as D
-from loomgraph.operators import modelio as MI
 from loomgraph.operators import passages as P
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import triples as TR
@@ -203,7 +202,7 @@ SELECT 'unanswerable_hard', qid, doc_id, score, rank FROM (SELECT qid, doc_id, s
   FROM v_score WHERE qid IN (SELECT qid FROM v_gold) AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM v_gold)) WHERE rank <= 20"""),
 )
 def hard_negatives(spark, d):
-    return DS.hard_negatives(search.doc_scores(spark, d), I.v_gold(spark, d))
+    return DS.hard_negatives(search.stored_scores(spark, d), search.stored_gold(spark, d))
 
 
 def judged(spark, d):

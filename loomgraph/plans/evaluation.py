@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS, marker
-from loomgraph.operators import datasets as DS
 from loomgraph.operators import evaluation as E
-from loomgraph.operators import retrieval as R
 from loomgraph.plans import datasets as PDS
 from loomgraph.plans import documents as PD
 from loomgraph.plans import graph as PG
@@ -15,7 +13,6 @@ from loomgraph.plans import inputs as I
 from loomgraph.plans import search
 from loomgraph.plans.oracle_views import hashed, oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.session import materialize
 from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
@@ -71,13 +68,8 @@ def sql(text: str) -> str:
     return oracle(text, EXTRA)
 
 
-def stored_scores(spark, d):
-    """Scores of a run, written once: the metrics read them twice."""
-    return materialize(search.doc_scores(spark, d), "scores")
-
-
 def ranks(spark, d):
-    return E.known_item_rank(I.v_query(spark, d), stored_scores(spark, d), I.v_gold(spark, d))
+    return E.known_item_rank(I.v_query(spark, d), search.stored_scores(spark, d), search.stored_gold(spark, d))
 
 
 @PLANS.add("known_item_rank", sql("SELECT * FROM v_rank"))
@@ -100,12 +92,12 @@ def hit_at_k(spark, d):
 count(*) FILTER (WHERE NOT coalesce(a.rank <= 10, false) AND coalesce(b.rank <= 10, false)) AS gained FROM v_rank a JOIN v_wrank b USING (qid)"""),
 )
 def rank_guardrail(spark, d):
-    scores = stored_scores(spark, d)
+    scores, gold = search.stored_scores(spark, d), search.stored_gold(spark, d)
     weights = read_table(spark, d, "labels").selectExpr("doc_id", f"cast({PG.DOC_WEIGHT} AS double) AS weight")
     w = F.coalesce("weight", F.lit(0.7))
     weighted = scores.join(weights, "doc_id", "left").withColumn("score", F.round(F.col("score") * (0.4 + 0.6 * w), 6)).select("qid", "doc_id", "score")
-    after = E.known_item_rank(I.v_query(spark, d), weighted, I.v_gold(spark, d))
-    before = E.known_item_rank(I.v_query(spark, d), scores, I.v_gold(spark, d))
+    after = E.known_item_rank(I.v_query(spark, d), weighted, gold)
+    before = E.known_item_rank(I.v_query(spark, d), scores, gold)
     return E.rank_guardrail(before, after)
 
 

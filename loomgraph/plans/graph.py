@@ -13,7 +13,7 @@ from loomgraph.operators import transe as TE
 from loomgraph.operators import triples as TR
 from loomgraph.plans import inputs as I
 from loomgraph.plans import search
-from loomgraph.plans.oracle_views import hashed, oracle
+from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
 from loomgraph.session import materialize
 from loomgraph.sources.tables import read_table, read_spread

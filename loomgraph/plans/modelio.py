@@ -14,7 +14,7 @@ from loomgraph.plans import documents as PD
 from loomgraph.plans import graph as PG
 from loomgraph.plans import inputs as I
 from loomgraph.plans import lifecycle as PL
-from loomgraph.plans.oracle_views import hashed, oracle
+from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
 from loomgraph.sources.tables import read_table, read_spread
 

@@ -8,10 +8,10 @@ from loomgraph.functions.text import tokenize as tok
 from loomgraph.operators import retrieval as R
 from loomgraph.operators.scale import salted_join, unnest
 from loomgraph.plans import inputs as I
-from loomgraph.plans.oracle_views import NOW, oracle
+from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
 from loomgraph.session import materialize
-from loomgraph.sources.tables import read_table, read_spread
+from loomgraph.sources.tables import read_spread
 
 PLANS = Plans()
 K = 10
@@ -92,6 +92,16 @@ def doc_scores(spark, d):
     return R.bm25_scores(R.text_index(docs(spark, d), "doc_id", "text", wanted), I.v_query(spark, d), "qid", "q")
 
 
+def stored_scores(spark, d):
+    """Scores of a run, written once: the metrics read them more than once."""
+    return materialize(doc_scores(spark, d), "scores")
+
+
+def stored_gold(spark, d):
+    """Gold documents, written once: a few rows per query, so their joins know their size."""
+    return materialize(I.v_gold(spark, d), "gold")
+
+
 @PLANS.add("tokenize", sql("SELECT doc_id, term, count(*) AS n FROM v_tok GROUP BY doc_id, term"))
 def tokenize(spark, d):
     tokens = unnest(docs(spark, d), ["doc_id"], tok(F.col("text")), "term")
