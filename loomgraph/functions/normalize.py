@@ -16,13 +16,9 @@ SENTENCE_ENDINGS = [
     "하기로 함", "하기로 했", "하지 않아요", "않는다", "않았다", "된다", "됐다", "되었다", "됩니다", "됐습니다",
     "함", "했음", "였음", "됨", "임", "인가요", "할까요", "나요", "을까요", "ㄹ까요",
 ]
-# fixed values: spelling variants (lower case) and the name they stand for
+# fixed values: spelling variants (lower case) and the name they stand for; the names of an
+# organisation are its own data and come in through EntityRules(aliases=...)
 ALIASES = {
-    "엠와이소셜컴퍼니": "MYSC",
-    "(주)엠와이소셜컴퍼니": "MYSC",
-    "주식회사 엠와이소셜컴퍼니": "MYSC",
-    "mysc": "MYSC",
-    "엠와이씨소셜컴퍼니": "MYSC",
     "팀 전체": "팀",
     "우리 팀": "팀",
     "전체 팀": "팀",

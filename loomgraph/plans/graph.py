@@ -51,7 +51,7 @@ def sql_predicate(x: str) -> str:
 # the same texts for both engines; only string concatenation and arithmetic
 RAW_ENTITY = (
     "CASE {k} % 9 WHEN 0 THEN '  ' || p_name || '   .' WHEN 1 THEN p_name || ' 합니다.' WHEN 2 THEN p_name || '님' "
-    "WHEN 3 THEN p_name || p_name || p_name || p_name || p_name WHEN 4 THEN '김철수(momo)' WHEN 5 THEN '엠와이소셜컴퍼니' "
+    "WHEN 3 THEN p_name || p_name || p_name || p_name || p_name WHEN 4 THEN '김철수(momo)' WHEN 5 THEN '우리  팀' "
     "WHEN 6 THEN p_name || ', ' || p_brand WHEN 7 THEN p_brand || ' · Inc.' ELSE '선생님' END"
 )
 RAW_PREDICATE = (
