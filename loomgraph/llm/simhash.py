@@ -83,11 +83,12 @@ def fingerprint_rows(docs: DataFrame, keep: dict[str, Column], text_col: str = "
     """The columns ``keep`` of every row and its fingerprint ``fp`` (the 64 bits as a long)."""
     src = docs.select(*(c.alias(k) for k, c in keep.items()), docs[text_col].cast("string").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    names = schema.names
 
     def run(batches):
         for batch in batches:
             found = fingerprint_column(batch.column(batch.num_columns - 1), n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=names)
 
     return src.mapInArrow(run, schema)
 
