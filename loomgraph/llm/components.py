@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.session import materialize
@@ -36,3 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return labels
+
+
+def no_rows(spark: SparkSession, **types: str) -> DataFrame:
+    """An empty table with these columns."""
+    return spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in types.items()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, quality_rules, sharding, simhash
+from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash
 from loomgraph.sources.tables import read_table
 
 
@@ -14,6 +14,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark")
+    return decontaminate.decontamination_report(read_table(spark, sf_dir, "documents"), items)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,6 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op5_mixing, op7_quality_rules, op8_simhash_near_dedup)
+    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup)
 }
 SQL: dict[str, str] = {}
