@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash, token_files
+from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
 
 
@@ -31,7 +32,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer)
+    return token_files.token_digest(token_files.read_tokens(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup)
+    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup, op10_token_files)
 }
 SQL: dict[str, str] = {}
