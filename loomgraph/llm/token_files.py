@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from loomgraph.llm.textarrays import slices, text_bytes
 END_ID = 1
 PIECE = 4 << 20
 #: Words that a worker keeps with their ids; others are encoded once per piece. Bounds the worker's memory only.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 700_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -38,6 +38,14 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 _workers: dict[str, WordEncoder] = {}
 
 
+class Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class WordEncoder:
     """Ids of words that hold no white space; a text's ids are those of its words in turn."""
 
@@ -47,10 +55,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = self._splits_at_marks()
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.flat = np.zeros(0, np.int32)  # ids of the kept words in a row, and how many each has
         self.size = np.zeros(0, np.int64)
-        self.parts: dict[str, list[int]] = {}
 
     def _splits_at_marks(self) -> bool:
         """May letters and the marks behind them be encoded apart, past normalisation? Asked of the vocabulary itself."""
@@ -74,15 +81,15 @@ class WordEncoder:
     def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(words)
         whole = []
+        parts: dict[str, list[int]] = {}
         for k, word in enumerate(words):
             found = _PLAIN(word.decode()) if self.plain else None
             if found:
-                ids = self.parts.get(found[1].lower())
-                if ids is None:
-                    ids = self._part(found[1].lower())
-                    if len(self.parts) < KEPT_WORDS:
-                        self.parts[found[1].lower()] = ids
-                out[k] = ids + self._part(found[2]) if found[2] else ids
+                letters, marks = found[1].lower(), found[2]
+                for part in (letters, marks) if marks else (letters,):
+                    if part not in parts:
+                        parts[part] = self._part(part)
+                out[k] = parts[letters] + parts[marks] if marks else parts[letters]
             else:
                 whole.append(k)
         encoded = self.tokenizer.encode_batch_fast([words[k].decode() for k in whole], add_special_tokens=False)
@@ -100,16 +107,9 @@ class WordEncoder:
             own = body[a:b].split()
             count[k] = len(own)
             words += own
-        get = self.place.get
-        codes = [get(w, -1) for w in words]
-        code = np.array(codes, np.int64)
         kept = len(self.size)
-        unknown = np.flatnonzero(code < 0).tolist()
-        lacking = list(dict.fromkeys(words[k] for k in unknown))
-        encoded = self.encode(lacking)
-        fresh = {w: kept + k for k, w in enumerate(lacking)}
-        for k in unknown:
-            code[k] = fresh[words[k]]
+        code = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        encoded = self.encode(list(islice(self.place, kept, None)))
         # an end id behind the last word of each text
         size = np.r_[self.size, np.array([len(e) for e in encoded], np.int64)]
         flat = np.r_[self.flat, np.array(list(chain.from_iterable(encoded)), np.int32), np.int32(end_id)]
@@ -125,10 +125,10 @@ class WordEncoder:
         total = np.cumsum(size)
         at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - size), size)
         n_ids = np.diff(np.r_[0, total[ends]]) if len(ends) else np.zeros(0, np.int64)
-        room = lacking[: max(0, KEPT_WORDS - kept)]
-        self.place.update((w, kept + k) for k, w in enumerate(room))
-        self.size = known[: kept + len(room)]
-        self.flat = flat[: starts[kept + len(room)]]
+        while len(self.place) > max(kept, KEPT_WORDS):
+            self.place.popitem()  # the latest
+        self.size = known[: len(self.place)]
+        self.flat = flat[: starts[len(self.place)]]
         return flat[at], n_ids
 
 
