@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash, token_files
+from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash, substring_dedup, token_files
 from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
 
@@ -32,6 +32,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +46,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup, op10_token_files)
+    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup, op9_substring_dedup, op10_token_files)
 }
 SQL: dict[str, str] = {}

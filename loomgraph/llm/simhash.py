@@ -40,19 +40,13 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     """XXH64 of every n-word shingle of some texts and, per text, the number of its shingles."""
     words = Words(LOWER[data], offsets)
     size = words.end - words.start
-    # the words anew with one space after each, so that a shingle is a slice
-    at = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size + 1, out=at[1:])
-    flat = np.full(int(at[-1]), 0x20, np.uint8)
-    source = np.arange(int(size.sum())) + np.repeat(words.start - (at[:-1] - np.arange(len(size))), size)
-    target = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
-    flat[target] = words.data[source]
+    flat, begins, ends = words.joined()  # a shingle is a slice of it
     count = np.where(words.count >= n, words.count - n + 1, np.minimum(words.count, 1))
     span = np.minimum(words.count, n)
     first = np.arange(int(count.sum())) + np.repeat(words.first[:-1] - (np.cumsum(count) - count), count)
     last = first + np.repeat(span, count) - 1
     body, digest = flat.tobytes(), xxhash.xxh64_intdigest
-    begin, end = at[first].tolist(), (at[last] + size[last]).tolist() if len(last) else []
+    begin, end = begins[first].tolist(), ends[last].tolist()
     found = np.fromiter((digest(body[a:b], SEED) for a, b in zip(begin, end)), np.uint64, len(begin))
     return found, count
 

@@ -106,6 +106,15 @@ class Words:
         sums = prefix_hash(self.data.astype(np.uint64) + np.uint64(1))
         return ranges(sums, self.start, self.end)
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins and ends there."""
+        size = self.end - self.start
+        begin = np.cumsum(size + 1) - (size + 1)
+        flat = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(begin, size) + within] = self.data[np.repeat(self.start, size) + within]
+        return flat, begin, begin + size
+
     def of_text(self) -> np.ndarray:
         """Number of the text that each word belongs to."""
         return np.repeat(np.arange(len(self.count)), self.count)
