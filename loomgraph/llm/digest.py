@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash, substring_dedup, token_files
+from loomgraph.llm import decontaminate, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
 from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
 
@@ -24,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op7_quality_rules, op8_simhash_near_dedup, op9_substring_dedup, op10_token_files)
+    f.__name__: f for f in (op1_sharding, op4_decontamination, op5_mixing, op6_suffix_array_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_substring_dedup, op10_token_files)
 }
 SQL: dict[str, str] = {}

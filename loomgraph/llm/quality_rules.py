@@ -37,7 +37,7 @@ SHARES = tuple(f"covered_{n}" for n in MAX_COVERED) + ("dup_line_share",)
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts and shares of each text of a piece."""
     n = len(offsets) - 1
-    sums = prefix_hash(data.astype(np.uint64) + np.uint64(1))
+    sums = prefix_hash(data + np.uint64(1))
     words = Words(data, offsets)
     letters = np.zeros(len(data) + 1, np.int64)  # code points so far: bytes that do not continue one
     np.cumsum((data & 0xC0) != 0x80, out=letters[1:])

@@ -29,7 +29,7 @@ PIECE = 1 << 20
 #: Runs of one anchor from which on its windows are counted by digest.
 HOT = 20_000
 #: Bytes of packed strings that a task compares at once; the runs of one anchor stay together.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 PLACE_BITS = np.uint64(21)
 
 
@@ -40,7 +40,7 @@ class ByteUnits:
         self.data, self.first, self.n = data, offsets, len(data)
 
     def sums(self) -> np.ndarray:
-        return prefix_hash(self.data.astype(np.uint64) + np.uint64(1))
+        return prefix_hash(self.data + np.uint64(1))
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.arange(self.n + 1)

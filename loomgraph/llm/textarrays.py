@@ -33,7 +33,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
@@ -43,7 +43,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """Running polynomial sums; ``ranges`` turns them into hashes of any range."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(len(values))[0], out=out[1:])
+    np.multiply(values, powers(len(values))[0], out=out[1:], casting="unsafe")
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -103,7 +104,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        sums = prefix_hash(self.data.astype(np.uint64) + np.uint64(1))
+        sums = prefix_hash(self.data + np.uint64(1))
         return ranges(sums, self.start, self.end)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
