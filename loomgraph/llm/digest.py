@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
+import corpus_pipeline
+from loomgraph.llm import decontaminate, language_id, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
 from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
 
@@ -15,6 +16,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -54,6 +59,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_line_dedup, op4_decontamination, op5_mixing, op6_suffix_array_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_substring_dedup, op10_token_files)
-}
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_language_id,
+        op3_line_dedup,
+        op4_decontamination,
+        op5_mixing,
+        op6_suffix_array_dedup,
+        op7_quality_rules,
+        op8_simhash_near_dedup,
+        op9_substring_dedup,
+        op10_token_files,
+    )
+} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}

@@ -131,46 +131,58 @@ def close_at(planes: np.ndarray, wanted: np.ndarray, lag: int, radius: int) -> n
     return place[word] * 64 + bit
 
 
-def joined(group: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by group: the first row that each row is linked to, over links inside the group."""
+def joined(group: np.ndarray, values: np.ndarray, radii: tuple[int, ...] = (RADIUS,)) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by group: links that join the rows of a group just as all pairs in reach would.
+
+    Links within the first radius are taken first, and so on, so rows are joined over the nearest ones.
+    """
     n = len(values)
     parent = np.arange(n)
-    size = np.bincount(group, minlength=int(group[-1]) + 1 if n else 0)
-    rows = np.flatnonzero(size[group] > 1)
-    lag, upto = 1, 1
-    while len(rows):
-        sub, own = group[rows], values[rows]
-        planes = bit_planes(own)
-        most = int(size[sub].max())
-        while lag < min(upto + 1, most):
-            same = np.zeros(planes.shape[1] * 64, np.uint8)
-            if lag < len(sub):
-                same[: len(sub) - lag] = sub[lag:] == sub[:-lag]
-            found = close_at(planes, np.packbits(same, bitorder="little").view(np.uint64), lag, radius)
-            if len(found):
+    links: list[tuple[int, int]] = []
+    size = np.bincount(group, minlength=1)
+    for radius in radii:
+        rows, lag, upto = _open_rows(np.flatnonzero(size[group] > 1), group, parent), 1, 1
+        while len(rows):
+            sub = group[rows]
+            planes = bit_planes(values[rows])
+            most = int(size[sub].max())
+            while lag < min(upto + 1, most):
+                same = np.zeros(planes.shape[1] * 64, np.uint8)
+                if lag < len(sub):
+                    same[: len(sub) - lag] = sub[lag:] == sub[:-lag]
+                found = close_at(planes, np.packbits(same, bitorder="little").view(np.uint64), lag, radius)
                 a, b = rows[found], rows[found + lag]
                 apart = np.flatnonzero(parent[a] != parent[b])
                 if len(apart):
-                    for x, y in zip(parent[a[apart]].tolist(), parent[b[apart]].tolist()):
-                        _unite(parent, x, y)
+                    for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                        if _unite(parent, x, y):
+                            links.append((x, y))
                     _flatten(parent)
-            lag += 1
-        # go on with the groups that have rows further apart and are not one set yet
-        root = parent[rows]
-        first = np.flatnonzero(np.r_[True, sub[1:] != sub[:-1]])
-        one = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
-        done = np.repeat(one, np.diff(np.r_[first, len(rows)]))
-        rows = rows[~done & (size[sub] > lag)]
-        upto = 2 * upto
-    return parent
-
-
-def _unite(parent: np.ndarray, x: int, y: int) -> None:
+                lag += 1
+            # go on with the groups that have rows further apart and are not one set yet
+            rows = _open_rows(rows[size[sub] > lag], group, parent)
+            upto = 2 * upto
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _open_rows(rows: np.ndarray, group: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The given rows less the groups that are one set already."""
+    if not len(rows):
+        return rows
+    own, root = group[rows], parent[rows]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    one = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+    return rows[~np.repeat(one, np.diff(np.r_[first, len(rows)]))]
+
+
+def _unite(parent: np.ndarray, x: int, y: int) -> bool:
     while parent[x] != x:
         x = parent[x]
     while parent[y] != y:
         y = parent[y]
     parent[max(x, y)] = min(x, y)
+    return x != y
 
 
 def _flatten(parent: np.ndarray) -> None:
@@ -212,35 +224,44 @@ def _dealt(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.mask", "k.bits", "fp")
 
 
-def _links_in_buckets(dealt: DataFrame, radius: int) -> DataFrame:
-    """One link per fingerprint that is joined to an earlier one of its bucket."""
+def linked_rows(dealt: DataFrame, keys: list[str], node: str, radii: tuple[int, ...]) -> DataFrame:
+    """Links ``(a, b)`` of nodes with close fingerprints ``fp`` among the rows that agree on ``keys`` (integers)."""
+    width = len(keys)
+    kind = dealt.schema[node].dataType
 
     def run(batches):
-        def links(mask, bits, fp):
-            edge = np.r_[False, (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])]
-            root = joined(np.cumsum(edge), fp.view(np.uint64), radius)
-            own = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[root[own]])], names=["a", "b"])
-
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        def links(table: pa.Table) -> pa.RecordBatch:
+            own = [table.column(k).to_numpy() for k in range(width)]
+            edge = np.zeros(len(table), bool)
+            for key in own:
+                edge[1:] |= key[1:] != key[:-1]
+            fp = table.column(width).to_numpy().astype(np.int64).view(np.uint64)
+            a, b = joined(np.cumsum(edge), fp, radii)
+            nodes = table.column(width + 1).combine_chunks()
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+        held, size = [], 0
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            if len(held[0]) >= AT_ONCE:
+            held.append(batch)
+            size += len(batch)
+            if size >= AT_ONCE:
                 # the last bucket may go on in the next batch
-                mask, bits = held[0], held[1]
-                cut = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))
-                if len(cut):
-                    cut = int(cut[-1]) + 1
-                    yield links(*(h[:cut] for h in held))
-                    held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield links(*held)
-
-    return (
-        dealt.repartition("mask", "bits")
-        .sortWithinPartitions("mask", "bits", "fp")
-        .mapInArrow(run, "a long, b long")
-    )
+                table = pa.Table.from_batches(held)
+                other = np.zeros(size, bool)
+                for k in range(width):
+                    key = table.column(k).to_numpy()
+                    other |= key != key[-1]
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                if cut:
+                    yield links(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                size -= cut
+        if size:
+            yield links(pa.Table.from_batches(held))
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    rows = dealt.select(*keys, "fp", F.col(node).alias("__node"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, schema)
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
@@ -251,8 +272,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, split_over: int = SP
     size = dealt.groupBy("mask", "bits").count()
     large = materialize(size.where(F.col("count") > split_over).select("mask", "bits"), "large-buckets")
     if large.isEmpty():
-        return _links_in_buckets(dealt, radius)
-    usual = _links_in_buckets(dealt.join(large, ["mask", "bits"], "left_anti"), radius)
+        return linked_rows(dealt, ["mask", "bits"], "fp", (radius,))
+    usual = linked_rows(dealt.join(large, ["mask", "bits"], "left_anti"), ["mask", "bits"], "fp", (radius,))
     hot = dealt.join(large, ["mask", "bits"]).select("mask", "fp")
     per = radius + 1
     again = F.explode(
@@ -274,7 +295,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, split_over: int = SP
             F.col("mask") + 1,
         )
     )
-    return usual.union(_links_in_buckets(hot.select(again.alias("k"), "fp").select("k.mask", "k.bits", "fp"), radius))
+    finest = hot.select(again.alias("k"), "fp").select("k.mask", "k.bits", "fp")
+    return usual.union(linked_rows(finest, ["mask", "bits"], "fp", (radius,)))
 
 
 def fingerprint_classes(rows: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
@@ -300,22 +322,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(per_fp, "fp").select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each class the row with the smallest (id, text digest) stays.
-
-    A null id counts as the largest; of wholly equal rows one stays. All columns are returned as they are.
-    """
-    digest = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("\0")))
-    rows = materialize(fingerprint_rows(docs, {"id": docs[id_col], "digest": digest}, text_col), "fingerprint-rows")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest")))
-    first = rows.groupBy("fp").agg(best.alias("first"))
-    chosen = fingerprint_classes(rows, radius).join(first, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
-    numbered = docs.select("*", digest.alias("__own"))
-    kept = numbered.join(chosen, numbered[id_col].eqNullSafe(chosen["__id"]) & (numbered["__own"] == chosen["__digest"]))
-    twice = rows.groupBy("id", "digest").count().where("count > 1").limit(1)
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["__id", "__digest"])
-    return kept.select(*docs.columns)
