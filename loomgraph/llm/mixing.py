@@ -50,10 +50,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("all", F.sum("source_size").over(whole) * F.lit(float(share)))
         .withColumn("cut", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
         .withColumn("rest", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+        .withColumn("turn", F.row_number().over(order))
         .withColumn("level", (F.col("all") - F.col("cut")) / F.col("rest"))
         # the first source that stays below its limit sets the level of all behind it
         .withColumn("fits", F.col("level") * F.col("weight") <= F.col("most"))
-        .withColumn("at", F.min(F.when(F.col("fits"), F.struct(F.col("most") / F.col("weight"), "level"))).over(whole))
+        .withColumn("at", F.min(F.when(F.col("fits"), F.struct(F.col("turn"), F.col("level")))).over(whole))
     )
     level = F.coalesce(F.col("at.level"), F.lit(float("inf")))
     return found.select(
