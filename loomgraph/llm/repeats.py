@@ -8,8 +8,10 @@ windows of a text fall into runs that share one minimiser, its anchor:
 3. the other runs travel, each as one packed string, to the bucket of their anchor, where windows are compared;
 4. windows found twice go back to their texts.
 
-Equal texts take part once, with their number. An anchor with more than ``hot`` runs (a passage in a large share of all
-texts) is not brought into one task: its windows are counted by digest, with partial sums before the shuffle.
+Equal texts take part once, with their number, and in a bucket so do equal strings. An anchor whose different strings
+exceed ``LARGE`` bytes is counted by window hashes in its task; one with more than ``hot`` runs (a passage in a large
+share of all texts) is not brought into one task at all: its windows are counted by digest, with partial sums before the
+shuffle. Texts are shuffled once, compressed.
 """
 
 from __future__ import annotations
@@ -18,18 +20,24 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm.textarrays import Words, prefix_hash, slices, text_bytes, windows
 from loomgraph.session import materialize
 
 PIECE = 1 << 20
-#: Runs of one anchor from which on its windows are counted by digest.
-HOT = 20_000
+#: Runs of one anchor from which on its windows are counted outside its bucket.
+HOT = 200_000
 #: Bytes of packed strings that a task compares at once; the runs of one anchor stay together.
 AT_ONCE = 2 << 20
+#: Bytes of different strings up to which a bucket is compared by the operator's own method.
+LARGE = 4 << 20
 PLACE_BITS = np.uint64(21)
 
 
@@ -124,6 +132,24 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def zipped(keyed: DataFrame) -> DataFrame:
+    """The rows with their text compressed, for the shuffle."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["doc", "key", "text"])
+
+    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("text", T.BinaryType())])
+    return keyed.select("doc", "key", "text").mapInArrow(run, schema)
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    restore = zstandard.ZstdDecompressor().decompress
+    return pa.array([restore(t) for t in column.to_pylist()], pa.binary())
+
+
 def _runs(keyed: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -147,8 +173,7 @@ def _packed(texts: DataFrame, plan: Plan, single: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            column = batch.column(3)
-            for a, b, data, offsets in pieces(column):
+            for a, b, data, offsets in pieces(unzipped(batch.column(3))):
                 units = plan.units(data, offsets)
                 flat, begin, end = units.packed()
                 lists = batch.column(2).slice(a, b - a)
@@ -186,13 +211,30 @@ def _packed(texts: DataFrame, plan: Plan, single: bool) -> DataFrame:
 def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
     """(key, begin, end) of stretches of windows that occur again, from all runs of each anchor."""
 
+    def by_hash(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        out = []
+        for a, b in slices(offsets, PIECE):
+            units = plan.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            own = n[a:b]
+            at = np.repeat(units.first[:-1] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            out.append(windows(units.sums(), plan.window)[at])
+        _, name = np.unique(np.concatenate(out), return_inverse=True)
+        return np.bincount(name, weights=np.repeat(copies, n))[name] > 1
+
     def found(table: pa.Table) -> pa.RecordBatch:
-        column = table.column("packed").combine_chunks()
-        data, offsets = text_bytes(column)
         n, start = table.column("n").to_numpy(), table.column("start").to_numpy()
-        again = plan.again(data, offsets, n, table.column("copies").to_numpy())
+        # equal strings once, with the number of their texts; they have the same windows
+        strings = np.array(table.column("packed").to_pylist(), dtype=object)
+        which, different = pd.factorize(strings)
+        first = np.flatnonzero(~pd.Series(which).duplicated().to_numpy())
+        copies = np.bincount(which, weights=table.column("copies").to_numpy())
+        data, offsets = text_bytes(pa.array(different.tolist(), pa.binary()))
+        compare = plan.again if len(data) <= LARGE else by_hash
+        twice = compare(data, offsets, n[first], copies)
+        begin = np.cumsum(n[first]) - n[first]
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
+        again = twice[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(len(row))]
         row, place = row[again], place[again]
         edge = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)] if len(row) else np.zeros(0, bool)
         at = np.flatnonzero(edge)
@@ -234,7 +276,7 @@ def _cut(table: pa.Table, anchor: np.ndarray) -> Iterator[pa.Table]:
     """Whole anchors of about ``AT_ONCE`` bytes at a time."""
     if not len(anchor):
         return
-    length = np.cumsum(pa.compute.binary_length(table.column("packed")).to_numpy())
+    length = np.cumsum(pc.binary_length(table.column("packed")).to_numpy())
     edges = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
     a, base = 0, 0
     for e, following in zip(edges, [*edges[1:], None]):
@@ -245,13 +287,13 @@ def _cut(table: pa.Table, anchor: np.ndarray) -> Iterator[pa.Table]:
 
 def _counted(single: DataFrame) -> DataFrame:
     """The same from windows by themselves: a count per digest, with partial sums before the shuffle."""
-    each = single.select("key", "copies", "start", F.unhex(F.sha2("packed", 256)).alias("window"))
+    each = single.select("key", "copies", "start", F.unhex(F.md5("packed")).alias("window"))
     twice = each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     return each.join(twice, "window").select("key", F.col("start").alias("begin"), (F.col("start") + 1).alias("end"))
 
 
 def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    """Rows ``(doc, key, text, copies, stretches)``, one per row of ``docs``.
+    """Rows ``(doc, key, text, copies, stretches)``, one per row of ``docs``; ``text`` is for ``unzipped``.
 
     ``stretches`` lists (begin, end) ranges of windows that start elsewhere too, null if there are none. They are left
     out for a text that occurs as a whole more than once (``copies``): all its windows repeat.
@@ -265,12 +307,13 @@ def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, plan: Plan)
         keyed.groupBy("key").agg(F.min("doc").alias("of"), F.count("*").alias("copies")), "copies"
     )
     shared = runs.join(anchors, "anchor")
+    dense = zipped(keyed)
 
     def packed(rows: DataFrame, single: bool) -> DataFrame:
         per_text = rows.groupBy("key").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("runs"))
         per_text = per_text.join(copies, "key")
         # of equal texts the one with the smallest id takes part
-        texts = keyed.join(per_text, "key").where(F.col("doc").eqNullSafe(F.col("of")))
+        texts = dense.join(per_text, "key").where(F.col("doc").eqNullSafe(F.col("of")))
         return _packed(texts, plan, single)
 
     found = _compared(packed(shared.where("NOT hot"), False), plan)
@@ -279,7 +322,7 @@ def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, plan: Plan)
     stretches = found.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
     own = copies.select("key", "copies").join(stretches, "key", "left").where("copies > 1 OR stretches IS NOT NULL")
     own = own.withColumn("stretches", F.when(F.col("copies") == 1, F.col("stretches")))
-    return keyed.join(own, "key", "left")
+    return dense.join(own, "key", "left")
 
 
 def removed(units, stretches: pa.ListArray, copies: np.ndarray, window: int) -> np.ndarray:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.repeats import HOT, Plan, WordUnits, pieces, removed, repeated_stretches
+from loomgraph.llm.repeats import HOT, Plan, WordUnits, pieces, removed, repeated_stretches, unzipped
 from loomgraph.llm.textarrays import Words
 
 WINDOW = 35
-GRAM = 8
+GRAM = 4
 
 
 def window_names(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, Words]:
@@ -75,7 +75,7 @@ def substring_report(
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
+            for a, b, data, offsets in pieces(unzipped(batch.column(1))):
                 units = WordUnits(data, offsets)
                 copies = batch.column(2).slice(a, b - a).fill_null(1).to_numpy()
                 gone = removed(units, batch.column(3).slice(a, b - a), copies, window)

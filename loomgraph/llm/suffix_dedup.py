@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.repeats import HOT, ByteUnits, Plan, pieces, removed, repeated_stretches
+from loomgraph.llm.repeats import HOT, ByteUnits, Plan, pieces, removed, repeated_stretches, unzipped
 from loomgraph.llm.suffix_array import Suffixes
-from loomgraph.llm.textarrays import prefix_hash, ranges, sums_by
+from loomgraph.llm.textarrays import sums_by
 
 WINDOW = 400
 GRAM = 64
@@ -26,29 +26,22 @@ APART = 0xFF
 
 def occur_again(window: int):
     def again(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        # equal strings once, with the number of their texts
-        keys = ranges(prefix_hash(data + np.uint64(1)), offsets[:-1], offsets[1:])
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        which = which.ravel()
-        total = np.bincount(which, weights=copies, minlength=len(first))
-        size = np.diff(offsets)[first]
+        size = np.diff(offsets)
         at = np.cumsum(size + 1) - (size + 1)
         text = np.full(int((size + 1).sum()), APART, np.uint8)
         within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        text[np.repeat(at, size) + within] = data[np.repeat(offsets[first], size) + within]
+        text[np.repeat(at, size) + within] = data[np.repeat(offsets[:-1], size) + within]
+        begins = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        weight = np.zeros(len(text), np.float64)
+        weight[begins] = np.repeat(copies, n)
 
         suffixes = Suffixes(text, window)
-        count = n[first]  # windows of each different string
-        weight = np.zeros(len(text), np.float64)
-        begins = np.repeat(at, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        weight[begins] = np.repeat(total, count)
         order = suffixes.array()
         order = order[weight[order] > 0]
         family = np.cumsum(~suffixes.neighbours_agree(order)) - 1
         found = np.zeros(len(text), bool)
         found[order] = np.bincount(family, weights=weight[order], minlength=1)[family] > 1
-        row = np.repeat(np.arange(len(n)), n)
-        return found[at[which[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+        return found[begins]
 
     return again
 
@@ -77,7 +70,7 @@ def suffix_report(
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
+            for a, b, data, offsets in pieces(unzipped(batch.column(1))):
                 copies = batch.column(2).slice(a, b - a).fill_null(1).to_numpy()
                 gone = removed(ByteUnits(data, offsets), batch.column(3).slice(a, b - a), copies, window)
                 begins = gone.copy()

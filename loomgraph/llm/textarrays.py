@@ -22,7 +22,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept by the worker process."""
     if len(_powers[0]) < n:
-        size = 1 << max(16, n - 1).bit_length()
+        size = max(n, 1 << 16) * 5 // 4
         for k, base in enumerate((BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

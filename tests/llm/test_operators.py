@@ -20,6 +20,7 @@ from loomgraph.llm import (  # noqa: E402
     mixing,
     near_copies,
     quality_rules,
+    repeats,
     sharding,
     simhash,
     substring_dedup,
@@ -212,8 +213,9 @@ def spans(gone):
     return sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_suffix_arrays(docs, nothing, hot):
+@pytest.mark.parametrize("hot, large", [(10_000, 1 << 22), (10_000, 0), (1, 0)])
+def test_suffix_arrays(docs, nothing, hot, large, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", large)
     window = 60
     texts = [(r[1] or "").encode() for r in B.ROWS]
     gone = dict(zip(texts, B.repeated(texts, window)))
@@ -242,8 +244,9 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_substrings(docs, nothing, hot):
+@pytest.mark.parametrize("hot, large", [(10_000, 1 << 22), (10_000, 0), (1, 0)])
+def test_substrings(docs, nothing, hot, large, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", large)
     window = 9
     texts = [tuple(B.words(r[1])) for r in B.ROWS]
     gone = dict(zip(texts, B.repeated(texts, window)))
