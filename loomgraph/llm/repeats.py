@@ -85,7 +85,8 @@ class Plan:
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    # the outer default never applies; it tells Spark that keys are not null, which spares a filter
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text, F.lit("")))), F.lit(b""))
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -312,8 +313,10 @@ def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, plan: Plan)
     def packed(rows: DataFrame, single: bool) -> DataFrame:
         per_text = rows.groupBy("key").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("runs"))
         per_text = per_text.join(copies, "key")
-        # of equal texts the one with the smallest id takes part
-        texts = dense.join(per_text, "key").where(F.col("doc").eqNullSafe(F.col("of")))
+        # of equal texts the one with the smallest id takes part; two inequalities, since an equality would be taken for
+        # a join key and the texts shuffled once more
+        first = (F.col("doc") <= F.col("of")) & (F.col("doc") >= F.col("of")) | F.col("doc").isNull() & F.col("of").isNull()
+        texts = dense.join(per_text, "key").where(first)
         return _packed(texts, plan, single)
 
     found = _compared(packed(shared.where("NOT hot"), False), plan)
