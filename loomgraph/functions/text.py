@@ -27,16 +27,32 @@ EXTENDED_MARKERS = [
     ("NECESSITY", "[가-힣]야\\s*(하|한|합|해|했|할|됩|돼)"),
 ]
 
-# marker rules for Latin-script text, same structure: (name, pattern)
+
+
+def _words(*forms: str) -> str:
+    """Any of the forms as whole words, in either case of the first letter."""
+    return r"(?i)(^|[^\p{L}])(" + "|".join(forms) + r")([^\p{L}]|$)"
+
+
+# fixed values: decision markers of English, German, French and Spanish in order of precedence (name, pattern)
 LATIN_CORE_MARKERS = [
-    ("WILL", r"(^|[^\p{L}])(the|der|les)([^\p{L}]|$)"),
-    ("SHALL", r"(^|[^\p{L}])(and|und|des)([^\p{L}]|$)"),
-    ("DECIDE", r"(^|[^\p{L}])(with|mit|aux)([^\p{L}]|$)"),
-]
+    ("WILL", _words("will", "wird", "werden", "werde", "va", "vont", "allons", "va a", "vamos a", "van a")),
+    ("SHALL", _words("shall", "soll", "sollen", "devra", "devront", "deberá", "deberán")),
+    ("DECIDE", _words(
+        "decided", "agreed", "resolved", "beschlossen", "entschieden", "vereinbart", "décidé", "convenu", "decidido",
+        "acordado", "decidimos", "acordamos",
+    )),
+]
 LATIN_EXTENDED_MARKERS = [
-    ("PLAN", r"(^|[^\p{L}])(of|von|que)([^\p{L}]|$)"),
-    ("MUST", r"(^|[^\p{L}])(is|ist|el)([^\p{L}]|$)"),
-]
+    ("PLAN", _words(
+        "plan to", "plans to", "planned", "intend to", "geplant", "planen", "prévu", "prévoit", "prévoyons", "previsto",
+        "planeado", "prevemos",
+    )),
+    ("MUST", _words(
+        "must", "have to", "has to", "need to", "needs to", "muss", "müssen", "doit", "doivent", "devons", "faut", "debe",
+        "deben", "debemos", "tiene que", "hay que",
+    )),
+]
 
 
 def bind(value: Column, body) -> Column:

@@ -230,7 +230,7 @@ def length_stats(rows: DataFrame, length: Column, limit: int, empty: Column) ->
     )
 
 
-def export_corpus(bodies: DataFrame, docs: DataFrame, decisions: DataFrame, tacit: DataFrame, min_chars: int = 40, max_chars: int = 24_000) -> DataFrame:
+def export_corpus(bodies: DataFrame, docs: DataFrame, decisions: DataFrame, tacit: DataFrame, min_chars: int = 40, max_chars: int | None = None) -> DataFrame:
     """Training rows: documents with a long enough body and a non-empty target.
 
     ``decisions`` and ``tacit`` are regrouped triples per document.
@@ -241,5 +241,5 @@ def export_corpus(bodies: DataFrame, docs: DataFrame, decisions: DataFrame, taci
         F.array_sort(F.collect_list(F.struct(*[c for c in tacit.columns if c != "document_id"]))).alias("tacit")
     )
     target = d.join(t, "document_id", "full_outer").withColumnRenamed("document_id", "doc_id")
-    body = bodies.where(F.length("body") >= min_chars).select("doc_id", F.substring("body", 1, max_chars).alias("input"))
+    body = bodies.where(F.length("body") >= min_chars).select("doc_id", (F.col("body") if max_chars is None else F.substring("body", 1, max_chars)).alias("input"))
     return docs.join(body, "doc_id").join(target, "doc_id")

@@ -10,7 +10,6 @@ from loomgraph.operators.scale import bucketed_row_number, first_per_key, top_k,
 from loomgraph.operators.sections import BLOCK_BUCKET
 from loomgraph.session import materialize
 
-MAX_PARAGRAPHS = 1_000
 # fixed values: section headings and line labels of imported documents
 META_HEADING = "회의 정보"
 TRANSCRIPT_HEADING = "전사 원문"
@@ -47,13 +46,13 @@ def archive_ingest(messages: DataFrame, channels: DataFrame, archive: DataFrame
     )
 
 
-def thread_flatten(parents: DataFrame, replies: DataFrame, limit: int = 5_000) -> DataFrame:
-    """Newest ``limit`` parents per channel with their replies as flat messages.
+def thread_flatten(parents: DataFrame, replies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Parents (the newest ``limit`` per channel if given) with their replies as flat messages.
 
     ``parents``: channel_id, ts, user_id, text, bot_id, subtype. ``replies``: the same plus
     parent_ts. Bot and system rows and rows without user or text are dropped.
     """
-    kept = top_k(parents, ["channel_id"], [F.desc("ts")], limit, "__n").drop("__n")
+    kept = parents if limit is None else top_k(parents, ["channel_id"], [F.desc("ts")], limit, "__n").drop("__n")
     cols = ["channel_id", "ts", "user_id", "text", "bot_id", "subtype"]
     roots = kept.select(*cols, F.col("ts").alias("thread_ts"))
     under = replies.join(kept.select("channel_id", F.col("ts").alias("parent_ts")), ["channel_id", "parent_ts"], "left_semi")
@@ -100,17 +99,14 @@ def sync_targets(ledgers: list[DataFrame], triples: DataFrame, force: bool = Fal
     return rows.join(triples.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def paragraph_blocks(docs: DataFrame, max_paragraphs: int = MAX_PARAGRAPHS) -> DataFrame:
-    """(doc_id, position, text): trimmed non-blank paragraphs, a marker after the cap, or a placeholder."""
+def paragraph_blocks(docs: DataFrame, max_paragraphs: int | None = None) -> DataFrame:
+    """(doc_id, position, text): trimmed non-blank paragraphs, a marker after the cap if there is one, or a placeholder."""
     parts = F.filter(F.transform(F.split("text", r"\n+"), strip), lambda s: s != "")
-    kept = (
-        F.when(F.size(parts) == 0, F.array(F.lit(EMPTY_DOCUMENT)))
-        .when(
-            F.size(parts) > max_paragraphs,
-            F.concat(F.slice(parts, 1, max_paragraphs), F.array(F.lit(TRUNCATED.format(n=max_paragraphs)))),
-        )
-        .otherwise(parts)
-    )
+    kept = F.when(F.size(parts) == 0, F.array(F.lit(EMPTY_DOCUMENT)))
+    if max_paragraphs is not None:
+        cut = F.concat(F.slice(parts, 1, max_paragraphs), F.array(F.lit(TRUNCATED.format(n=max_paragraphs))))
+        kept = kept.when(F.size(parts) > max_paragraphs, cut)
+    kept = kept.otherwise(parts)
     return unnest(docs, ["doc_id"], kept, "text", "position").select(
         "doc_id", F.col("position").cast("long").alias("position"), "text"
     )

@@ -19,7 +19,6 @@ THREAD = ["channel_id", "thread_ts"]
 SQUASHABLE = ["MANUAL", "SNAPSHOT_COMMIT"]
 MAX_FAILURES = 10
 MIN_BODY = 200
-MAX_BODY = 400_000
 
 
 def minutes(n: int) -> Column:
@@ -258,12 +257,12 @@ def read_compacted(snapshots: DataFrame, log: DataFrame) -> DataFrame:
 
 def poison_filter(
     attempts: DataFrame, key: str, order: str, bucket: Column, max_failures: int = MAX_FAILURES,
-    min_body: int = MIN_BODY, max_body: int = MAX_BODY,
+    min_body: int = MIN_BODY, max_body: int | None = None,
 ) -> DataFrame:
     """Route of each attempt: ok, retry, poison (the key has failed too often) or done (already imported).
 
     A body shorter than ``min_body`` after trimming is a failure; an accepted body is cut at
-    ``max_body`` characters, as the importer's contract says.
+    ``max_body`` characters if that is given.
     """
     good = ~is_blank(F.col("body")) & (F.length(F.trim("body")) >= min_body)
     rows = attempts.withColumn("__ok", good.cast("int"))
@@ -277,7 +276,7 @@ def poison_filter(
         .otherwise("retry")
     )
     return counted.select(
-        key, order, route.alias("route"), F.when(route == "ok", F.substring("body", 1, max_body)).alias("body")
+        key, order, route.alias("route"), F.when(route == "ok", F.col("body") if max_body is None else F.substring("body", 1, max_body)).alias("body")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import bind, is_blank, outer_json, strip
+from loomgraph.functions.text import bind, is_blank, outer_json
 from loomgraph.operators.scale import first_per_key, ordered_concat, top_k, unnest
 from loomgraph.operators.triples import EXTRACT_SCHEMA
 
@@ -88,10 +88,10 @@ CATEGORIES = ["SPELLING", "TERMINOLOGY", "PASSIVE_VOICE", "STRUCTURE"]
 FINDINGS = "struct<score:int,findings:array<struct<category:string,blockPosition:bigint,original:string,suggestion:string,reason:string>>>"
 
 
-def validate_findings(reviews: DataFrame, blocks: DataFrame, limit: int = 10) -> DataFrame:
+def validate_findings(reviews: DataFrame, blocks: DataFrame, limit: int | None = None) -> DataFrame:
     """Valid findings of reviews (document_id, review): clamped score, known category, existing block, no blanks.
 
-    A review without a score is invalid; the first ``limit`` findings per document are kept.
+    A review without a score is invalid; with ``limit`` the first so many findings per document are kept.
     """
     rows = reviews.where(F.col("review.score").isNotNull()).withColumn(
         "score", F.greatest(F.least(F.col("review.score"), F.lit(100)), F.lit(0))
@@ -102,16 +102,21 @@ def validate_findings(reviews: DataFrame, blocks: DataFrame, limit: int = 10) ->
     )
     places = blocks.select(F.col("doc_id").alias("document_id"), F.col("position").alias("blockPosition"))
     good = good.join(places, ["document_id", "blockPosition"], "left_semi")
-    return top_k(good, ["document_id"], ["n"], limit, "finding").select(
+    return top_k(good, ["document_id"], ["n"], limit or 2**31 - 1, "finding").select(
         "document_id", "score", "finding", "category", F.col("blockPosition").alias("position"), "original", "suggestion", "reason"
     )
 
 
-def judge_jobs(nodes: DataFrame, contexts: DataFrame, per_document: int = 40, context_chars: int = 20_000) -> DataFrame:
-    """Items D001, D002 … per document with the document text as context; documents without text are dropped."""
-    items = top_k(nodes, ["document_id"], ["subject"], per_document, "n")
-    tagged = items.withColumn("item_id", F.concat(F.lit("D"), F.lpad(F.col("n").cast("string"), 3, "0")))
-    context = contexts.where(~is_blank(F.col("text"))).select("document_id", F.substring("text", 1, context_chars).alias("context"))
+def judge_jobs(
+    nodes: DataFrame, contexts: DataFrame, per_document: int | None = None, context_chars: int | None = None
+) -> DataFrame:
+    """Items D001, D002 … per document with the document text as context; documents without text are dropped.
+
+    All items and the whole text by default; either can be limited.
+    """
+    items = top_k(nodes, ["document_id"], ["subject"], per_document or 2**31 - 1, "n")
+    tagged = items.withColumn("item_id", F.format_string("D%03d", "n"))
+    context = contexts.where(~is_blank(F.col("text"))).select("document_id", (F.col("text") if context_chars is None else F.substring("text", 1, context_chars)).alias("context"))
     return tagged.join(context, "document_id").select("document_id", "item_id", "subject", "statement", "context")
 
 
@@ -145,7 +150,7 @@ def evidence_class(evidence: Column, chunk: Column) -> Column:
 
     return (
         F.when(is_blank(evidence), "empty")
-        .when(chunk.contains(strip(evidence)), "exact")
+        .when(chunk.contains(evidence), "exact")
         .when(squeeze(chunk).contains(squeeze(evidence)), "normalized")
         .otherwise("missing")
     )
@@ -179,7 +184,7 @@ def extract_yield(parsed: DataFrame, run: str, document: str) -> DataFrame:
     )
 
 
-def export_threads(messages: DataFrame, log: DataFrame, min_messages: int = 3, min_chars: int = 40, max_chars: int = 24_000,
+def export_threads(messages: DataFrame, log: DataFrame, min_messages: int = 3, min_chars: int = 40, max_chars: int | None = None,
                    line_format: str = "%s: %s") -> DataFrame:
     """Transcript of every thread that is long enough and not logged yet."""
     keys = ["channel_id", "thread_ts"]
@@ -188,7 +193,7 @@ def export_threads(messages: DataFrame, log: DataFrame, min_messages: int = 3, m
     rows = messages.join(wanted.select(*keys), keys, "left_semi").withColumn("line", F.format_string(line_format, "user_id", "text"))
     # ten-digit epoch seconds sort as text, so the leading part cuts a long thread into ordered pieces
     joined = ordered_concat(rows, keys, ["ts"], F.col("line"), "\n", "body", F.substring("ts", 1, 8))
-    return joined.join(wanted, keys).where(F.length("body") >= min_chars).select(*keys, "n_messages", F.substring("body", 1, max_chars).alias("body"))
+    return joined.join(wanted, keys).where(F.length("body") >= min_chars).select(*keys, "n_messages", (F.col("body") if max_chars is None else F.substring("body", 1, max_chars)).alias("body"))
 
 
 def extraction_prompts(chunks: DataFrame, template: str) -> DataFrame:

@@ -10,7 +10,6 @@ from loomgraph.operators.ingest import META_HEADING
 from loomgraph.operators.scale import first_per_key, ordered_concat, prefix_scan, unnest
 from loomgraph.operators.sections import block_bucket
 
-MAX_SENTENCES = 48
 # fixed values: labels dropped inside the meeting-details section, and the leading time code
 META_LINE = r"^(작성자|참석자|녹음 시작|길이|출처)\s*:"
 TIME_CODE = r"^\[\d[^\]]{0,39}\]\s*"
@@ -30,14 +29,14 @@ def tag_sentences(rows: DataFrame, col: str = "sentence", core=CORE_MARKERS, ext
     return rows.withColumn("marker", marker(F.col(col), core, extended))
 
 
-def number_sentences(chunks: DataFrame, keys: list[str], text: str = "text", cap: int = MAX_SENTENCES) -> DataFrame:
+def number_sentences(chunks: DataFrame, keys: list[str], text: str = "text", cap: int | None = None) -> DataFrame:
     """Sentences S001, S002 … of each chunk with their character offsets.
 
-    Offsets come from a forward search, so repeated sentences get increasing offsets; the
-    search folds over at most ``cap`` sentences of a row.
+    Offsets come from a forward search, so repeated sentences get increasing offsets. ``cap``
+    limits the sentences of a row. Ids are wider than three digits where needed.
     """
     body = F.col(text)
-    kept = F.slice(sentences(body, 2), 1, cap)
+    kept = sentences(body, 2) if cap is None else F.slice(sentences(body, 2), 1, cap)
     zero = F.struct(
         F.lit(1).alias("cursor"),
         F.expr("cast(array() as array<struct<text:string,start:int>>)").alias("out"),
@@ -55,7 +54,7 @@ def number_sentences(chunks: DataFrame, keys: list[str], text: str = "text", cap
     start = F.col("s.start")
     return rows.select(
         *keys,
-        F.concat(F.lit("S"), F.lpad((F.col("n") + 1).cast("string"), 3, "0")).alias("sentence_id"),
+        F.format_string("S%03d", F.col("n") + 1).alias("sentence_id"),
         F.col("s.text").alias("sentence"),
         start.cast("long").alias("start"),
         F.when(start >= 0, start + F.length("s.text")).otherwise(-1).cast("long").alias("end"),
@@ -96,13 +95,17 @@ def reconstruct_body(blocks: DataFrame, meta_heading: str = META_HEADING, meta_l
     return ordered_concat(kept, ["doc_id"], ["position"], F.col("line"), "\n", "body", block_bucket())
 
 
-def merge_decisions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """First decision per document, trimmed topic and first 40 characters of the decision."""
-    keyed = rows.withColumn("__t", F.trim("topic")).withColumn("__d", F.trim(F.substring("decision", 1, 40)))
+def _head(col: str, chars: int | None) -> Column:
+    return F.trim(col) if chars is None else F.trim(F.substring(col, 1, chars))
+
+
+def merge_decisions(rows: DataFrame, order: list[str], chars: int | None = None) -> DataFrame:
+    """First decision per document, trimmed topic and decision, the latter on its first ``chars`` characters if given."""
+    keyed = rows.withColumn("__t", F.trim("topic")).withColumn("__d", _head("decision", chars))
     return first_per_key(keyed, ["document_id", "__t", "__d"], order).drop("__t", "__d")
 
 
-def merge_tacit(rows: DataFrame, order: list[str]) -> DataFrame:
-    """First tacit item per document and first 60 characters of its statement."""
-    keyed = rows.withColumn("__s", F.trim(F.substring("statement", 1, 60)))
+def merge_tacit(rows: DataFrame, order: list[str], chars: int | None = None) -> DataFrame:
+    """First tacit item per document and trimmed statement, on its first ``chars`` characters if given."""
+    keyed = rows.withColumn("__s", _head("statement", chars))
     return first_per_key(keyed, ["document_id", "__s"], order).drop("__s")

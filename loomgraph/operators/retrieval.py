@@ -234,8 +234,12 @@ def weighted_rank(
     age = F.greatest(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(event_at.cast("timestamp"))) / 86400000000), F.lit(0))
     recency = F.when(event_at.isNull(), F.lit(0.8)).otherwise(F.exp(-age / F.lit(tau_days)))
     by_weight = F.col("score") * (0.4 + 0.6 * w)
-    return ranked.withColumn("score_weight", F.round(by_weight, 6)).withColumn(
-        "score_recency", F.round(by_weight * (0.5 + 0.5 * recency), 6)
+    # products of rounded scores often end in a 5, where engines round apart; this form has one answer
+    def six(c: Column) -> Column:
+        return F.floor(c * 1e6 + 0.5) / 1e6
+
+    return ranked.withColumn("score_weight", six(by_weight)).withColumn(
+        "score_recency", six(by_weight * (0.5 + 0.5 * recency))
     )
 
 

@@ -37,6 +37,17 @@ def unnest(df: DataFrame, keep: Sequence, array: Column, name: str, pos: str | N
     return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(name).isNotNull())
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name in which null equals null; the columns of ``left`` keep their names."""
+    names = {c: f"__r_{c}" for c in on}
+    other = right.withColumnsRenamed(names)
+    condition = None
+    for c, r in names.items():
+        same = left[c].eqNullSafe(other[r])
+        condition = same if condition is None else condition & same
+    return left.join(other, condition, how).drop(*names.values())
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -88,7 +99,7 @@ def prefix_scan(
         carried.append(F.lag(f"__s_{n}").over(across).alias(f"__p_{n}"))
 
     buckets = src.groupBy(*keys, BUCKET).agg(*summary).select(*keys, BUCKET, *carried)
-    joined = src.select("*", *local).join(buckets, [*keys, BUCKET], "left")
+    joined = join_null_safe(src.select("*", *local), buckets, [*keys, BUCKET], "left")
 
     out = [F.col(c) for c in df.columns]
     for n in sums:
@@ -125,10 +136,9 @@ def bucketed_row_number(
         .select(*partition, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     )
     inside = W.partitionBy(*partition, BUCKET).orderBy(*order)
-    return (
-        src.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, [*partition, BUCKET], "inner")
-        .select(*df.columns, (F.col("__rn") + F.col("__off")).cast("long").alias(name))
+    placed = src.withColumn("__rn", F.row_number().over(inside))
+    return join_null_safe(placed, offsets, [*partition, BUCKET]).select(
+        *df.columns, (F.col("__rn") + F.col("__off")).cast("long").alias(name)
     )
 
 
@@ -228,8 +238,6 @@ def break_groups(
     base = F.sum(F.col("__n") + F.col("__open")).over(across.rowsBetween(W.unboundedPreceding, -1))
     heads = heads.select(*keys, BUCKET, (F.coalesce(base, F.lit(0)) + F.col("__open")).alias("__base"))
     running = F.sum("__br").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (
-        local.withColumn("__run", running)
-        .join(heads, [*keys, BUCKET])
-        .select(*df.columns, (F.col("__base") + F.col("__run")).cast("long").alias(name))
+    return join_null_safe(local.withColumn("__run", running), heads, [*keys, BUCKET]).select(
+        *df.columns, (F.col("__base") + F.col("__run")).cast("long").alias(name)
     )

@@ -79,12 +79,17 @@ def reify_decisions(extracts: DataFrame, roles: Roles = Roles(), rules: EntityRu
     )
     return rows.select(
         "document_id",
-        (F.col("i") * 1000 + F.col("j")).cast("long").alias("ordinal"),
+        place(0).alias("ordinal"),
         F.lit("decision").alias("kind"),
         "statement", "subject", "e.predicate", "e.object",
     )
 
 
+def place(kind: int) -> Column:
+    """Order of the triples of a document: decisions (0) before tacit items (1), then item, then edge; 2**31 of each."""
+    return F.lit(kind << 62) + F.shiftleft(F.col("i").cast("long"), 31) + F.col("j")
+
+
 def tacit_triples(extracts: DataFrame, rules: EntityRules = RULES) -> DataFrame:
     """Normalised triples of the tacit items; a row with a rejected part is dropped."""
     items = unnest(extracts, ["document_id"], F.col("extract.tacitKnowledge"), "t", "i")
@@ -92,7 +97,7 @@ def tacit_triples(extracts: DataFrame, rules: EntityRules = RULES) -> DataFrame:
                   F.col("t.triples"), "x", "j")
     parts = rows.select(
         "document_id",
-        (1_000_000 + F.col("i") * 1000 + F.col("j")).cast("long").alias("ordinal"),
+        place(1).alias("ordinal"),
         "kind", "statement",
         split_colisted(F.col("x.subject"), rules).alias("ss"),
         canonical_predicate(F.col("x.predicate"), rules).alias("predicate"),

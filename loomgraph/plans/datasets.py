@@ -236,10 +236,11 @@ def judged_counts(spark, d):
     "blind_sample",
     sql("""
 SELECT 'item-' || substr(h, 1, 12) AS blind_id, system, doc_id, claim FROM (
-  SELECT *, row_number() OVER (PARTITION BY system ORDER BY h, doc_id) AS n FROM (SELECT *, md5('42' || doc_id) AS h FROM v_claim)) WHERE n <= 25"""),
+  SELECT *, row_number() OVER (PARTITION BY system ORDER BY h) AS n FROM (SELECT *, md5('42' || doc_id || '-' || claim_id) AS h FROM v_claim)) WHERE n <= 25"""),
 )
 def blind_sample(spark, d):
-    return DS.blind_sample(I.v_claim(spark, d), "doc_id", "system", 25).select("blind_id", "system", "doc_id", "claim")
+    claims = I.v_claim(spark, d).withColumn("item", F.concat_ws("-", "doc_id", "claim_id"))
+    return DS.blind_sample(claims, "item", "system", 25).select("blind_id", "system", "doc_id", "claim")
 
 
 @PLANS.add(
@@ -255,7 +256,7 @@ def length_stats(spark, d):
 @PLANS.add(
     "export_corpus",
     sql("""
-SELECT d.doc_id, d.title, substr(body, 1, 24000) AS input, n AS n_decisions, topics FROM v_doc d JOIN v_body USING (doc_id) JOIN (
+SELECT d.doc_id, d.title, body AS input, n AS n_decisions, topics FROM v_doc d JOIN v_body USING (doc_id) JOIN (
   SELECT document_id, count(*) AS n, string_agg(substr(subject, 10), ',' ORDER BY subject) AS topics FROM v_node GROUP BY document_id) ON document_id = d.doc_id
 WHERE length(body) >= 40"""),
 )

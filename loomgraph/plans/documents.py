@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS
 from loomgraph.operators import documents as D
 from loomgraph.operators import ingest as G
 from loomgraph.operators import markdown as M
@@ -33,7 +32,7 @@ def sql_marker(core, extended, expr: str) -> str:
     return f"CASE WHEN {low} = 99999999 THEN (CASE {rest or 'WHEN FALSE THEN NULL'} END) ELSE (CASE {best} END) END"
 
 
-MARK = sql_marker(LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS, "sentence")
+MARK = sql_marker(I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS, "sentence")
 
 EXTRA = {
     "v_pack": f"""
@@ -185,7 +184,7 @@ def thread_flatten(spark, d):
     parents = m.where("turn = 0")
     replies = m.withColumn("parent_ts", F.coalesce("thread_ts", "ts"))
     cols = ["channel_id", "ts", "user_id", "text", "bot_id", "subtype"]
-    return G.thread_flatten(parents.select(*cols), replies.select(*cols, "parent_ts"), limit=1_000_000)
+    return G.thread_flatten(parents.select(*cols), replies.select(*cols, "parent_ts"))
 
 
 def incoming(spark, d):
@@ -491,16 +490,16 @@ WITH RECURSIVE r AS (
   UNION ALL
   SELECT r.doc_id, r.chunk, s.n, s.sentence,
     r.start + length(r.sentence) + strpos(substr(p.text, r.start + length(r.sentence) + 1), s.sentence) - 1
-  FROM r JOIN v_packsent s ON s.doc_id = r.doc_id AND s.chunk = r.chunk AND s.n = r.n + 1 AND s.n <= 48
+  FROM r JOIN v_packsent s ON s.doc_id = r.doc_id AND s.chunk = r.chunk AND s.n = r.n + 1
   JOIN v_pack p ON p.doc_id = r.doc_id AND p.chunk = r.chunk)
-SELECT doc_id, chunk, 'S' || lpad(CAST(n AS VARCHAR), 3, '0') AS sentence_id, sentence, start, start + length(sentence) AS "end" FROM r"""),
+SELECT doc_id, chunk, printf('S%03d', n) AS sentence_id, sentence, start, start + length(sentence) AS "end" FROM r"""),
 )
 def sentence_number(spark, d):
     return P.number_sentences(P.paragraph_pack(read_spread(spark, d), PACK), ["doc_id", "chunk"])
 
 
 def tagged(spark, d):
-    return P.tag_sentences(doc_sentences(spark, d), core=LATIN_CORE_MARKERS, extended=LATIN_EXTENDED_MARKERS)
+    return P.tag_sentences(doc_sentences(spark, d), core=I.PROSE_CORE_MARKERS, extended=I.PROSE_EXTENDED_MARKERS)
 
 
 @PLANS.add("modality_tag", sql("SELECT doc_id, ordinal, marker FROM v_mark"))
@@ -525,7 +524,7 @@ FROM v_pack LEFT JOIN (SELECT doc_id, chunk, count(*) AS n, string_agg('- ' || s
 def gate_chunks(spark, d):
     chunks = P.paragraph_pack(read_spread(spark, d), PACK)
     parts = [
-        P.gate_chunks(chunks, m, core=LATIN_CORE_MARKERS, extended=LATIN_EXTENDED_MARKERS).select(
+        P.gate_chunks(chunks, m, core=I.PROSE_CORE_MARKERS, extended=I.PROSE_EXTENDED_MARKERS).select(
             F.lit(m).alias("mode"), "doc_id", "chunk", "body"
         )
         for m in ("off", "hint", "filter")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS, marker
+from loomgraph.functions.text import marker
 from loomgraph.operators import evaluation as E
 from loomgraph.plans import datasets as PDS
 from loomgraph.plans import documents as PD
@@ -29,7 +29,7 @@ WILSON = """round(CASE WHEN n > 0 THEN greatest(0.0::DOUBLE, (k / n + 3.8416::DO
 round(CASE WHEN n > 0 THEN least(1.0::DOUBLE, (k / n + 3.8416::DOUBLE / (2 * n)) / (1 + 3.8416::DOUBLE / n)
   + 1.96::DOUBLE * sqrt(k / n * (1 - k / n) / n + 3.8416::DOUBLE / (4.0::DOUBLE * n * n)) / (1 + 3.8416::DOUBLE / n)) ELSE 0 END, 6) AS high"""
 
-CLAIM_MARK = PD.sql_marker(LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS, "claim")
+CLAIM_MARK = PD.sql_marker(I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS, "claim")
 
 EXTRA = {
     **PDS.EXTRA,
@@ -43,14 +43,14 @@ SELECT qid, rank FROM (SELECT DISTINCT qid FROM v_gold) LEFT JOIN (
       SELECT qid, doc_id, round(score * (0.4 + 0.6 * coalesce(CAST({PG.DOC_WEIGHT} AS DOUBLE), 0.7::DOUBLE)), 6) AS ws FROM v_score LEFT JOIN labels USING (doc_id))) h
   JOIN v_gold g ON g.qid = h.qid AND g.doc_id = h.doc_id GROUP BY h.qid) USING (qid)""",
     "v_record": f"""
-SELECT doc_id, claim, marker_claim, marker_source, ['confirmed', 'conditional', 'intended', 'proposed', 'needed', 'none'][h % 6 + 1] AS commitment,
-  ['core', 'supporting', 'peripheral'][(h // 6) % 3 + 1] AS salience FROM (
-  SELECT c.doc_id, claim, {CLAIM_MARK} AS marker_claim, m.marker AS marker_source, {hashed("c.doc_id")} AS h
-  FROM v_claim c JOIN v_mark m ON m.doc_id = c.doc_id AND m.ordinal = 3)""",
+SELECT doc_id, claim_id, claim, marker_claim, marker_source, ['confirmed', 'conditional', 'intended', 'proposed', 'needed', 'none'][(h + claim_id) % 6 + 1] AS commitment,
+  ['core', 'supporting', 'peripheral'][(h // 6 + claim_id) % 3 + 1] AS salience FROM (
+  SELECT c.doc_id, claim_id, claim, {CLAIM_MARK} AS marker_claim, m.marker AS marker_source, {hashed("c.doc_id")} AS h
+  FROM v_claim c JOIN v_mark m ON m.doc_id = c.doc_id AND m.ordinal = c.claim_id)""",
     "v_overlap": r"""
-WITH c AS (SELECT doc_id, len(l) AS n, unnest(l) AS token FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(claim), '[\p{L}\p{Nd}]+')) AS l FROM v_claim)),
+WITH c AS (SELECT doc_id, claim_id, len(l) AS n, unnest(l) AS token FROM (SELECT doc_id, claim_id, list_distinct(regexp_extract_all(lower(claim), '[\p{L}\p{Nd}]+')) AS l FROM v_claim)),
 s AS (SELECT doc_id, ordinal, marker IS NOT NULL AS marked, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{Nd}]+'))) AS token FROM v_mark)
-SELECT doc_id, ordinal, any_value(marked) AS marked, count(*) / any_value(n) AS overlap FROM c JOIN s USING (doc_id, token) GROUP BY doc_id, ordinal""",
+SELECT doc_id, claim_id, ordinal, any_value(marked) AS marked, count(*) / any_value(n) AS overlap FROM c JOIN s USING (doc_id, token) GROUP BY doc_id, claim_id, ordinal""",
     "v_qa": """
 SELECT case_id, conv_id, question, label, answer, 'run' || case_id % 3 AS run FROM v_case JOIN v_answer USING (conv_id)""",
 }
@@ -152,15 +152,15 @@ def wilson_ci(spark, d):
 
 
 def records(spark, d):
-    third = PD.tagged(spark, d).where("ordinal = 3").select("doc_id", F.col("marker").alias("marker_source"))
+    source = PD.tagged(spark, d).select("doc_id", F.col("ordinal").alias("claim_id"), F.col("marker").alias("marker_source"))
     h = I.hashed("doc_id")
     grades = F.array(*[F.lit(g) for g in GRADES])
     sal = F.array(*[F.lit(s) for s in SALIENCE])
     return (
-        I.v_claim(spark, d).join(third, "doc_id").withColumn("h", h).select(
-            "doc_id", "claim", marker(F.col("claim"), LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS).alias("marker_claim"), "marker_source",
-            F.element_at(grades, (F.col("h") % 6 + 1).cast("int")).alias("commitment"),
-            F.element_at(sal, (F.floor(F.col("h") / 6) % 3 + 1).cast("int")).alias("salience"),
+        I.v_claim(spark, d).join(source, ["doc_id", "claim_id"]).withColumn("h", h).select(
+            "doc_id", "claim_id", "claim", marker(F.col("claim"), I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS).alias("marker_claim"), "marker_source",
+            F.element_at(grades, ((F.col("h") + F.col("claim_id")) % 6 + 1).cast("int")).alias("commitment"),
+            F.element_at(sal, ((F.floor(F.col("h") / 6) + F.col("claim_id")) % 3 + 1).cast("int")).alias("salience"),
         )
     )
 
@@ -225,15 +225,15 @@ def marker_loss(spark, d):
 
 
 def overlap(spark, d):
-    return E.token_overlap(I.v_claim(spark, d), read_spread(spark, d), LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS)
+    return E.token_overlap(I.v_claim(spark, d), read_spread(spark, d), I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS)
 
 
 @PLANS.add(
     "claim_grounding",
     sql(r"""
 SELECT system, theta, count(*) AS claims, count(modal) AS supported, count(*) FILTER (WHERE modal) AS modal_supported FROM (
-  SELECT c.doc_id, system, t.theta::DOUBLE AS theta, bool_or(marked) AS modal FROM v_claim c CROSS JOIN (SELECT unnest([0.3, 0.5]) AS theta) t
-  LEFT JOIN v_overlap o ON o.doc_id = c.doc_id AND o.overlap >= t.theta
+  SELECT c.doc_id, c.claim_id, system, t.theta::DOUBLE AS theta, bool_or(marked) AS modal FROM v_claim c CROSS JOIN (SELECT unnest([0.3, 0.5]) AS theta) t
+  LEFT JOIN v_overlap o ON o.doc_id = c.doc_id AND o.claim_id = c.claim_id AND o.overlap >= t.theta
   WHERE regexp_matches(claim, '[\p{L}\p{Nd}]') GROUP BY ALL) GROUP BY system, theta"""),
 )
 def claim_grounding(spark, d):
@@ -245,14 +245,14 @@ def claim_grounding(spark, d):
     sql("""
 SELECT third, count(*) FILTER (WHERE salience = 'core') AS core, count(*) FILTER (WHERE salience = 'supporting') AS supporting,
   count(*) FILTER (WHERE salience = 'peripheral') AS peripheral, count(*) AS total FROM (
-  SELECT b.doc_id, CASE WHEN (ordinal - 1) / greatest(n - 1, 1) < 1 / 3 THEN 'early' WHEN (ordinal - 1) / greatest(n - 1, 1) < 2 / 3 THEN 'middle' ELSE 'late' END AS third
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, ordinal) AS rn FROM v_overlap) b
+  SELECT b.doc_id, b.claim_id, CASE WHEN (ordinal - 1) / greatest(n - 1, 1) < 1 / 3 THEN 'early' WHEN (ordinal - 1) / greatest(n - 1, 1) < 2 / 3 THEN 'middle' ELSE 'late' END AS third
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY overlap DESC, ordinal) AS rn FROM v_overlap) b
   JOIN (SELECT doc_id, count(*) AS n FROM v_sentence GROUP BY doc_id) USING (doc_id) WHERE rn = 1 AND overlap >= 0.3)
-JOIN v_record USING (doc_id) GROUP BY third"""),
+JOIN v_record USING (doc_id, claim_id) GROUP BY third"""),
 )
 def position_bins(spark, d):
     lengths = PD.doc_sentences(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
-    return E.position_bins(overlap(spark, d), lengths, records(spark, d).select("doc_id", "salience"), SALIENCE)
+    return E.position_bins(overlap(spark, d), lengths, records(spark, d).select("doc_id", "claim_id", "salience"), SALIENCE)
 
 
 @PLANS.add(
@@ -285,13 +285,25 @@ def two(spark, d):
 @PLANS.add(
     "two_prop_z",
     sql("""SELECT lang, k1, n1, k2, n2, round(k1 / n1, 6) AS p1, round(k2 / n2, 6) AS p2,
-round((k1 / n1 - k2 / n2) / sqrt(k1 / n1 * (1 - k1 / n1) / n1 + k2 / n2 * (1 - k2 / n2) / n2), 6) AS z FROM v_two"""),
+CASE WHEN k1 / n1 * (1 - k1 / n1) / n1 + k2 / n2 * (1 - k2 / n2) / n2 > 0
+  THEN round((k1 / n1 - k2 / n2) / sqrt(k1 / n1 * (1 - k1 / n1) / n1 + k2 / n2 * (1 - k2 / n2) / n2), 6) ELSE 'nan'::DOUBLE END AS z FROM v_two"""),
 )
 def two_prop_z(spark, d):
     return two(spark, d)
 
 
-@PLANS.add("two_prop_p")
+ERFC_SQL = f"{E.ERFC[0]}::DOUBLE"
+for coefficient in E.ERFC[1:]:
+    ERFC_SQL = f"({ERFC_SQL} * t + {coefficient}::DOUBLE)"
+
+
+@PLANS.add(
+    "two_prop_p",
+    sql(f"""SELECT lang, z, CASE WHEN isnan(z) THEN 1.0::DOUBLE ELSE round(t * exp(-x * x + {ERFC_SQL}), 6) END AS p_value FROM (
+SELECT *, 1 / (1 + 0.5::DOUBLE * x) AS t FROM (SELECT *, abs(z) / 1.4142135623730951::DOUBLE AS x FROM (
+SELECT lang, CASE WHEN s > 0 THEN round((k1 / n1 - k2 / n2) / sqrt(s), 6) ELSE 'nan'::DOUBLE END AS z FROM (
+SELECT *, k1 / n1 * (1 - k1 / n1) / n1 + k2 / n2 * (1 - k2 / n2) / n2 AS s FROM v_two))))"""),
+)
 def two_prop_p(spark, d):
     return E.two_prop_p(two(spark, d)).select("lang", "z", "p_value")
 

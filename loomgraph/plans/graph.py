@@ -423,7 +423,7 @@ def kg_vocab(spark, d):
     sql("""
 SELECT subject, predicate, object, pos <= nt AS test, pos > nt OR nt >= n AS train FROM (
   SELECT *, row_number() OVER (ORDER BY md5('42' || k), k) AS pos, count(*) OVER () AS n, greatest(1, floor(count(*) OVER () * 0.1 + 0.5)) AS nt
-  FROM (SELECT DISTINCT subject, predicate, object, subject || '|' || predicate || '|' || object AS k FROM v_triple))"""),
+  FROM (SELECT subject, predicate, object, subject || '|' || predicate || '|' || object AS k FROM v_triple))"""),
 )
 def transe_split(spark, d):
     return TE.transe_split(I.v_triple(spark, d), 0.1, "42")
@@ -543,8 +543,8 @@ def weighted_hits(spark, d):
 @PLANS.add(
     "weighted_rank",
     sql(f"""
-SELECT qid, doc_id, score, round(score * (0.4 + 0.6 * w), 6) AS score_weight,
-  round(score * (0.4 + 0.6 * w) * (0.5 + 0.5 * r), 6) AS score_recency FROM (
+SELECT qid, doc_id, score, floor(score * (0.4::DOUBLE + 0.6::DOUBLE * w) * 1e6 + 0.5) / 1e6 AS score_weight,
+  floor(score * (0.4::DOUBLE + 0.6::DOUBLE * w) * (0.5::DOUBLE + 0.5::DOUBLE * r) * 1e6 + 0.5) / 1e6 AS score_recency FROM (
   SELECT h.*, coalesce(CAST({DOC_WEIGHT} AS DOUBLE), 0.7::DOUBLE) AS w,
     CASE WHEN verified_at IS NULL THEN 0.8::DOUBLE ELSE exp(-greatest(date_diff('day', verified_at, TIMESTAMP '2024-06-01'), 0) / 180.0::DOUBLE) END AS r
   FROM v_hit h LEFT JOIN labels USING (doc_id) JOIN v_doc USING (doc_id) WHERE rank <= 10)"""),

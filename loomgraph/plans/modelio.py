@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import LATIN_CORE_MARKERS, LATIN_EXTENDED_MARKERS
 from loomgraph.operators import documents as D
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import ingest as G
@@ -31,12 +30,12 @@ SELECT document_id, CASE WHEN trim(x ->> '$.title') = '' THEN 'title'
 FROM v_ok o""",
     "v_node": "SELECT document_id, subject, min(statement) AS statement FROM v_decision_triple GROUP BY ALL",
     "v_jobitem": """
-SELECT document_id, 'D' || lpad(CAST(n AS VARCHAR), 3, '0') AS item_id, subject, statement, substr(text, 1, 20000) AS context FROM (
+SELECT document_id, printf('D%03d', n) AS item_id, subject, statement, text AS context FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY subject) AS n FROM v_node) JOIN documents ON doc_id = document_id
-WHERE n <= 40 AND doc_id % 7 <> 0""",
+WHERE doc_id % 7 <> 0""",
     "v_cite": """
 SELECT doc_id, doc_id AS claim_id, unnest([1, 1 + doc_id % 5, 60]) AS k, generate_subscripts([1, 1 + doc_id % 5, 60], 1) - 1 AS n FROM documents WHERE doc_id % 4 <> 0""",
-    "v_firstpack": "SELECT doc_id, n, sentence FROM v_packsent WHERE chunk = 1 AND n <= 48",
+    "v_firstpack": "SELECT doc_id, n, sentence FROM v_packsent WHERE chunk = 1",
     "v_evid": r"""
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN sentence || ' zzz' WHEN 2 THEN regexp_replace(sentence, ' ', '  ', 'g') ELSE sentence END AS evidence, text
 FROM v_sentence JOIN documents USING (doc_id) WHERE ordinal = 2""",
@@ -55,7 +54,7 @@ def sql(text: str) -> str:
 @PLANS.add(
     "export_threads",
     sql("""
-SELECT channel_id, thread_ts, count(*) AS n_messages, substr(string_agg(user_id || ': ' || text, chr(10) ORDER BY ts), 1, 24000) AS body
+SELECT channel_id, thread_ts, count(*) AS n_messages, string_agg(user_id || ': ' || text, chr(10) ORDER BY ts) AS body
 FROM v_archive WHERE (channel_id, thread_ts) NOT IN (SELECT (channel_id, thread_ts) FROM v_thread_log)
 GROUP BY channel_id, thread_ts HAVING count(*) >= 3 AND length(string_agg(user_id || ': ' || text, chr(10))) >= 40"""),
 )
@@ -71,7 +70,7 @@ JOIN (SELECT DISTINCT doc_id, chunk FROM v_packsent WHERE length(sentence) > 10
 )
 def extraction_prompts(spark, d):
     chunks = P.paragraph_pack(read_spread(spark, d), PD.PACK)
-    gated = P.gate_chunks(chunks, "filter", core=LATIN_CORE_MARKERS, extended=LATIN_EXTENDED_MARKERS)
+    gated = P.gate_chunks(chunks, "filter", core=I.PROSE_CORE_MARKERS, extended=I.PROSE_EXTENDED_MARKERS)
     return MI.extraction_prompts(gated, PROMPT).select("doc_id", "chunk", "prompt")
 
 
@@ -138,7 +137,7 @@ def extract_yield(spark, d):
 @PLANS.add(
     "merge_extracts",
     sql("""
-SELECT doc, i, topic, decision, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(topic), trim(substr(decision, 1, 40)) ORDER BY part, i) AS rn FROM (
+SELECT doc, i, topic, decision, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(topic), trim(decision) ORDER BY part, i) AS rn FROM (
   SELECT document_id // 40 AS doc, document_id AS part, i, regexp_extract(topic, '^.', 0) AS topic, substr(decision, 1, 9) AS decision FROM v_dec)) WHERE rn = 1"""),
 )
 def merge_extracts(spark, d):
@@ -152,7 +151,7 @@ def merge_extracts(spark, d):
 @PLANS.add(
     "merge_tacit",
     sql("""
-SELECT doc, statement, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(substr(statement, 1, 60)) ORDER BY part, i) AS rn FROM (
+SELECT doc, statement, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(statement) ORDER BY part, i) AS rn FROM (
   SELECT DISTINCT document_id // 40 AS doc, document_id AS part, i, substr(statement, 1, 7) AS statement FROM v_tac)) WHERE rn = 1"""),
 )
 def merge_tacit(spark, d):
@@ -183,7 +182,7 @@ def validate_summaries(spark, d):
     sql("""
 SELECT document_id, score, finding, category, position, suggestion FROM (
   SELECT r.doc_id AS document_id, greatest(0, least(100, score)) AS score, row_number() OVER (PARTITION BY r.doc_id ORDER BY n) AS finding, category, r.position, suggestion
-  FROM v_review r JOIN v_block b ON b.doc_id = r.doc_id AND b.position = r.position WHERE category <> 'OTHER' AND trim(suggestion) <> '') WHERE finding <= 10"""),
+  FROM v_review r JOIN v_block b ON b.doc_id = r.doc_id AND b.position = r.position WHERE category <> 'OTHER' AND trim(suggestion) <> '')"""),
 )
 def validate_findings(spark, d):
     cats = "element_at(array('SPELLING', 'STRUCTURE', 'OTHER', 'PASSIVE_VOICE', 'TERMINOLOGY'), cast(n % 5 + 1 AS int))"
@@ -238,7 +237,7 @@ def resolved(spark, d):
 
 @PLANS.add(
     "resolve_citations",
-    sql("""SELECT c.doc_id, claim_id, 'S' || lpad(CAST(k AS VARCHAR), 3, '0') AS sentence_id, s.sentence, s.n IS NOT NULL AS found
+    sql("""SELECT c.doc_id, claim_id, printf('S%03d', k) AS sentence_id, s.sentence, s.n IS NOT NULL AS found
 FROM v_cite c LEFT JOIN v_firstpack s ON s.doc_id = c.doc_id AND s.n = c.k"""),
 )
 def resolve_citations(spark, d):
@@ -255,7 +254,7 @@ def citation_counts(spark, d):
 
 
 EVIDENCE = r"""
-SELECT doc_id, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN contains(text, trim(evidence)) THEN 'exact'
+SELECT doc_id, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN contains(text, evidence) THEN 'exact'
   WHEN contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(evidence, '\s+', '', 'g')) THEN 'normalized' ELSE 'missing' END AS class FROM v_evid"""
 
 

@@ -199,9 +199,9 @@ FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, trim(unnest(l), chr(10) ||
 WHERE length(s) > 10"""
 
 VIEWS["v_claim"] = r"""
-SELECT doc_id, 'sys' || doc_id % 2 AS system,
+SELECT doc_id, ordinal AS claim_id, 'sys' || ordinal % 2 AS system,
   (SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i) WHERE i % 2 = 1) AS claim
-FROM (SELECT doc_id, string_split_regex(sentence, '\s+') AS l FROM v_sentence WHERE ordinal = 3)"""
+FROM (SELECT doc_id, ordinal, string_split_regex(sentence, '\s+') AS l FROM v_sentence)"""
 
 VIEWS["v_extract_raw"] = r"""
 SELECT conv_id AS document_id,
