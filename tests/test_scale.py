@@ -77,7 +77,7 @@ def test_nearest_blocks(spark, monkeypatch):
     x, q = rng.normal(size=(300, 6)), rng.normal(size=(40, 6))
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(5)
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, qv array<double>")
-    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 6 * 7)  # seven queries per block
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 6 * 14)  # about seven vectors per block
     got = {}
     for r in nearest.nearest_k(queries, "qid", "qv", corpus, "id", "vec", 5, "l2").collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
@@ -86,6 +86,15 @@ def test_nearest_blocks(spark, monkeypatch):
         assert [b for _, b in sorted(got[i])] == list(np.argsort(dist[i], kind="stable")[:5])
 
 
+def test_vectors_that_lack_come_last(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, None)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "qid long, qv array<double>")
+    got = nearest.nearest_k(queries, "qid", "qv", corpus, "id", "vec", 3).orderBy("rank").collect()
+    assert [(r["qid"], r["id"], r["distance"] is None) for r in got] == [(7, 1, False), (7, 3, False), (7, 2, True)]
+    none = nearest.nearest_k(queries, "qid", "qv", corpus.where("false"), "id", "vec", 3)
+    assert none.count() == 0
+
+
 def test_max_delay_against_loop(spark):
     rng = random.Random(2)
     times = {k: sorted(rng.sample(range(2000), 300)) for k in ("hot", "b")}
