@@ -37,7 +37,7 @@ HOT = 200_000
 #: Bytes of packed strings that a task compares at once; the runs of one anchor stay together.
 AT_ONCE = 2 << 20
 #: Bytes of different strings up to which a bucket is compared by the operator's own method.
-LARGE = 4 << 20
+LARGE = 2 << 20
 PLACE_BITS = np.uint64(21)
 
 
@@ -229,10 +229,18 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         which, different = pd.factorize(strings)
         first = np.flatnonzero(~pd.Series(which).duplicated().to_numpy())
         copies = np.bincount(which, weights=table.column("copies").to_numpy())
-        data, offsets = text_bytes(pa.array(different.tolist(), pa.binary()))
-        compare = plan.again if len(data) <= LARGE else by_hash
-        twice = compare(data, offsets, n[first], copies)
-        begin = np.cumsum(n[first]) - n[first]
+        # an anchor whose strings all occur twice is settled, and so is one with a single string: no window of a run
+        # equals another of the same run, since both would have the anchor at one place
+        _, of = np.unique(table.column("anchor").to_numpy()[first], return_inverse=True)
+        lone = np.bincount(of, weights=copies == 1)[of] > 0
+        open_ = np.flatnonzero(lone & (np.bincount(of)[of] > 1))
+        count = n[first]
+        twice = np.repeat(copies > 1, count)
+        if len(open_):
+            data, offsets = text_bytes(pa.array(different[open_].tolist(), pa.binary()))
+            compare = plan.again if len(data) <= LARGE else by_hash
+            twice[np.repeat(np.isin(np.arange(len(first)), open_), count)] = compare(data, offsets, count[open_], copies[open_])
+        begin = np.cumsum(count) - count
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
         again = twice[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(len(row))]

@@ -11,6 +11,10 @@ import numpy as np
 from loomgraph.llm.textarrays import powers, prefix_hash, windows
 
 
+#: Bytes that are compared without first asking how many a group shares.
+PLAIN = 32
+
+
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one that starts a byte later; the end counts as smallest."""
     n = len(text)
@@ -68,14 +72,18 @@ class Suffixes:
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(key) else np.zeros(0, np.int64)
         back = order
         open_ = np.flatnonzero(self._tied(group))
+        known = 8
         while len(open_):
             # ``open_`` holds the places of tied groups, in order
             own, place = group[open_], some[open_]
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            lcp = common_prefix(self.sums, self.powers, place[:-1], place[1:], self.depth)
-            lcp[head[1:] - 1] = self.depth  # neighbours of different groups
-            shared = np.minimum.reduceat(np.r_[lcp, self.depth], head)
-            ahead = np.repeat(shared, np.diff(np.r_[head, len(own)]))
+            if known < PLAIN:  # most ties end soon
+                ahead, known = known, known + 8
+            else:
+                head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                lcp = common_prefix(self.sums, self.powers, place[:-1], place[1:], self.depth)
+                lcp[head[1:] - 1] = self.depth  # neighbours of different groups
+                shared = np.minimum.reduceat(np.r_[lcp, self.depth], head)
+                ahead = np.repeat(shared, np.diff(np.r_[head, len(own)]))
             key = eight_bytes(self.text, place + ahead)
             turn = np.lexsort((key, own))
             some[open_], back[open_] = place[turn], back[open_][turn]
