@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from loomgraph.llm.textarrays import slices, text_bytes
 
 END_ID = 1
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Words that a worker keeps with their ids; others are encoded once per piece. Bounds the worker's memory only.
 KEPT_WORDS = 700_000
 ORC_OPTIONS = {
