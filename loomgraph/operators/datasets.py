@@ -143,6 +143,14 @@ def chunk_pairs(prompts: DataFrame, parsed: DataFrame, doc: str, keys: list[str]
     return rows.join(dev, doc, "left").withColumn("split", F.when(F.col("__dev"), "dev").otherwise("train")).drop("__dev")
 
 
+def chunk_failures(parsed: DataFrame) -> DataFrame:
+    """How many responses gave a pair, held no JSON, or held broken JSON."""
+    return parsed.agg(
+        F.count(F.lit(1)).alias("responses"), F.count_if(F.col("outcome") == "ok").alias("pairs"),
+        F.count_if(F.col("outcome") == "no_json").alias("no_json"), F.count_if(F.col("outcome") == "invalid_json").alias("invalid_json"),
+    )
+
+
 def chat_questions(answerable: DataFrame, topics: DataFrame, templates: list[str], n: int, seed: str = "42") -> DataFrame:
     """``n`` answerable questions in hash order, and every absent topic in every template.
 

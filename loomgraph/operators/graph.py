@@ -21,6 +21,24 @@ def graph_nodes(triples: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def ranked_edges(hits: DataFrame, triples: DataFrame) -> DataFrame:
+    """Edges of the triples that a query found, in the order of the hits.
+
+    ``hits``: qid, triple_id, rank (at most k rows per query).
+    """
+    own = triples.select("triple_id", "subject", "object", "predicate", "kind", "document_id", "statement", "event_at")
+    return hits.select("qid", "rank", "triple_id").join(own, "triple_id").select(
+        "qid", "rank", F.col("subject").alias("source"), F.col("object").alias("target"), "predicate", "kind",
+        "document_id", "statement", "event_at",
+    )
+
+
+def ranked_nodes(edges: DataFrame) -> DataFrame:
+    """Entities of ``ranked_edges`` with their degree inside the hits of each query."""
+    ends = edges.select("qid", F.explode(F.array("source", "target")).alias("id"))
+    return ends.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def graph_period(triples: DataFrame) -> DataFrame:
     """First and last event time, share of edges with a time, number of kinds."""
     # kinds are counted over partial groups, so no task sees more than one row per kind

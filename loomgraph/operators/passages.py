@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import CORE_MARKERS, EXTENDED_MARKERS, is_blank, marker, pack_lines, sentences
+from loomgraph.functions.text import CORE_MARKERS, EXTENDED_MARKERS, bind, is_blank, marker, pack_lines, sentences
 from loomgraph.operators.ingest import META_HEADING
 from loomgraph.operators.scale import first_per_key, ordered_concat, prefix_scan, unnest
 from loomgraph.operators.sections import block_bucket
@@ -61,6 +61,23 @@ def number_sentences(chunks: DataFrame, keys: list[str], text: str = "text", cap
     )
 
 
+def sentence_jobs(chunks: DataFrame, keys: list[str], text: str = "text", core=CORE_MARKERS, extended=EXTENDED_MARKERS) -> DataFrame:
+    """Numbered sentences of each chunk as one text, marked ones with a star, with both counts. No shuffle."""
+
+    def line(s: Column, n: Column) -> Column:
+        flag = F.when(marker(s, core, extended).isNotNull(), " * ").otherwise("   ")
+        return F.struct(F.concat(F.format_string("S%03d", n + 1), flag, s).alias("line"), (flag == " * ").alias("marked"))
+
+    listed = bind(sentences(F.col(text), 2), lambda all_: F.transform(all_, line))
+    rows = chunks.select(*keys, listed.alias("__l")).where(F.size("__l") > 0)
+    return rows.select(
+        *keys,
+        F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("body"),
+        F.size("__l").cast("long").alias("n_sentences"),
+        F.size(F.filter("__l", lambda x: x["marked"])).cast("long").alias("n_marked"),
+    )
+
+
 def gate_chunks(chunks: DataFrame, mode: str, text: str = "text", core=CORE_MARKERS, extended=EXTENDED_MARKERS) -> DataFrame:
     """Chunk bodies: ``off`` unchanged, ``filter`` only with a marked sentence, ``hint`` with a list of them."""
     if mode not in ("off", "filter", "hint"):

@@ -162,6 +162,14 @@ def chunk_sft_pairs(spark, d):
     return DS.chunk_pairs(prompts, parsed, "document_id", ["document_id"]).select("document_id", "prompt", "split")
 
 
+@PLANS.add(
+    "chunk_sft_failures",
+    sql("SELECT count(*) AS responses, count(*) FILTER (WHERE outcome = 'ok') AS pairs, count(*) FILTER (WHERE outcome = 'no_json') AS no_json, count(*) FILTER (WHERE outcome = 'invalid_json') AS invalid_json FROM v_parsed"),
+)
+def chunk_sft_failures(spark, d):
+    return DS.chunk_failures(PM.parsed(spark, d))
+
+
 ABSENT = ["Is there a policy on {x}?", "Who owns {x}?", "When was {x} decided?"]
 
 EXTRA["v_chatq"] = """

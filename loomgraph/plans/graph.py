@@ -500,6 +500,26 @@ def triple_search(spark, d):
     )
 
 
+def ranked_edges_of(spark, d):
+    return GR.ranked_edges(triple_search(spark, d), I.v_triple(spark, d))
+
+
+@PLANS.add(
+    "ranked_edges",
+    sql("SELECT qid, rank, subject AS source, object AS target, predicate, kind, document_id, statement, t.event_at FROM v_thit JOIN v_triple t USING (triple_id)"),
+)
+def ranked_edges(spark, d):
+    return ranked_edges_of(spark, d)
+
+
+@PLANS.add(
+    "ranked_nodes",
+    sql("SELECT qid, id, count(*) AS degree FROM (SELECT qid, unnest([subject, object]) AS id FROM v_thit JOIN v_triple USING (triple_id)) GROUP BY ALL"),
+)
+def ranked_nodes(spark, d):
+    return GR.ranked_nodes(ranked_edges_of(spark, d))
+
+
 @PLANS.add(
     "expand_one_hop",
     sql("""

@@ -207,6 +207,29 @@ def judge_jobs(spark, d):
     return job_items(spark, d)
 
 
+@PLANS.add(
+    "judge_jobs_by_document",
+    sql("""SELECT document_id, count(*) AS n_items, 0::BIGINT AS n_dropped, string_agg(item_id || '=' || subject, ';' ORDER BY length(item_id), item_id) AS items,
+length(any_value(context)) AS n_chars FROM v_jobitem GROUP BY document_id"""),
+)
+def judge_jobs_by_document(spark, d):
+    nodes = D.decision_nodes(I.v_decision_triple(spark, d), "decision:")
+    context = read_table(spark, d, "documents").selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS text")
+    jobs = MI.judge_jobs_by_document(nodes, context)
+    listed = F.array_join(F.transform("items", lambda x: F.concat(x["item_id"], F.lit("="), x["subject"])), ";")
+    return jobs.select("document_id", "n_items", "n_dropped", listed.alias("items"), F.length("context").cast("long").alias("n_chars"))
+
+
+@PLANS.add(
+    "sentence_jobs",
+    sql(f"""SELECT doc_id, chunk, string_agg(printf('S%03d', n) || CASE WHEN {PD.MARK} IS NOT NULL THEN ' * ' ELSE '   ' END || sentence, chr(10) ORDER BY n) AS body,
+count(*) AS n_sentences, count(*) FILTER (WHERE {PD.MARK} IS NOT NULL) AS n_marked FROM v_packsent GROUP BY doc_id, chunk"""),
+)
+def sentence_jobs(spark, d):
+    chunks = P.paragraph_pack(read_spread(spark, d), PD.PACK)
+    return P.sentence_jobs(chunks, ["doc_id", "chunk"], core=I.PROSE_CORE_MARKERS, extended=I.PROSE_EXTENDED_MARKERS)
+
+
 @PLANS.add(
     "judge_join",
     sql("""
