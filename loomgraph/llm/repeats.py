@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -32,8 +31,8 @@ from loomgraph.llm.textarrays import Words, prefix_hash, slices, text_bytes, win
 from loomgraph.session import materialize
 
 PIECE = 1 << 20
-#: Runs of one anchor from which on its windows are counted outside its bucket.
-HOT = 200_000
+#: Runs of one anchor from which on its windows are counted outside its bucket: a few hundred bytes each at most.
+HOT = 500_000
 #: Bytes of packed strings that a task compares at once; the runs of one anchor stay together.
 AT_ONCE = 2 << 20
 #: Bytes of different strings up to which a bucket is compared by the operator's own method.
@@ -225,9 +224,9 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
     def found(table: pa.Table) -> pa.RecordBatch:
         n, start = table.column("n").to_numpy(), table.column("start").to_numpy()
         # equal strings once, with the number of their texts; they have the same windows
-        strings = np.array(table.column("packed").to_pylist(), dtype=object)
-        which, different = pd.factorize(strings)
-        first = np.flatnonzero(~pd.Series(which).duplicated().to_numpy())
+        packed = table.column("packed").unify_dictionaries().combine_chunks()
+        used, first, which = np.unique(packed.indices.to_numpy(), return_index=True, return_inverse=True)
+        which, different = which.ravel(), packed.dictionary.take(pa.array(used))
         copies = np.bincount(which, weights=table.column("copies").to_numpy())
         # an anchor whose strings all occur twice is settled, and so is one with a single string: no window of a run
         # equals another of the same run, since both would have the anchor at one place
@@ -237,7 +236,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         count = n[first]
         twice = np.repeat(copies > 1, count)
         if len(open_):
-            data, offsets = text_bytes(pa.array(different[open_].tolist(), pa.binary()))
+            data, offsets = text_bytes(different.take(pa.array(open_)))
             compare = plan.again if len(data) <= LARGE else by_hash
             twice[np.repeat(np.isin(np.arange(len(first)), open_), count)] = compare(data, offsets, count[open_], copies[open_])
         begin = np.cumsum(count) - count
@@ -255,21 +254,26 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         )
 
     def run(batches):
-        held, size = [], 0
+        held, size, limit = [], 0, AT_ONCE
         for batch in batches:
-            held.append(batch)
-            size += batch.column(5).nbytes
-            if size >= AT_ONCE:
-                table = pa.Table.from_batches(held)
+            # a passage that many texts share is held once
+            held.append(batch.set_column(5, "packed", batch.column(5).dictionary_encode()))
+            size += held[-1].nbytes
+            if size >= limit:
+                table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
                 anchor = table.column("anchor").to_numpy()
                 # the last anchor may go on in the next batch
                 cut = int(np.searchsorted(anchor, anchor[-1], "left"))
+                if not cut:
+                    held, size, limit = table.to_batches(), table.nbytes, 2 * table.nbytes
+                    continue
                 for part in _cut(table.slice(0, cut), anchor[:cut]):
                     yield found(part)
-                rest = table.slice(cut).combine_chunks()
-                held, size = rest.to_batches(), sum(b.column(5).nbytes for b in rest.to_batches())
+                plain = table.slice(cut).column("packed").cast(pa.binary()).combine_chunks()
+                rest = table.slice(cut).set_column(5, "packed", plain.dictionary_encode())
+                held, size, limit = rest.to_batches(), rest.nbytes, AT_ONCE
         if held:
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
             for part in _cut(table, table.column("anchor").to_numpy()):
                 yield found(part)
 
@@ -285,7 +289,8 @@ def _cut(table: pa.Table, anchor: np.ndarray) -> Iterator[pa.Table]:
     """Whole anchors of about ``AT_ONCE`` bytes at a time."""
     if not len(anchor):
         return
-    length = np.cumsum(pc.binary_length(table.column("packed")).to_numpy())
+    packed = table.column("packed").combine_chunks()
+    length = np.cumsum(pc.binary_length(packed.dictionary).to_numpy()[packed.indices.to_numpy()])
     edges = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
     a, base = 0, 0
     for e, following in zip(edges, [*edges[1:], None]):
