@@ -1,4 +1,4 @@
-"""Registered queries of the operators in this package and their SQL."""
+"""Registered queries of the operators in this package; ``SQL`` holds their checks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from loomgraph.llm import decontaminate, language_id, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
+from loomgraph.llm.oracle import SQL
 from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
 
@@ -73,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_files,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

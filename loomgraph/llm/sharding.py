@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts of a shard that are numbered separately; only their counts meet in one window.
-BUCKETS = 4096
+#: Hex digits of an MD5 that cut a shard into parts numbered separately: only 4,096 counts of it meet in one window.
+DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -89,12 +89,13 @@ def _cases(key: Column, nodes: Sequence[Node], picked: Column) -> Column:
 DEFAULT = tree([[[1, 1], [1, 1]], [[1, 1], [1, 1]]])
 
 
-def numbered(df: DataFrame, group: str, order: Sequence[str], name: str, buckets: int = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: Sequence[str], name: str, digits: int = DIGITS) -> DataFrame:
     """Gapless numbers from 0 inside each group, in the order of hash buckets and of ``order`` inside them.
 
-    Only counts of (group, bucket) meet in one window per group, ``buckets`` of them at most.
+    Only counts of (group, bucket) meet in one window per group.
     """
-    cut = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    key = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order))
+    cut = df.withColumn("__bucket", F.substring(F.md5(key), 1, digits))
     upto = W.partitionBy(group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     start = (
         cut.groupBy(group, "__bucket")
