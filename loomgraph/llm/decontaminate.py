@@ -142,7 +142,12 @@ def decontamination_report(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"),
         F.sort_array(F.collect_set("item_id")).alias("ids"),
     )
-    hits = hits.select("key", covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"))
+    hits = hits.select(
+        "key",
+        covered(F.col("spans")).alias("n_hit"),
+        F.size("ids").cast("long").alias("n_items"),
+        F.array_join("ids", ",").alias("ids"),
+    )
     text = docs[text_col].cast("string")
     rows = docs.select(
         docs[id_col].alias(id_col), text_key(text).alias("key"), F.size(words(text)).cast("long").alias("n_words")

@@ -216,9 +216,11 @@ def duplicate_lines(
     groups = groups.where("low < high").select("key", "whole", "longer", "changed")
     met = slim.join(groups, "key")
     equal = met.where((F.col("role") == WHOLE) & (F.col("whole") < F.col("place"))).select("place.*")
-    other = F.when(F.col("role") == CHANGED, F.col("changed")).when(F.col("role") == LONGER, F.col("whole")).otherwise(F.col("longer"))
+    role = F.col("role")
+    other = F.when(role == CHANGED, F.col("changed")).when(role == LONGER, F.col("whole")).otherwise(F.col("longer"))
     links = met.withColumn("other", other).where("other < place").groupBy("place").agg(F.min("other").alias("other"))
-    lines = keys.where((F.col("role") == WHOLE) & F.col("words").isNotNull()).select(place.alias("at"), "words").dropDuplicates(["at"])
+    lines = keys.where((F.col("role") == WHOLE) & F.col("words").isNotNull())
+    lines = lines.select(place.alias("at"), "words").dropDuplicates(["at"])
     mine = links.join(lines, F.col("place").eqNullSafe(F.col("at"))).drop("at")
     theirs = lines.select("at", F.col("words").alias("like"))
     pairs = mine.join(theirs, F.col("other").eqNullSafe(F.col("at"))).select("place.*", "words", "like")

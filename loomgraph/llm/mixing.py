@@ -20,6 +20,8 @@ MOST_EPOCHS = 2.0
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
+#: White space and the printable ASCII characters that are no letters.
+NO_LETTERS = "".join(map(chr, [*range(9, 14), *range(32, 65), *range(91, 97), *range(123, 127)]))
 
 
 def n_words(text: Column) -> Column:
@@ -28,8 +30,8 @@ def n_words(text: Column) -> Column:
 
 def letter_share(text: Column) -> Column:
     """Default quality: the share of a text's characters that are ASCII letters or beyond ASCII, at least 0.01."""
-    rest = F.length(F.translate(text, "".join(map(chr, [*range(9, 14), *range(32, 65), *range(91, 97), *range(123, 127)])), ""))
-    return F.coalesce(F.greatest(rest / F.greatest(F.length(text), F.lit(1)), F.lit(0.01)), F.lit(0.01))
+    letters = F.length(F.translate(text, NO_LETTERS, ""))
+    return F.coalesce(F.greatest(letters / F.greatest(F.length(text), F.lit(1)), F.lit(0.01)), F.lit(0.01))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -67,7 +69,8 @@ def take(rows: DataFrame, seed: str = SEED, **targets) -> DataFrame:
 
     A source's rows may be a third of all: its words are summed by bucket, and one bucket of each source is sorted.
     """
-    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), "tie")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    name = F.concat_ws("/", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), "tie")
+    u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = materialize(
         rows.withColumn("key", -F.ln(u) / F.col("quality"))
         # 1 - exp(-key) runs from 0 to 1 with the key, evenly where the quality is 1
@@ -84,10 +87,11 @@ def take(rows: DataFrame, seed: str = SEED, **targets) -> DataFrame:
         .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     )
     a, s = aims.alias("a"), sums.alias("s")
+    place = F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))
     last = (
         a.join(s, F.col("a.source").eqNullSafe(F.col("s.source")), "left")
         .groupBy("a.source", "source_size", "target", "epochs", "rest")
-        .agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("last"))
+        .agg(F.min(F.when(F.col("upto") > F.col("rest"), place)).alias("last"))
         .select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest", "last.bucket", "last.before")
         .withColumnRenamed("bucket", "last_bucket")
     )
@@ -109,47 +113,59 @@ def take(rows: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     return others.select(*typed).unionByName(parted.select(*typed))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """Digest of the mix: id, size in words, source_size, target of the source, words taken (repeats counted).
-
-    A null text has size 0 and nothing to take; null is a source of its own; repeated rows are drawn each by itself as
-    far as their texts differ and one after the other where they do not; an empty table gives no rows. Runs agree.
-    """
+def _rows(docs: DataFrame, quality: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = docs[text_col].cast("string")
-    rows = docs.select(
+    return docs.select(
         docs[id_col].alias("id"),
-        F.md5(F.coalesce(text, F.lit("\0"))).alias("tie"),
+        text_tie(text).alias("tie"),
         docs[source_col].cast("string").alias("source"),
         n_words(text).alias("size"),
         (letter_share(text) if quality is None else quality).alias("quality"),
     )
+
+
+def text_tie(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("\0")))
+
+
+def mix(
+    docs: DataFrame,
+    quality: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    **targets,
+) -> DataFrame:
+    """Digest of the mix: id, size in words, source_size, target of the source, words taken (repeats counted).
+
+    A null text has size 0 and nothing to take; null is a source of its own; repeated rows are drawn each by itself as
+    far as their texts differ and one after the other where they do not; an empty table gives no rows. Runs agree.
+    """
+    rows = _rows(docs, quality, id_col, text_col, source_col)
     return take(rows, **targets).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    quality: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    **targets,
+) -> DataFrame:
     """The mix itself: each row of ``docs`` once per epoch that takes it, all columns as they are.
 
     A document that is taken in part is in if at least half of its words are; rows without words are left out.
     """
-    text = docs[text_col].cast("string")
-    tie = F.md5(F.coalesce(text, F.lit("\0")))
-    rows = docs.select(
-        docs[id_col].alias("id"),
-        tie.alias("tie"),
-        docs[source_col].cast("string").alias("source"),
-        n_words(text).alias("size"),
-        (letter_share(text) if quality is None else quality).alias("quality"),
-    )
+    taken = take(_rows(docs, quality, id_col, text_col, source_col), **targets)
     # equal rows (id, text and source) cannot be told apart, so they share their copies
     copies = (
-        take(rows, **targets)
-        .withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
-        .groupBy("id", "tie", "source")
-        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-        .where("copies > 0")
-        .select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), "copies", "rows")
+        taken.withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
+        .groupBy(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"))
+        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+        .where("__copies > 0")
     )
-    own = docs.withColumn("__own", tie)
+    own = docs.withColumn("__own", text_tie(docs[text_col].cast("string")))
     joined = own.join(
         copies,
         own[id_col].eqNullSafe(F.col("__id"))
@@ -157,6 +173,7 @@ def mixed(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id"
         & own[source_col].cast("string").eqNullSafe(F.col("__source")),
     )
     turn = W.partitionBy("__id", "__tie", "__source").orderBy(F.lit(1))
-    number = F.when(F.col("rows") > 1, F.row_number().over(turn)).otherwise(F.lit(1))
-    each = F.floor(F.col("copies") / F.col("rows")) + F.when(number <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    return joined.withColumn("__each", each).where("__each > 0").withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__each").cast("int")))).select(*docs.columns)
+    number = F.when(F.col("__rows") > 1, F.row_number().over(turn)).otherwise(F.lit(1))
+    more = F.when(number <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    each = joined.withColumn("__each", F.floor(F.col("__copies") / F.col("__rows")) + more).where("__each > 0")
+    return each.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__each").cast("int")))).select(*docs.columns)

@@ -38,14 +38,16 @@ def _sketches(keyed: DataFrame, n: int) -> DataFrame:
                 first = (ends - count)[some]
                 fp = np.zeros(len(some), np.uint64)
                 for bit in range(64):
-                    votes = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64), first) if len(some) else first
+                    ones = (hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64)
+                    votes = np.add.reduceat(ones, first) if len(some) else first
                     fp |= (2 * votes > count[some]).astype(np.uint64) << np.uint64(bit)
                 least = np.empty((len(some), 2 * BUCKETS), np.uint64)
                 for k in range(2 * BUCKETS):
                     salted = mix(hashes ^ mix(np.full(1, k + 1, np.uint64)))
                     least[:, k] = np.minimum.reduceat(salted, first) if len(some) else 0
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(some) + 1, dtype=np.int32) * (2 * BUCKETS)), pa.array(least.ravel().view(np.int64))
+                    pa.array(np.arange(len(some) + 1, dtype=np.int32) * (2 * BUCKETS)),
+                    pa.array(least.ravel().view(np.int64)),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(some + a)), pa.array(fp.view(np.int64)), lists],
@@ -100,10 +102,8 @@ def near_copy_classes(
     text = docs[text_col].cast("string")
     keyed = docs.select(text_key(text).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     sketches = materialize(_sketches(keyed, n), "sketches").dropDuplicates(["key"])
-    each = F.posexplode(
-        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.xxhash64(F.get("least", 2 * k), F.get("least", 2 * k + 1)))
-    ).alias("band", "bits")
-    dealt = sketches.select("key", "fp", "least", each)
+    pairs = [F.xxhash64(F.get("least", F.lit(2 * k)), F.get("least", F.lit(2 * k + 1))) for k in range(BUCKETS)]
+    dealt = sketches.select("key", "fp", "least", F.posexplode(F.array(*pairs)).alias("band", "bits"))
     large = dealt.groupBy("band", "bits").count().where(F.col("count") > split_over)
     large = materialize(large.select("band", "bits"), "large-buckets")
     if large.isEmpty():
@@ -111,7 +111,8 @@ def near_copy_classes(
     else:
         # a large bucket is dealt again by each of eight further min-hashes
         usual = dealt.join(large, ["band", "bits"], "left_anti")
-        more = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.get("least", F.pmod(2 * F.col("band") + 1 + k, F.lit(2 * BUCKETS))))).alias("again", "bits2")
+        others = [F.get("least", F.pmod(2 * F.col("band") + F.lit(1 + k), F.lit(2 * BUCKETS))) for k in range(1, 9)]
+        more = F.posexplode(F.array(*others)).alias("again", "bits2")
         hot = dealt.join(large, ["band", "bits"]).select("key", "fp", "band", "bits", more)
         links = linked_rows(usual, ["band", "bits"], "key", RADII).union(
             linked_rows(hot, ["band", "again", "bits", "bits2"], "key", RADII)
@@ -131,10 +132,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = near_copy_classes(docs, text_col, **options)
     labelled = rows.join(classes, "key", "left").withColumn("label", F.coalesce("label", "key"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    chosen = materialize(labelled.groupBy("label").agg(best.alias("first")).select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key")), "chosen")
+    firsts = labelled.groupBy("label").agg(best.alias("first"))
+    chosen = materialize(firsts.select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key")), "chosen")
     own = docs.withColumn("__own", key)
     kept = own.join(chosen, own[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    twice = rows.groupBy("id", "key").count().where("count > 1").join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left_semi")
+    is_chosen = F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
+    twice = rows.groupBy("id", "key").count().where("count > 1").join(chosen, is_chosen, "left_semi")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["__id", "__key"])
     return kept.select(*docs.columns)

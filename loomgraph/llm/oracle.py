@@ -22,7 +22,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-PLAIN = "".join(map(chr, [*range(9, 14), *range(32, 65), *range(91, 97), *range(123, 127)])).replace("'", "''")
+PLAIN = mixing.NO_LETTERS.replace("'", "''")
 OP5 = f"""
 WITH r AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(text, chr(0))) AS tie,

@@ -72,17 +72,9 @@ def shard_of(key: Column, node: Node) -> Column:
         return shard_of(key, live[0])
     draws = [F.struct(draw(key, c).alias("d"), F.lit(i).alias("child")) for i, c in enumerate(live)]
     picked = F.array_max(F.array(*draws))["child"]
-    return F.element_at(F.array(*(shard_of(key, c) for c in live)), picked + 1) if _even(live) else _cases(key, live, picked)
-
-
-def _even(nodes: Sequence[Node]) -> bool:
-    return all(not n.children for n in nodes)
-
-
-def _cases(key: Column, nodes: Sequence[Node], picked: Column) -> Column:
-    out = F.when(picked == 0, shard_of(key, nodes[0]))
-    for i, n in enumerate(nodes[1:], 1):
-        out = out.when(picked == i, shard_of(key, n))
+    out = F.when(picked == 0, shard_of(key, live[0]))
+    for i, child in enumerate(live[1:], 1):
+        out = out.when(picked == i, shard_of(key, child))
     return out
 
 
