@@ -9,9 +9,10 @@ left out between them; shorter lines must be equal. Every line gives the hash of
 So sharing a key is being alike, and a key's earliest place is all its lines need: no pairs are formed within a key.
 Each link is then verified on the words of both lines.
 
-Alike lines share their first or their last half, so only lines with a half that another line has give the shorter forms.
-Which halves are shared is counted in a pass of its own and handed on as a bitmap of ``filter_bits`` bits: its size does
-not depend on the data, and a wrong bit costs a few more keys, never a link.
+Alike lines share their first or their last half, so only lines with a half that another line has give the shorter forms,
+and only keys that two lines give are sent on with their places. Which halves and keys those are is counted in passes of
+their own, eight bytes each, and handed on as bitmaps of ``filter_bits`` bits: their size does not depend on the data,
+and a wrong bit costs a few more keys, never a link.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.repeats import pieces, text_key
+from loomgraph.llm.repeats import pieces, text_key, unzipped, zipped
 from loomgraph.llm.textarrays import Words, mix, powers, prefix_hash
 from loomgraph.session import materialize
 
 MIN_WORDS = 8
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
 CHUNK = 32768  # bits of one bitmap row, as in bitmap_construct_agg
 WHOLE, LONGER, CHANGED = 0, 1, 2
 NEWLINE = np.zeros(256, bool)
@@ -70,8 +71,37 @@ class Lines:
         return mix(first ^ salt), mix(last ^ ~salt)
 
 
-def _shared_halves(docs: DataFrame, text_col: str, min_words: int, filter_bits: int) -> np.ndarray:
-    """Bitmap of the halves that two different lines share."""
+class Bitmap:
+    """Which hashes are in a set, up to chance."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.int64) % np.int64(len(self.bits) * 8)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+
+
+def _bitmap(keys: DataFrame, filter_bits: int) -> Bitmap:
+    """The bitmap of a column ``key`` of longs."""
+    bit = F.pmod("key", F.lit(filter_bits))
+    rows = (
+        keys.select(F.floor(bit / CHUNK).cast("int").alias("chunk"), F.pmod(bit, F.lit(CHUNK)).alias("bit"))
+        .groupBy("chunk")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()  # filter_bits / 8 bytes at most
+    )
+    out = np.zeros(filter_bits // 8, np.uint8)
+    for chunk, bits in rows:
+        place = chunk * CHUNK // 8
+        own = np.frombuffer(bits, np.uint8)[: len(out) - place]
+        out[place : place + len(own)] = own
+    return Bitmap(out)
+
+
+def _shared_halves(docs: DataFrame, text_col: str, min_words: int, filter_bits: int) -> Bitmap:
+    """Halves that two different lines of one length share, and the complements of halves that a line shares with one
+    a word longer."""
 
     def run(batches):
         for batch in batches:
@@ -81,31 +111,68 @@ def _shared_halves(docs: DataFrame, text_col: str, min_words: int, filter_bits:
                 for less in (0, 1):
                     length = np.maximum(lines.n - less, 0)
                     long = length >= min_words
+                    # the longer line of a pair only has to be there
+                    line = own[long].view(np.int64) if not less else np.zeros(int(long.sum()), np.int64)
                     for key in lines.halves(length):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[long].view(np.int64)), pa.array(own[long].view(np.int64))],
+                            [
+                                pa.array(key[long].view(np.int64)),
+                                pa.array(line, mask=np.full(len(line), bool(less))),
+                            ],
                             names=["half", "line"],
                         )
 
     halves = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "half long, line long")
-    shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b")
-    bit = F.pmod("half", F.lit(filter_bits))
-    rows = (
-        shared.select(F.floor(bit / CHUNK).cast("int").alias("chunk"), F.pmod(bit, F.lit(CHUNK)).alias("bit"))
-        .groupBy("chunk")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        .collect()  # filter_bits / 8 bytes at most
+    met = halves.groupBy("half").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.bool_or(F.col("line").isNull()).alias("longer")
     )
-    out = np.zeros(filter_bits // 8, np.uint8)
-    for chunk, bits in rows:
-        own = np.frombuffer(bits, np.uint8)[: CHUNK // 8]
-        out[chunk * CHUNK // 8 : chunk * CHUNK // 8 + len(own)] = own[: len(out) - chunk * CHUNK // 8]
-    return out
+    each = F.array(F.when(F.col("a") != F.col("b"), F.col("half")), F.when(F.col("longer"), F.bitwise_not("half")))
+    shared = met.where("a IS NOT NULL AND (a <> b OR longer)").select(F.explode(each).alias("key"))
+    return _bitmap(shared.where("key IS NOT NULL"), filter_bits)
+
+
+def _forms(lines: Lines, shared: Bitmap, min_words: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], np.ndarray]:
+    """(line, key, role) of the shorter forms of lines and, per line, whether it may be alike to another."""
+    rows = np.arange(len(lines.n))
+    found, close = [], np.zeros(len(rows), bool)
+    for less, role in ((0, CHANGED), (1, LONGER)):
+        length = np.maximum(lines.n - less, 0)
+        halves = lines.halves(length)
+        long = length >= min_words
+        first, last = (shared(k if role == CHANGED else ~k) & long for k in halves)
+        close |= first | last
+        if role == CHANGED:  # or the shorter one of a pair
+            close |= (shared(~halves[0]) | shared(~halves[1])) & long
+        # a shared first half leaves the rest to differ, and the other way round
+        low = np.where(last, 0, length // 2)
+        high = np.where(first, lines.n, lines.n - length // 2)
+        count = np.where(first | last, high - low, 0)
+        row = np.repeat(rows, count)
+        word = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - low, count)
+        key = lines.without(row, word)
+        if role == CHANGED:
+            key = mix(key + mix(word.astype(np.uint64) + np.uint64(1)))
+        found.append((row, key, role))
+    return found, close
+
+
+def _shared_keys(docs: DataFrame, text_col: str, shared: Bitmap, min_words: int, filter_bits: int) -> Bitmap:
+    """Keys that are given twice or more."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(0)):
+                lines = Lines(data, offsets)
+                forms, _ = _forms(lines, shared, min_words)
+                keys = np.concatenate([lines.hash(lines.begin, lines.end), *(key for _, key, _ in forms)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    keys = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "key long")
+    return _bitmap(keys.groupBy("key").count().where("count > 1"), filter_bits)
 
 
-def _keys(keyed: DataFrame, bitmap: np.ndarray, min_words: int) -> DataFrame:
-    """(key, role, doc, text_id, line, words): the keys of every line; its words are given with the whole form only."""
-    bits = np.uint64(len(bitmap) * 8)
+def _keys(keyed: DataFrame, shared: Bitmap, twice: Bitmap, min_words: int) -> DataFrame:
+    """(key, role, doc, text_id, line, words) of the keys that two lines give; a line's words come with its whole form."""
     schema = T.StructType(
         [
             T.StructField("key", T.LongType()),
@@ -117,50 +184,37 @@ def _keys(keyed: DataFrame, bitmap: np.ndarray, min_words: int) -> DataFrame:
         ]
     )
 
-    def is_set(keys: np.ndarray) -> np.ndarray:
-        at = keys.view(np.int64) % np.int64(bits)
-        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
-
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(2)):
                 lines = Lines(data, offsets)
-                rows = np.arange(len(lines.n))
-                found = [(rows, lines.hash(lines.begin, lines.end), WHOLE)]
-                wanted = np.zeros(len(rows), bool)
-                for less, role in ((0, CHANGED), (1, LONGER)):
-                    length = np.maximum(lines.n - less, 0)
-                    first, last = (is_set(k) & (length >= min_words) for k in lines.halves(length))
-                    wanted |= first | last
-                    # a shared first half leaves the rest to differ, and the other way round
-                    low = np.where(last, 0, length // 2)
-                    high = np.where(first, lines.n, lines.n - length // 2)
-                    count = np.where(first | last, high - low, 0)
-                    row = np.repeat(rows, count)
-                    word = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - low, count)
-                    key = lines.without(row, word)
-                    if role == CHANGED:
-                        key = mix(key + mix(word.astype(np.uint64) + np.uint64(1)))
-                    found.append((row, key, role))
+                forms, close = _forms(lines, shared, min_words)
+                met = np.zeros(len(close), bool)
+                found = []
+                for row, key, role in forms:
+                    again = twice(key)
+                    met[row[again]] = True
+                    found.append((row[again], key[again], role))
+                whole = lines.hash(lines.begin, lines.end)
+                rows = np.flatnonzero(met | twice(whole))
+                found.append((rows, whole[rows], WHOLE))
                 flat, begin, end = lines.words.joined()
                 body = flat.tobytes()
                 left, right = begin[lines.begin].tolist(), end[lines.end - 1].tolist()
                 for row, key, role in found:
-                    for x in range(0, len(row), 50_000):
-                        part = row[x : x + 50_000]
-                        text = [body[left[r] : right[r]] if w else None for r, w in zip(part, wanted[part])]
-                        at = pa.array(lines.text[part] + a)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(key[x : x + 50_000].view(np.int64)),
-                                pa.array(np.full(len(part), role, np.int8)),
-                                batch.column(0).take(at),
-                                batch.column(1).take(at),
-                                pa.array(lines.number[part].astype(np.int32)),
-                                pa.array(text if role == WHOLE else [None] * len(part), pa.binary()),
-                            ],
-                            names=schema.names,
-                        )
+                    text = [body[left[r] : right[r]] if c else None for r, c in zip(row.tolist(), close[row].tolist())]
+                    at = pa.array(lines.text[row] + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.view(np.int64)),
+                            pa.array(np.full(len(row), role, np.int8)),
+                            batch.column(0).take(at),
+                            batch.column(1).take(at),
+                            pa.array(lines.number[row].astype(np.int32)),
+                            pa.array(text if role == WHOLE else [None] * len(row), pa.binary()),
+                        ],
+                        names=schema.names,
+                    )
 
     return keyed.select("doc", "text_id", "text").mapInArrow(run, schema)
 
@@ -196,10 +250,11 @@ def duplicate_lines(
 ) -> DataFrame:
     """``(doc, text_id, line)`` of every line with an earlier one that is alike, in the order of id, text digest and
     line. Lines are numbered from 0; ``text_id`` is the digest of the whole text."""
-    bitmap = _shared_halves(docs, text_col, min_words, filter_bits)
+    shared = _shared_halves(docs, text_col, min_words, filter_bits)
+    twice = _shared_keys(docs, text_col, shared, min_words, filter_bits)
     text = docs[text_col].cast("string")
     keyed = docs.select(docs[id_col].alias("doc"), text_key(text).alias("text_id"), F.coalesce(text, F.lit("")).alias("text"))
-    keys = materialize(_keys(keyed, bitmap, min_words), "line-keys")
+    keys = materialize(_keys(keyed, shared, twice, min_words), "line-keys")
     place = F.struct("doc", "text_id", "line")
     slim = keys.select("key", "role", place.alias("place"))
 
@@ -245,10 +300,9 @@ def line_report(
         F.collect_list("line").alias("gone")
     )
     text = docs[text_col].cast("string")
-    keyed = docs.select(docs[id_col].alias("doc"), text_key(text).alias("text_id"), text.alias("text"))
-    rows = keyed.join(
-        per_text, keyed.doc.eqNullSafe(F.col("__doc")) & (keyed.text_id == F.col("__id")), "left"
-    ).select("doc", "text", "gone")
+    keyed = docs.select(docs[id_col].alias("doc"), text_key(text).alias("key"), text.alias("text"))
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__id"))
+    rows = zipped(keyed).join(per_text, same, "left").select("doc", "text", "gone")
     schema = T.StructType(
         [
             T.StructField(id_col, rows.schema["doc"].dataType),
@@ -262,7 +316,7 @@ def line_report(
     def run(batches):
         for batch in batches:
             total, removed, texts = [], [], []
-            for text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, lines in zip(unzipped(batch.column(1)).cast(pa.string()).to_pylist(), batch.column(2).to_pylist()):
                 own = text.split("\n") if text is not None else []
                 drop = set(lines or ())
                 total.append(len(own))

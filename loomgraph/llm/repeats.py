@@ -138,7 +138,7 @@ def zipped(keyed: DataFrame) -> DataFrame:
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = [squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            texts = [None if t is None else squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["doc", "key", "text"])
 
     schema = T.StructType([*keyed.schema.fields[:2], T.StructField("text", T.BinaryType())])
@@ -147,7 +147,7 @@ def zipped(keyed: DataFrame) -> DataFrame:
 
 def unzipped(column: pa.Array) -> pa.Array:
     restore = zstandard.ZstdDecompressor().decompress
-    return pa.array([restore(t) for t in column.to_pylist()], pa.binary())
+    return pa.array([None if t is None else restore(t) for t in column.to_pylist()], pa.binary())
 
 
 def _runs(keyed: DataFrame, plan: Plan) -> DataFrame:
