@@ -256,7 +256,8 @@ def language_report(
     limits = known.groupBy("lang_pred", "length").agg(
         F.percentile_approx("cross_entropy", F.lit(float(accepted)), F.lit(10_000)).alias("limit")
     )
-    return scored.join(limits, ["lang_pred", "length"], "left").select(
+    # a dozen rows per language at most, far less than the models that every task holds anyway
+    return scored.join(F.broadcast(limits), ["lang_pred", "length"], "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "lang_pred",
