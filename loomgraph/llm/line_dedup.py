@@ -157,18 +157,27 @@ def _forms(lines: Lines, shared: Bitmap, min_words: int) -> tuple[list[tuple[np.
 
 
 def _shared_keys(docs: DataFrame, text_col: str, shared: Bitmap, min_words: int, filter_bits: int) -> Bitmap:
-    """Keys that are given twice or more."""
+    """Keys that two different lines give, and those of whole lines that occur twice."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(0)):
                 lines = Lines(data, offsets)
                 forms, _ = _forms(lines, shared, min_words)
-                keys = np.concatenate([lines.hash(lines.begin, lines.end), *(key for _, key, _ in forms)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
-
-    keys = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "key long")
-    return _bitmap(keys.groupBy("key").count().where("count > 1"), filter_bits)
+                whole = lines.hash(lines.begin, lines.end)
+                keys = np.concatenate([whole, *(key for _, key, _ in forms)])
+                line = np.concatenate([whole, *(whole[row] for row, _, _ in forms)])
+                own = np.arange(len(keys)) < len(whole)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(line.view(np.int64)), pa.array(own)],
+                    names=["key", "line", "whole"],
+                )
+
+    keys = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(run, "key long, line long, whole boolean")
+    met = keys.groupBy("key").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.count_if("whole").alias("n_whole")
+    )
+    return _bitmap(met.where("a <> b OR n_whole > 1"), filter_bits)
 
 
 def _keys(keyed: DataFrame, shared: Bitmap, twice: Bitmap, min_words: int) -> DataFrame:
