@@ -352,6 +352,26 @@ def test_near_copies(spark, split_over):
     assert got == sorted(set(root))
 
 
+@pytest.mark.parametrize("options", [{}, {"split_over": 16, "block": 8}])
+def test_near_copies_in_stars(spark, options):
+    """Copies that are near a base but not near each other, and nearer in bits to each other than to the base."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for d in range(3):
+        base = [f"s{d}x{k}" for k in range(300)]
+        texts.append(base)
+        for _ in range(80):
+            copy = list(base)
+            for k in rng.choice(60, 5, replace=False):
+                copy[5 * k + 2] = f"new{int(rng.integers(0, 10**9))}"
+            texts.append(copy)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = B.components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = sorted(r.doc_id for r in near_copies.keep_one_of_each(docs, **options).collect())
+    assert got == sorted(set(root))
+
+
 def test_near_copies_of_awkward_rows(docs, nothing):
     def grams(text):
         w = B.words(B.lower(text))
