@@ -5,7 +5,8 @@ fingerprint is sent to one bucket per pair of blocks. A bucket's fingerprints ar
 of all rows to the row ``lag`` places further on are counted together, one machine word for 64 rows, in a carry-save
 counter per bit of the distance, and blocks of rows leave the count once each of them exceeds the radius. A bucket sends
 on one link per joined fingerprint, never its pairs. A bucket above ``split_over`` rows is dealt again by the blocks of
-its remaining bits, which again lose no pair.
+its remaining bits, which again lose no pair, and so on until it is small or ``FREE_BITS`` bits are left, which no more
+than 2 ** ``FREE_BITS`` distinct fingerprints can share.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SHINGLE = 3
 SEED = 42
 #: Rows of a bucket from which on it is dealt again by its remaining bits.
 SPLIT_OVER = 1 << 14
+FREE_BITS = 14
 #: Rows that are compared at once in a task (a larger bucket is taken whole).
 AT_ONCE = 1 << 16
 
@@ -208,22 +210,34 @@ def bucket_masks(radius: int) -> list[int]:
     return [_mask(a + b) for a, b in combinations(blocks, 2)]
 
 
-def finer_masks(radius: int) -> list[list[int]]:
-    """For each bucket mask, its bits with one of ``radius + 1`` blocks of the remaining bits."""
-    out = []
-    for mask in bucket_masks(radius):
-        own = [b for b in range(64) if mask >> b & 1]
-        rest = [b for b in range(64) if not mask >> b & 1]
-        out.append([_mask(own + block) for block in _blocks(rest, radius + 1)])
-    return out
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The bits of a mask with one of ``radius + 1`` blocks of the others; rows in reach agree under one of them."""
+    own = [b for b in range(64) if mask >> b & 1]
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [_mask(own + block) for block in _blocks(rest, radius + 1)]
 
 
-def _dealt(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    """One row per fingerprint and mask: (mask number, masked bits, fingerprint)."""
-    keys = [F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in masks]
+def _dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """One row per fingerprint and mask: (mask, masked bits, fingerprint)."""
+    keys = [F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for m in masks]
     return fps.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.mask", "k.bits", "fp")
 
 
+def _dealt_again(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows once for each finer mask of their mask."""
+
+    def run(batches):
+        for batch in batches:
+            mask, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for own in np.unique(mask).tolist():
+                some = fp[mask == own]
+                for finer in finer_masks(own, radius):
+                    columns = [np.full(len(some), finer), some & np.int64(finer), some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["mask", "bits", "fp"])
+
+    return rows.select("mask", "fp").mapInArrow(run, "mask long, bits long, fp long").distinct()
+
+
 def linked_rows(dealt: DataFrame, keys: list[str], node: str, radii: tuple[int, ...]) -> DataFrame:
     """Links ``(a, b)`` of nodes with close fingerprints ``fp`` among the rows that agree on ``keys`` (integers)."""
     width = len(keys)
@@ -266,37 +280,19 @@ def linked_rows(dealt: DataFrame, keys: list[str], node: str, radii: tuple[int,
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
     """Links ``(a, b)`` that join distinct fingerprints ``fp`` in the same way as all pairs in reach would."""
-    masks = list(enumerate(bucket_masks(radius)))
-    dealt = _dealt(fps, masks)
-    finer = finer_masks(radius)
-    size = dealt.groupBy("mask", "bits").count()
-    large = materialize(size.where(F.col("count") > split_over).select("mask", "bits"), "large-buckets")
-    if large.isEmpty():
-        return linked_rows(dealt, ["mask", "bits"], "fp", (radius,))
-    usual = linked_rows(dealt.join(large, ["mask", "bits"], "left_anti"), ["mask", "bits"], "fp", (radius,))
-    hot = dealt.join(large, ["mask", "bits"]).select("mask", "fp")
-    per = radius + 1
-    again = F.explode(
-        F.element_at(
-            F.array(
-                *(
-                    F.array(
-                        *(
-                            F.struct(
-                                F.lit(len(masks) + k * per + j).alias("mask"),
-                                F.col("fp").bitwiseAND(F.lit(m)).alias("bits"),
-                            )
-                            for j, m in enumerate(row)
-                        )
-                    )
-                    for k, row in enumerate(finer)
-                )
-            ),
-            F.col("mask") + 1,
-        )
-    )
-    finest = hot.select(again.alias("k"), "fp").select("k.mask", "k.bits", "fp")
-    return usual.union(linked_rows(finest, ["mask", "bits"], "fp", (radius,)))
+    dealt, links = _dealt(fps, bucket_masks(radius)), None
+    fixed = 64 - max(FREE_BITS, radius + 1)
+    while True:
+        large = dealt.groupBy("mask", "bits").count().where(F.col("count") > split_over)
+        large = large.where(F.bit_count("mask") < fixed).select("mask", "bits")
+        large = materialize(large, "large-buckets")
+        last = large.isEmpty()
+        usual = dealt if last else dealt.join(large, ["mask", "bits"], "left_anti")
+        found = linked_rows(usual, ["mask", "bits"], "fp", (radius,))
+        links = found if links is None else links.union(found)
+        if last:
+            return links
+        dealt = materialize(_dealt_again(dealt.join(large, ["mask", "bits"]), radius), "dealt-again")
 
 
 def fingerprint_classes(rows: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:

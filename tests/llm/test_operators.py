@@ -321,6 +321,29 @@ def test_bit_sliced_links(radius):
         assert any((int(values[x]) ^ int(values[y])) & (m % (1 << 64)) == 0 for m in masks)
 
 
+def test_simhash_of_one_hot_bucket(spark, monkeypatch):
+    """Fingerprints that agree in 44 bits: no bucket stays large, and no pair is lost."""
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 20, 1500)) + (5 << 40)
+    rest, sizes, linked = values, [], simhash.linked_rows
+
+    def recorded(dealt, keys, *more):
+        sizes.append(dealt.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+        return linked(dealt, keys, *more)
+
+    monkeypatch.setattr(simhash, "linked_rows", recorded)
+    got = {r.fp: r.label for r in simhash.fingerprint_classes(spark.createDataFrame([(int(v),) for v in values], "fp long"), 3, 60).collect()}
+    want = {}
+    while len(rest):
+        group, new = rest[:0], rest[:1]
+        while len(new):
+            group, rest = np.r_[group, new], np.setdiff1d(rest, new)
+            near = np.bitwise_count(rest[:, None] ^ new[None, :]) <= 3
+            new = rest[near.any(axis=1)]
+        want |= {int(v): int(group.min()) for v in group}
+    assert got == want and max(sizes) <= 60
+
+
 def test_chain_of_links(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 999), (5, 5), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
