@@ -37,13 +37,23 @@ BLOCK_GRAMS = 1 << 21
 CELLS = 1 << 22
 
 
+def _as_sets(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes, in order, and their number."""
+    text = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.bincount(text[new], minlength=len(count))
+
+
 def _sketches(keyed: DataFrame, n: int) -> DataFrame:
     """(key, fp, least): fingerprint and min-hashes of every text with a word."""
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(1)):
-                hashes, count = shingle_hashes(data, offsets, n)
+                hashes, count = _as_sets(*shingle_hashes(data, offsets, n))
                 some = np.flatnonzero(count)
                 ends = np.cumsum(count)
                 first = (ends - count)[some]

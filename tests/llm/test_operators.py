@@ -395,6 +395,16 @@ def test_near_copies_in_stars(spark, options):
     assert got == sorted(set(root))
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Equal sets of shingles have one fingerprint, however often a passage is repeated."""
+    one, two = " ".join(f"p{k}" for k in range(40)), " ".join(f"q{k}" for k in range(40))
+    texts = [f"{one} {one} {two} {two}", f"{one} {one} {two}" + f" {two}" * 60]
+    keyed = spark.createDataFrame([(t[-9:].encode() + bytes([k]), t) for k, t in enumerate(texts)], "key binary, text string")
+    assert len({(r.fp, tuple(r.least)) for r in near_copies._sketches(keyed, 5).collect()}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.keep_one_of_each(docs).collect()] == [0]
+
+
 def test_near_copies_of_awkward_rows(docs, nothing):
     def grams(text):
         w = B.words(B.lower(text))
