@@ -472,12 +472,7 @@ def link_predict(spark, d):
 
 @PLANS.add("transe_train")
 def transe_train(spark, d):
-    cust = read_table(spark, d, "customer")
-    nation = read_table(spark, d, "nation")
-    located = cust.join(nation, cust.c_nationkey == nation.n_nationkey)
-    edges = located.selectExpr("stack(2, c_name, 'located_in', n_name, c_name, 'buys_for', c_mktsegment) AS (subject, predicate, object)")
-    cfg = TE.TrainConfig(dim=8, epochs=3, eval_every=1)
-    _, _, curve = TE.transe_train(edges, cfg)
+    _, _, curve = TE.transe_train(I.v_triple(spark, d).select("subject", "predicate", "object"))
     return spark.createDataFrame(curve, "epoch int, train_loss double, hits10 double")
 
 
