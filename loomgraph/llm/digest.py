@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomgraph.llm import decontaminate, language_id, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
+from loomgraph.llm import (
+    decontaminate,
+    fill_middle,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    sharding,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+)
 from loomgraph.llm.oracle import SQL
 from loomgraph.session import fresh_path
 from loomgraph.sources.tables import read_table
@@ -59,6 +73,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(token_files.read_tokens(spark, path))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return quality_classifier.quality_report(read_table(spark, sf_dir, "documents"), labels)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.rearrangement_digest(fill_middle.rearranged(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_near_dedup,
         op9_substring_dedup,
         op10_token_files,
+        op11_quality_classifier,
+        op12_ranked_search,
+        op13_fill_middle,
     )
 } | {"pipeline": corpus_pipeline.run}
 

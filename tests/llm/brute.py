@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -146,3 +147,45 @@ def table(spark, rows=ROWS):
     for name in ("key", "size", "kept", "n", "id", "fp", "taken", "words", "line", "slot", "label", "tie", "start"):
         out = out.withColumn(name, F.lit("other"))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def best(rows, items, k=10):
+    """``rows`` of (doc_id, text), ``items`` of (item_id, text): (item_id, rank, doc_id, score)."""
+    held = [(d, collections.Counter(TERM.findall(lower(t)))) for d, t in rows]
+    held = [(d, c, sum(c.values())) for d, c in held if c]
+    n, total = len(held), sum(size for _, _, size in held)
+    df = collections.Counter(term for _, c, _ in held for term in c)
+    wanted = collections.defaultdict(set)
+    for item, text in items:
+        wanted[item] |= set(TERM.findall(lower(text)))
+    out = []
+    for item, terms in wanted.items():
+        scores = []
+        for doc, c, size in held:
+            m = 10 + 90 * size * n // total
+            s = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m))
+                for t in terms & c.keys()
+            )
+            if s > 0:
+                scores.append((-s, doc is None, doc or 0, doc))
+        out += [(item, rank, s[3], -s[0]) for rank, s in enumerate(sorted(scores, key=lambda s: s[:3])[:k], 1)]
+    return out
+
+
+def rearranged(doc, text, seed="7", rate=100, suffix_first=50):
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(lines)
+    digest = hashlib.sha256(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= rate:
+        return n, "plain", None, None, text
+    lo, hi = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(lines[:lo]), "".join(lines[lo:hi]), "".join(lines[hi:])
+    if h[3] % 100 < suffix_first:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
