@@ -24,14 +24,14 @@ from pyspark.sql import types as T
 from loomgraph.llm.textarrays import slices, text_bytes
 
 END_ID = 1
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Words that a worker keeps with their ids; others are encoded once per piece. Bounds the worker's memory only.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 200_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(32 << 20),
+    "orc.stripe.size": str(8 << 20),
 }
 # letters whose lower case and composed form are one character, with ASCII marks behind them
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
