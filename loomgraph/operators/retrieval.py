@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sentences, tokenize
-from loomgraph.operators.nearest import nearest_k
+from loomgraph.operators.nearest import InvertedFile, calibrated_probes, nearest_in_lists, nearest_k
 from loomgraph.operators.scale import first_per_key, salted_join, top_k, unnest
 from loomgraph.session import materialize
 
@@ -163,9 +163,17 @@ def visible_chunks(chunks: DataFrame, docs: DataFrame, space: str | None = None)
     return chunks.join(shown.select("doc_id"), "doc_id", "left_semi")
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH) -> DataFrame:
-    """Nearest ``k`` chunks per query vector by cosine distance."""
-    return nearest_k(queries, "qid", "qvec", chunks, "chunk_id", "embedding", k, metric="cosine")
+def vector_topk(
+    chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH, index: InvertedFile | None = None, recall: float = 0.9
+) -> DataFrame:
+    """Nearest ``k`` chunks per query vector by cosine distance.
+
+    Exact by default. With an index of the chunks' vectors only as many of its lists are searched as find ``recall`` of the
+    exact neighbours of a sample; chunks without a vector are then left out.
+    """
+    if index is None:
+        return nearest_k(queries, "qid", "qvec", chunks, "chunk_id", "embedding", k, metric="cosine")
+    return nearest_in_lists(index, queries, "qid", "qvec", k, calibrated_probes(index, k, recall))
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH) -> DataFrame:

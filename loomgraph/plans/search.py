@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import tokenize as tok
 from loomgraph.operators import retrieval as R
+from loomgraph.operators.nearest import inverted_file
 from loomgraph.operators.scale import salted_join, unnest
 from loomgraph.plans import inputs as I
 from loomgraph.plans.oracle_views import oracle
@@ -163,6 +164,34 @@ def vector_topk(spark, d):
     return R.vector_topk(R.visible_chunks(I.v_chunk(spark, d), I.v_doc(spark, d)), I.v_qvec(spark, d))
 
 
+def vector_index(spark, d):
+    shown = R.visible_chunks(I.v_chunk(spark, d), I.v_doc(spark, d))
+    return inverted_file(shown.select("chunk_id", "embedding"), "chunk_id", "embedding")
+
+
+@PLANS.add("vector_index_lists", sql("SELECT count(*) AS n_rows, CAST(count(DISTINCT chunk_id) AS BIGINT) AS n_ids FROM v_vis WHERE embedding IS NOT NULL"))
+def vector_index_lists(spark, d):
+    """Every vector lies in one list of the inverted file."""
+    rows = vector_index(spark, d).rows.where("list IS NOT NULL")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chunk_id").alias("n_ids"))
+
+
+@PLANS.add(
+    "vector_topk_lists",
+    sql("SELECT qid, count(*) AS wanted, true AS recall_reached, true AS distances_exact FROM v_vec GROUP BY qid"),
+)
+def vector_topk_lists(spark, d):
+    """The search by lists against the exact one: per query the neighbours asked for, whether 0.9 of all are found over all
+    queries, and whether every distance reported is that of the exact search's metric."""
+    index, q = vector_index(spark, d), I.v_qvec(spark, d)
+    exact = materialize(R.vector_topk(index.rows.select("chunk_id", F.col("embedding")), q), "exact")
+    near = materialize(R.vector_topk(None, q, index=index, recall=0.93), "near").select("qid", "chunk_id", F.col("distance").alias("near"))
+    both = exact.join(near, ["qid", "chunk_id"], "left")
+    reached = both.agg((F.count("near") >= 0.9 * F.count(F.lit(1))).alias("r")).select("r").scalar()
+    right = F.bool_and(F.col("near").isNull() | (F.col("near") == F.col("distance")))
+    return both.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"), reached.alias("recall_reached"), right.alias("distances_exact"))
+
+
 @PLANS.add("keyword_topk", sql("SELECT * FROM v_key"))
 def keyword_topk(spark, d):
     return R.keyword_topk(R.visible_chunks(I.v_chunk(spark, d), I.v_doc(spark, d)), I.v_query(spark, d))
