@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 from loomgraph.llm.textarrays import slices, text_bytes
 
 END_ID = 1
-PIECE = 1 << 20
+PIECE = 2 << 20
+#: Rows of an Arrow batch, in and out.
+BATCH_ROWS = 1000
 #: Words that a worker keeps with their ids; others are encoded once per piece. Bounds the worker's memory only.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -191,13 +193,14 @@ def write_tokens(
                 )
                 row += b - a
 
-    (
-        src.repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .mapInArrow(run, schema)
-        .write.options(**ORC_OPTIONS)
-        .orc(path)
-    )
+    dealt = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))  # smaller batches for this write only
+    try:
+        dealt.mapInArrow(run, schema).write.options(**ORC_OPTIONS).orc(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
