@@ -8,10 +8,11 @@ from loomgraph.functions.text import tokenize as tok
 from loomgraph.operators import retrieval as R
 from loomgraph.operators.nearest import inverted_file
 from loomgraph.operators.scale import salted_join, unnest
+from loomgraph.operators.search_index import SearchIndex
 from loomgraph.plans import inputs as I
 from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.session import materialize
+from loomgraph.session import fresh_path, materialize
 from loomgraph.sources.tables import read_spread
 
 PLANS = Plans()
@@ -119,6 +120,36 @@ def bm25_index(spark, d):
     )
 
 
+def stored_index(spark, d):
+    """An index that has followed the documents: built from older texts, with documents since removed, then refreshed."""
+    index = SearchIndex(spark, fresh_path(spark, "search-index"))
+    now = docs(spark, d)
+    older = now.where("doc_id % 5 <> 2").withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("earlier words "), "text")).otherwise(F.col("text")))
+    removed = now.where("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index.refresh(older.unionByName(removed))
+    index.refresh(now)
+    return index
+
+
+@PLANS.add("bm25_stored_index", sql("SELECT p.doc_id, p.term, p.tf, p.len, t.df, a.n, round(a.avgdl, 6) AS avgdl FROM v_post p JOIN v_term t USING (term), v_total a"))
+def bm25_stored_index(spark, d):
+    return stored_index(spark, d).postings().withColumn("avgdl", F.round("avgdl", 6))
+
+
+@PLANS.add("bm25_stored_search", sql("SELECT qid, doc_id, score, rank FROM v_hit WHERE rank <= 10"))
+def bm25_stored_search(spark, d):
+    return stored_index(spark, d).search(I.v_query(spark, d), "qid", "q", K)[0]
+
+
+@PLANS.add("bm25_block_reads", sql("SELECT qid, count(*) AS postings, true AS fewer_read FROM v_qterm JOIN v_post USING (term) GROUP BY qid"))
+def bm25_block_reads(spark, d):
+    """Postings of each query's terms in an index without stale ones, and whether no more than those were unpacked."""
+    index = stored_index(spark, d)
+    index.compact()
+    reads = index.search(I.v_query(spark, d), "qid", "q", K)[1]
+    return reads.select("qid", "postings", (F.col("read") <= F.col("postings")).alias("fewer_read"))
+
+
 @PLANS.add("bm25_search", sql("SELECT qid, doc_id, score, rank FROM v_hit WHERE rank <= 10"))
 def bm25_search(spark, d):
     return R.bm25_search(docs(spark, d), "doc_id", "text", I.v_query(spark, d), "qid", "q", K)
