@@ -225,7 +225,7 @@ def marker_loss(spark, d):
 
 
 def overlap(spark, d):
-    return E.token_overlap(I.v_claim(spark, d), read_spread(spark, d), I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS)
+    return E.token_overlap(I.v_claim(spark, d), read_spread(spark, d), I.PROSE_CORE_MARKERS, I.PROSE_EXTENDED_MARKERS, 0.3)
 
 
 @PLANS.add(

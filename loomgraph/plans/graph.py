@@ -15,8 +15,9 @@ from loomgraph.plans import inputs as I
 from loomgraph.plans import search
 from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
-from loomgraph.session import materialize
+from loomgraph.session import fresh_path, materialize
 from loomgraph.sources.tables import read_table, read_spread
+from loomgraph.sources.versioned import VersionedTable
 
 PLANS = Plans()
 ROLES = TR.Roles(
@@ -214,6 +215,22 @@ def replace_doc_triples(spark, d):
     return TR.replace_doc_triples(stored, fresh, drafts)
 
 
+@PLANS.add(
+    "stored_doc_triples",
+    sql("""
+SELECT document_id, subject, predicate, object FROM v_decision_triple WHERE document_id % 3 <> 0
+UNION ALL SELECT document_id, subject, 'again', object FROM v_decision_triple WHERE document_id % 3 = 0 AND document_id % 5 <> 0"""),
+)
+def stored_doc_triples(spark, d):
+    """A triple table on disk after one atomic write: re-extracted documents replaced, deleted ones gone."""
+    table = VersionedTable(spark, fresh_path(spark, "doc-triples"), ["document_id"])
+    stored = I.v_decision_triple(spark, d).select("document_id", "subject", "predicate", "object")
+    table.replace(stored)
+    fresh = stored.where("document_id % 3 = 0 AND document_id % 5 <> 0").withColumn("predicate", F.lit("again"))
+    table.replace(fresh, gone=stored.where("document_id % 15 = 0"))
+    return table.read()
+
+
 @PLANS.add("renormalize_graph", sql("SELECT * FROM v_norm"))
 def renormalize_graph(spark, d):
     return TR.renormalize_graph(raw_triples(spark, d))
