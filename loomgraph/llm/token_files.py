@@ -55,6 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model  # each access to the attribute makes an object
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = self._splits_at_marks()
         self.place = Places()
@@ -74,7 +75,7 @@ class WordEncoder:
     def _part(self, part: str) -> list[int]:
         if not part.isascii():
             part = self.bytes.pre_tokenize_str(part)[0][0]
-        return [t.id for t in self.tokenizer.model.tokenize(part)]
+        return [t.id for t in self.model.tokenize(part)]
 
     def _apart(self, found: re.Match) -> list[int]:
         ids = self._part(found[1].lower())
@@ -84,8 +85,15 @@ class WordEncoder:
         out: list[list[int] | None] = [None] * len(words)
         whole = []
         parts: dict[str, list[int]] = {}
+        tokenize = self.model.tokenize
         for k, word in enumerate(words):
-            found = _PLAIN(word.decode()) if self.plain else None
+            text = word.decode()
+            if self.plain and word.isalpha() and word.islower():  # of ASCII letters only
+                if text not in parts:
+                    parts[text] = [t.id for t in tokenize(text)]
+                out[k] = parts[text]
+                continue
+            found = _PLAIN(text) if self.plain else None
             if found:
                 letters, marks = found[1].lower(), found[2]
                 for part in (letters, marks) if marks else (letters,):
