@@ -254,25 +254,27 @@ def channel_merge(listed: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def folder_files(nodes: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def folder_files(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """All documents below each root folder at any depth.
 
-    ``nodes``: node, parent, is_folder. One join per level; each level is written to the
-    shared folder, so the plan stays flat, and a folder is visited once per root.
+    ``nodes``: node, parent, is_folder. Folders are reached by doubling: jumps of 1, 2, 4 … levels are joined with
+    themselves, so a chain of n folders takes about log2(n) rounds, and a round that reaches nothing new is the last, also
+    where folders contain each other. Each round is written, so the plan stays flat.
     """
-    frontier = roots.select(F.col("node").alias("root"), F.col("node").alias("folder")).distinct()
-    seen, files = frontier, None
-    for _ in range(max_depth):
-        below = frontier.join(nodes, nodes["parent"] == frontier["folder"]).select("root", "node", "is_folder")
-        level = materialize(below, "folder-level")
-        found = level.where(~F.col("is_folder")).select("root", "node")
-        files = found if files is None else files.unionByName(found)
-        step = level.where("is_folder").select("root", F.col("node").alias("folder")).distinct()
-        frontier = step.join(seen, ["root", "folder"], "left_anti")
-        if frontier.isEmpty():
-            return files.distinct()
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"folders nested deeper than {max_depth}")
+    jump = nodes.where("is_folder AND parent IS NOT NULL").select(F.col("parent").alias("a"), F.col("node").alias("b")).distinct()
+    seen = roots.select(F.col("node").alias("root"), F.col("node").alias("folder")).distinct()
+    jump, seen = materialize(jump, "folder-jumps"), materialize(seen, "folders")
+    reached = seen.count()
+    while True:
+        far = seen.join(jump, seen["folder"] == jump["a"]).select("root", F.col("b").alias("folder"))
+        seen = materialize(seen.unionByName(far).distinct(), "folders")
+        before, reached = reached, seen.count()
+        if reached == before:
+            break
+        then = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jump = materialize(jump.join(then, "b").select("a", F.col("c").alias("b")).distinct(), "folder-jumps")
+    files = nodes.where("NOT is_folder").select("node", F.col("parent").alias("folder"))
+    return seen.join(files, "folder").select("root", "node").distinct()
 
 
 def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
