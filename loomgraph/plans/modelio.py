@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import sentences
 from loomgraph.operators import documents as D
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import ingest as G
 from loomgraph.operators import modelio as MI
 from loomgraph.operators import passages as P
+from loomgraph.operators.scale import unnest
 from loomgraph.plans import documents as PD
 from loomgraph.plans import graph as PG
 from loomgraph.plans import inputs as I
 from loomgraph.plans import lifecycle as PL
 from loomgraph.plans.oracle_views import oracle
 from loomgraph.plans.registry import Plans
+from loomgraph.session import materialize
 from loomgraph.sources.tables import read_table, read_spread
 
 PLANS = Plans()
@@ -34,11 +37,10 @@ SELECT document_id, printf('D%03d', n) AS item_id, subject, statement, text AS c
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY subject) AS n FROM v_node) JOIN documents ON doc_id = document_id
 WHERE doc_id % 7 <> 0""",
     "v_cite": """
-SELECT doc_id, doc_id AS claim_id, unnest([1, 1 + doc_id % 5, 60]) AS k, generate_subscripts([1, 1 + doc_id % 5, 60], 1) - 1 AS n FROM documents WHERE doc_id % 4 <> 0""",
-    "v_firstpack": "SELECT doc_id, n, sentence FROM v_packsent WHERE chunk = 1",
+SELECT doc_id, chunk, unnest([1, 1 + (doc_id + chunk) % 5, 60]) AS k FROM v_pack WHERE (doc_id + chunk) % 4 <> 0""",
     "v_evid": r"""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN sentence || ' zzz' WHEN 2 THEN regexp_replace(sentence, ' ', '  ', 'g') ELSE sentence END AS evidence, text
-FROM v_sentence JOIN documents USING (doc_id) WHERE ordinal = 2""",
+SELECT doc_id, ordinal, CASE (doc_id + ordinal) % 5 WHEN 0 THEN '  ' WHEN 1 THEN sentence || ' zzz' WHEN 2 THEN regexp_replace(sentence, ' ', '  ', 'g') ELSE sentence END AS evidence, text
+FROM v_sentence JOIN documents USING (doc_id)""",
     "v_review": f"""
 SELECT doc_id, position, n, CASE WHEN doc_id % 3 = 0 THEN 123 WHEN doc_id % 3 = 1 THEN -5 ELSE 77 END AS score,
   CASE n % 5 WHEN 0 THEN 'SPELLING' WHEN 1 THEN 'STRUCTURE' WHEN 2 THEN 'OTHER' WHEN 3 THEN 'PASSIVE_VOICE' ELSE 'TERMINOLOGY' END AS category,
@@ -138,11 +140,11 @@ def extract_yield(spark, d):
     "merge_extracts",
     sql("""
 SELECT doc, i, topic, decision, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(topic), trim(decision) ORDER BY part, i) AS rn FROM (
-  SELECT document_id // 40 AS doc, document_id AS part, i, regexp_extract(topic, '^.', 0) AS topic, substr(decision, 1, 9) AS decision FROM v_dec)) WHERE rn = 1"""),
+  SELECT document_id // 40 AS doc, document_id AS part, i, topic, decision FROM v_dec)) WHERE rn = 1"""),
 )
 def merge_extracts(spark, d):
     rows = MI.recorded(parsed(spark, d)).select("document_id", F.posexplode("extract.decisionPoints").alias("i", "p")).selectExpr(
-        "document_id DIV 40 AS doc", "document_id AS part", "cast(i AS bigint) AS i", "substring(p.topic, 1, 1) AS topic", "substring(p.decision, 1, 9) AS decision"
+        "document_id DIV 40 AS doc", "document_id AS part", "cast(i AS bigint) AS i", "p.topic", "p.decision"
     )
     merged = P.merge_decisions(rows.withColumnRenamed("doc", "document_id"), ["part", "i"])
     return merged.withColumnRenamed("document_id", "doc").select("doc", "i", "topic", "decision", "part")
@@ -152,11 +154,11 @@ def merge_extracts(spark, d):
     "merge_tacit",
     sql("""
 SELECT doc, statement, part FROM (SELECT *, row_number() OVER (PARTITION BY doc, trim(statement) ORDER BY part, i) AS rn FROM (
-  SELECT DISTINCT document_id // 40 AS doc, document_id AS part, i, substr(statement, 1, 7) AS statement FROM v_tac)) WHERE rn = 1"""),
+  SELECT DISTINCT document_id // 40 AS doc, document_id AS part, i, statement FROM v_tac)) WHERE rn = 1"""),
 )
 def merge_tacit(spark, d):
     rows = MI.recorded(parsed(spark, d)).select("document_id", F.posexplode("extract.tacitKnowledge").alias("i", "p")).selectExpr(
-        "document_id DIV 40 AS document_id", "document_id AS part", "i", "substring(p.statement, 1, 7) AS statement"
+        "document_id DIV 40 AS document_id", "document_id AS part", "i", "p.statement"
     )
     return P.merge_tacit(rows, ["part", "i"]).select(F.col("document_id").alias("doc"), "statement", "part")
 
@@ -245,50 +247,57 @@ def judge_join(spark, d):
     return MI.judge_join(items, verdicts).select("document_id", "item_id", "subject", "commitment")
 
 
-def claims(spark, d):
-    return read_table(spark, d, "documents").selectExpr(
-        "doc_id", "doc_id AS claim_id",
-        "CASE WHEN doc_id % 4 = 0 THEN cast(array() AS array<string>) ELSE array('S001', concat('S', lpad(cast(1 + doc_id % 5 AS string), 3, '0')), 'S060') END AS evidence_ids",
-        "CASE WHEN doc_id % 4 = 0 THEN 'no_explicit_source' ELSE 'cited' END AS evidence_status",
+def claims(packed):
+    """A claim about every chunk: three citations, of which the last is often out of range, or none."""
+    return packed.selectExpr(
+        "doc_id", "chunk", "chunk AS claim_id",
+        "CASE WHEN (doc_id + chunk) % 4 = 0 THEN cast(array() AS array<string>) ELSE array('S001', concat('S', lpad(cast(1 + (doc_id + chunk) % 5 AS string), 3, '0')), 'S060') END AS evidence_ids",
+        "CASE WHEN (doc_id + chunk) % 4 = 0 THEN 'no_explicit_source' ELSE 'cited' END AS evidence_status",
     )
 
 
-def resolved(spark, d):
-    first = P.paragraph_pack(read_spread(spark, d), PD.PACK).where("chunk = 1")
-    return MI.resolve_citations(claims(spark, d), P.number_sentences(first, ["doc_id"]), ["doc_id"])
+def packed_chunks(spark, d):
+    """The chunks, written once: claims are made of them and citations looked up in them."""
+    return materialize(P.paragraph_pack(read_spread(spark, d), PD.PACK), "packed-chunks")
+
+
+def resolved(packed):
+    keys = ["doc_id", "chunk"]
+    return MI.resolve_citations(claims(packed), P.number_sentences(packed, keys), keys)
 
 
 @PLANS.add(
     "resolve_citations",
-    sql("""SELECT c.doc_id, claim_id, printf('S%03d', k) AS sentence_id, s.sentence, s.n IS NOT NULL AS found
-FROM v_cite c LEFT JOIN v_firstpack s ON s.doc_id = c.doc_id AND s.n = c.k"""),
+    sql("""SELECT c.doc_id, c.chunk, c.chunk AS claim_id, printf('S%03d', k) AS sentence_id, s.sentence, s.n IS NOT NULL AS found
+FROM v_cite c LEFT JOIN v_packsent s ON s.doc_id = c.doc_id AND s.chunk = c.chunk AND s.n = c.k"""),
 )
 def resolve_citations(spark, d):
-    return resolved(spark, d).select("doc_id", "claim_id", "sentence_id", "sentence", "found")
+    return resolved(packed_chunks(spark, d)).select("doc_id", "chunk", "claim_id", "sentence_id", "sentence", "found")
 
 
 @PLANS.add(
     "citation_counts",
-    sql("""SELECT count(*) AS claims, count(*) FILTER (WHERE doc_id % 4 <> 0) AS cited, count(*) FILTER (WHERE doc_id % 4 = 0) AS no_source,
-(SELECT count(*) FROM v_cite c LEFT JOIN v_firstpack s ON s.doc_id = c.doc_id AND s.n = c.k WHERE s.n IS NULL) AS out_of_range FROM documents"""),
+    sql("""SELECT count(*) AS claims, count(*) FILTER (WHERE (doc_id + chunk) % 4 <> 0) AS cited, count(*) FILTER (WHERE (doc_id + chunk) % 4 = 0) AS no_source,
+(SELECT count(*) FROM v_cite c LEFT JOIN v_packsent s ON s.doc_id = c.doc_id AND s.chunk = c.chunk AND s.n = c.k WHERE s.n IS NULL) AS out_of_range FROM v_pack"""),
 )
 def citation_counts(spark, d):
-    return MI.citation_counts(claims(spark, d), resolved(spark, d))
+    packed = packed_chunks(spark, d)
+    return MI.citation_counts(claims(packed), resolved(packed))
 
 
 EVIDENCE = r"""
-SELECT doc_id, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN contains(text, evidence) THEN 'exact'
+SELECT doc_id, ordinal, CASE WHEN trim(evidence) = '' THEN 'empty' WHEN contains(text, evidence) THEN 'exact'
   WHEN contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(evidence, '\s+', '', 'g')) THEN 'normalized' ELSE 'missing' END AS class FROM v_evid"""
 
 
 def evidence(spark, d):
-    docs = read_spread(spark, d)
-    second = PD.doc_sentences(spark, d).where("ordinal = 2")
-    rows = second.selectExpr(
-        "doc_id",
-        "CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN concat(sentence, ' zzz') WHEN 2 THEN replace(sentence, ' ', '  ') ELSE sentence END AS evidence",
-    ).join(docs.select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", MI.evidence_class(F.col("evidence"), F.col("text")).alias("class"))
+    # a sentence stays beside the text it comes from, so they need not be joined
+    parts = unnest(read_spread(spark, d), ["doc_id", "text"], sentences(F.col("text"), 11), "sentence", "n")
+    rows = parts.withColumn("ordinal", (F.col("n") + 1).cast("long")).selectExpr(
+        "doc_id", "ordinal", "text",
+        "CASE (doc_id + ordinal) % 5 WHEN 0 THEN '  ' WHEN 1 THEN concat(sentence, ' zzz') WHEN 2 THEN replace(sentence, ' ', '  ') ELSE sentence END AS evidence",
+    )
+    return rows.select("doc_id", "ordinal", MI.evidence_class(F.col("evidence"), F.col("text")).alias("class"))
 
 
 @PLANS.add("evidence_class", sql(EVIDENCE))
