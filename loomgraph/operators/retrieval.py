@@ -203,16 +203,16 @@ def rrf_fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, docs: DataFrame, space: str | None = None, limit: int = 10
+    queries: DataFrame, chunks: DataFrame, docs: DataFrame, space: str | None = None, limit: int = 10, depth: int = LIST_DEPTH
 ) -> DataFrame:
-    """Vector and keyword lists fused, best chunk per document, first ``limit`` documents.
+    """Vector and keyword lists of ``depth`` rows fused, best chunk per document, first ``limit`` documents.
 
     ``queries``: qid, q, qvec. The limit is clamped to 1..50.
     """
     shown = visible_chunks(chunks, docs, space)
     fused = rrf_fuse(
-        vector_topk(shown.where("embedding IS NOT NULL"), queries.select("qid", "qvec")),
-        keyword_topk(shown, queries.select("qid", "q")),
+        vector_topk(shown.where("embedding IS NOT NULL"), queries.select("qid", "qvec"), depth),
+        keyword_topk(shown, queries.select("qid", "q"), depth),
     )
     # the fused list holds at most two list depths per query, so the joins below start from it
     located = fused.join(shown.select("chunk_id", "doc_id", "heading_path", "text"), "chunk_id")

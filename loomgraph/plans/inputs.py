@@ -361,7 +361,7 @@ def v_claim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_extract_raw(spark: SparkSession, d: str) -> DataFrame:
-    """One model response per conversation, in eight well- and ill-formed variants."""
+    """One model response per conversation, of all words of its turns, in eight well- and ill-formed variants."""
     clean = "split(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z \\n]', ''), '[ \\n]+', ' ')), ' ')"
     turns = (
         read_table(spark, d, "conversations")
@@ -371,8 +371,8 @@ def v_extract_raw(spark: SparkSession, d: str) -> DataFrame:
             "turn",
             "role",
             "array_join(slice(w, 1, 2), ' ') AS a",
-            "array_join(slice(w, 3, 4), ' ') AS b",
-            "array_join(slice(w, 7, 2), ' ') AS c",
+            "array_join(slice(w, 3, greatest(size(w) - 4, 0)), ' ') AS b",
+            "array_join(slice(w, greatest(size(w) - 1, 3), 2), ' ') AS c",
         )
     )
     decision = (

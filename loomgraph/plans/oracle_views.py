@@ -222,8 +222,8 @@ FROM (
         CASE WHEN conv_id % 8 = 7 THEN ',' || t WHEN conv_id % 8 = 6 THEN ',{"subject":"","predicate":"uses","object":"x"}' ELSE '' END
         || ']}' END AS tac
     FROM (SELECT *, '{"subject":"Team ' || a || '","predicate":"uses","object":"Tool ' || c || '"}' AS t
-      FROM (SELECT conv_id, turn, role, array_to_string(w[1:2], ' ') AS a, array_to_string(w[3:6], ' ') AS b,
-              array_to_string(w[7:8], ' ') AS c
+      FROM (SELECT conv_id, turn, role, array_to_string(w[1:2], ' ') AS a, array_to_string(list_slice(w, 3, greatest(len(w) - 2, 2)), ' ') AS b,
+              array_to_string(list_slice(w, greatest(len(w) - 1, 3), len(w)), ' ') AS c
         FROM (SELECT *, string_split(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z \n]', '', 'g'), '[ \n]+', ' ', 'g')), ' ') AS w
               FROM conversations))))
   GROUP BY conv_id)"""

@@ -17,6 +17,10 @@ RUNTIME_CONF = {
 }
 
 
+#: Folder of each application in local mode that names none.
+_local_folders: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -51,8 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _local_folders:
+            _local_folders[name] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _local_folders[name]
     return folder
 
 
