@@ -28,7 +28,7 @@ PIECE = 2 << 20
 #: Rows of an Arrow batch, in and out.
 BATCH_ROWS = 1000
 #: Words that a worker keeps with their ids; others are encoded once per piece. Bounds the worker's memory only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
