@@ -10,10 +10,7 @@ the next impact of each list that has not shown it. Reading goes on until no oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
