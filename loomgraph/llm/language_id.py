@@ -1,18 +1,22 @@
-"""Language identification with interpolated Kneser-Ney character models.
-
-Letters are folded to 63 symbols (a-z by themselves, all others by hash), everything else is one boundary symbol.
-Trigrams are counted over all labelled training texts: an array per task, then one sum per language and trigram. A model
-is four sorted arrays of gram codes with probabilities or back-off weights. There are at most 2**18 trigrams to a
-language whatever the corpus, so models are handed to the tasks (and a task's counts fit in memory).
+"""Language identification with interpolated Kneser-Ney character models of order four.
+
+A symbol is a lower-cased letter or combining mark as its own code point; everything else is one boundary symbol, and
+runs of it count once. Grams are counted per language over all labelled training texts, by Spark: what is learned is a
+table of grams that grows with the corpus. Texts are packed into blocks of a bounded size; a block asks the table for the
+grams that occur in it (and those they back off to), and holds the answers as sorted arrays of 64-bit gram hashes. So no
+model passes the driver and no task holds more of one than its own texts need. Tables join on the grams themselves; the
+hashes serve within a block only.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,173 +24,275 @@ from pyspark.sql import types as T
 from loomgraph.llm.repeats import pieces
 from loomgraph.session import materialize
 
-SYMBOLS = 64
-GRAMS = SYMBOLS**3
+ORDER = 4
 UNDECIDED = "und"
 #: Share of a language's training texts whose cross-entropy is accepted, within their length class.
 ACCEPTED = 0.999
-#: Trigrams that count as evidence for the score; more do not make it surer.
+#: Grams that count as evidence for the score; more do not make it surer.
 EVIDENCE = 40
-#: A length class spans a factor of 2**3 in trigrams.
+#: A length class spans a factor of 2**3 in grams.
 CLASS_BITS = 3
-#: Languages whose counts a task holds at once.
-HELD = 32
-
-_fold: list[np.ndarray] = []
-
-
-def fold_table() -> np.ndarray:
-    """Symbol of every code point: 0 for what is no letter."""
-    if not _fold:
-        table = np.zeros(0x110000, np.uint8)
+#: Bytes of text at which a block is closed.
+BLOCK = 4 << 20
+#: Distinct grams a counting task holds before it sends them on.
+HELD = 1 << 20
+BITS = 21  # of a code point; three fill a long
+LOW, LOW2 = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Shorter grams have a mark in place of the first symbol: -1 to -3 by length, then the empty one and the discounts.
+EMPTY, DISCOUNT = -4, -5
+
+_tables: list[np.ndarray] = []
+
+
+def symbol_tables() -> list[np.ndarray]:
+    """Symbol of every code point (0: boundary), and whether it is a letter."""
+    if not _tables:
+        symbol, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
             char = chr(c)
             if char.isalpha():
-                low = ord(char.lower()[0])
-                table[c] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % (1 << 32) % (SYMBOLS - 27)
-        _fold.append(table)
-    return _fold[0]
+                symbol[c], letter[c] = ord(char.lower()[0]), True
+            elif c > 127 and unicodedata.category(char)[0] == "M":
+                symbol[c] = c
+        _tables[:] = symbol, letter
+    return _tables
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of some texts and, per text, the range of its trigrams."""
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First symbols and the other three of all grams of some texts; the range of each text; whether it has a letter."""
+    symbol, letter = symbol_tables()
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     begins = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]  # offsets in code points
     n = len(offsets) - 1
-    # a boundary before and behind each text, and runs of boundaries as one
+    letters = np.diff(np.r_[0, np.cumsum(letter[points])][begins]) > 0
+    # two boundaries before and one behind each text, and runs of boundaries as one
     text_of = np.repeat(np.arange(n), np.diff(begins))
-    symbols = np.zeros(len(points) + 2 * n, np.uint8)
-    symbols[np.arange(len(points)) + 2 * text_of + 1] = fold_table()[points]
-    first = begins + 2 * np.arange(n + 1)
+    symbols = np.zeros(len(points) + 3 * n, np.uint32)
+    symbols[np.arange(len(points)) + 3 * text_of + 2] = symbol[points]
+    first = begins + 3 * np.arange(n + 1)
     keep = symbols != 0
     keep[1:] |= symbols[:-1] != 0
-    keep[first[:-1]] = True
+    keep[first[:-1]] = keep[first[:-1] + 1] = True
     at = np.r_[0, np.cumsum(keep)][first]
-    s = symbols[keep].astype(np.int32)
-    # the two grams that begin in one text and end in another are left out
-    codes = (s[:-2] << 12) | (s[1:-1] << 6) | s[2:] if len(s) > 2 else np.zeros(0, np.int32)
-    within = np.ones(len(codes), bool)
-    for back in (1, 2):
+    s = symbols[keep].astype(np.int64)
+    if len(s) < ORDER:
+        return s[:0], s[:0], np.zeros(n + 1, np.int64), letters
+    head, rest = s[:-3], s[1:-2] << 2 * BITS | s[2:-1] << BITS | s[3:]
+    # grams that begin in one text and end in another are left out
+    within = np.ones(len(head), bool)
+    for back in (1, 2, 3):
         cut = at[1:] - back
-        within[cut[(cut >= 0) & (cut < len(codes))]] = False
-    # a text without letters is boundaries only
-    within &= codes != 0
+        within[cut[(cut >= 0) & (cut < len(head))]] = False
     upto = np.r_[0, np.cumsum(within)]
-    return codes[within], upto[np.minimum(at, len(codes))]
+    return head[within], rest[within], upto[np.minimum(at, len(head))], letters
+
 
+def hashed(head: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    x = rest.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ head.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-def trigram_counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
-    """``(lang, gram, n)`` over all texts with a language."""
+
+def distinct(head: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams, and the place of each given one among them."""
+    place, keys = pd.factorize(hashed(head, rest))
+    some = np.zeros(len(keys), np.int64)
+    some[place] = np.arange(len(place))
+    return head[some], rest[some], place
+
+
+def gram_counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+    """``(lang, head, rest, n)`` over all texts with a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merged(parts):
+            head, rest, n = (np.concatenate(p) for p in zip(*parts))
+            head, rest, place = distinct(head, rest)
+            return head, rest, np.bincount(place, weights=n, minlength=len(head)).astype(np.int64)
 
         def flush():
-            for name, counts in held.items():
-                grams = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(counts[grams])],
-                    names=["lang", "gram", "n"],
-                )
+            for name, parts in held.items():
+                head, rest, n = merged(parts)
+                for a in range(0, len(n), 50_000):
+                    cut = slice(a, a + 50_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(n[cut]), pa.string()), *(pa.array(x[cut]) for x in (head, rest, n))],
+                        names=["lang", "head", "rest", "n"],
+                    )
             held.clear()
 
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, b, data, offsets in pieces(batch.column(1)):
-                codes, first = trigrams(data, offsets)
+                head, rest, bounds, _ = grams_of(data, offsets)
                 own = names[a:b]
                 for name in dict.fromkeys(own):
-                    texts = np.array([x == name for x in own])
-                    mine = codes[np.repeat(texts, np.diff(first))]
-                    if name not in held:
-                        if len(held) >= HELD:
-                            yield from flush()
-                        held[name] = np.zeros(GRAMS, np.int64)
-                    held[name] += np.bincount(mine, minlength=GRAMS)
+                    mine = np.repeat(np.array([x == name for x in own]), np.diff(bounds))
+                    if mine.any():
+                        held.setdefault(name, []).append(merged([(head[mine], rest[mine], np.ones(mine.sum(), np.int64))]))
+                        size += len(held[name][-1][0])
+                if size > HELD:
+                    for name, parts in held.items():
+                        held[name] = [merged(parts)]
+                    size = sum(len(p[0][0]) for p in held.values())
+                    if size > HELD // 2:
+                        yield from flush()
+                        size = 0
         yield from flush()
 
     src = docs.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counted = src.mapInArrow(run, "lang string, gram int, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = src.mapInArrow(run, "lang string, head long, rest long, n long")
+    return counted.groupBy("lang", "head", "rest").agg(F.sum("n").alias("n"))
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return once / (once + 2 * twice) if once and twice else 0.5
+def learn(counts: DataFrame) -> DataFrame:
+    """``(lang, head, rest, n, total, kinds)``: the models of all languages as one table, a row per language and gram.
+
+    ``n`` counts a gram: occurrences if it is of full length, else the different symbols before it. ``total`` and ``kinds``
+    belong to the gram as a context: the sum of ``n`` over what follows it, and how many different symbols do.
+    """
+    head, rest, n = F.col("head"), F.col("rest"), F.col("n")
+    before = F.shiftright("rest", BITS)
+
+    def shorter(longer: DataFrame, kept: Column) -> DataFrame:
+        return longer.groupBy("lang", kept.alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+
+    four = materialize(counts, "grams")
+    three = shorter(four, rest)
+    two = shorter(three, rest.bitwiseAND(F.lit(LOW2)))
+    one = shorter(two, rest.bitwiseAND(F.lit(LOW)))
+    parts = []
+    for order, table in ((4, four), (3, three), (2, two), (1, one)):
+        mark = F.lit(EMPTY if order == 1 else 1 - order).cast("long")
+        context = F.shiftleft(head, 2 * BITS).bitwiseOR(before) if order == 4 else before if order > 1 else F.lit(0)
+        context = context.cast("long")
+        parts.append(
+            table.select(
+                "lang", (head if order == 4 else F.lit(-order).cast("long")).alias("head"), "rest",
+                n.cast("double").alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("kinds"),
+            )
+        )
+        follow = table.groupBy("lang", context.alias("rest")).agg(
+            F.sum(n.cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("kinds")
+        )
+        parts.append(follow.select("lang", mark.alias("head"), "rest", F.lit(0.0).alias("n"), "total", "kinds"))
+        once, twice = F.count_if(n == 1), F.count_if(n == 2)
+        discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
+        parts.append(
+            table.groupBy("lang").agg(discount.alias("n")).select(
+                "lang", F.lit(DISCOUNT).cast("long").alias("head"), F.lit(order).cast("long").alias("rest"), "n",
+                F.lit(0.0).alias("total"), F.lit(0.0).alias("kinds"),
+            )
+        )
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.groupBy("lang", "head", "rest").agg(*(F.sum(c).alias(c) for c in ("n", "total", "kinds")))
+    return materialize(rows, "models")
 
 
-@dataclass(frozen=True)
 class Model:
-    """Sorted codes of trigrams, bigrams and contexts of one language, each with its value."""
-
-    lang: str
-    grams: np.ndarray
-    log_p3: np.ndarray
-    contexts: np.ndarray  # the two symbols before
-    backoff: np.ndarray
-    pairs: np.ndarray
-    p2: np.ndarray
-    backoff1: np.ndarray  # by the symbol before
-    p1: np.ndarray  # by symbol
-
-    @staticmethod
-    def fit(lang: str, grams: np.ndarray, counts: np.ndarray) -> Model:
-        """Interpolated Kneser-Ney: shorter grams count the different symbols before them, not occurrences."""
-        order = np.argsort(grams)
-        grams, counts = grams[order].astype(np.int64), counts[order].astype(np.float64)
-        pairs, before2 = np.unique(grams & 4095, return_counts=True)
-        before1 = np.bincount(pairs & 63, minlength=SYMBOLS).astype(np.float64)
-        d1 = _discount(before1[before1 > 0])
-        total1 = max(before1.sum(), 1.0)
-        p1 = np.maximum(before1 - d1, 0) / total1 + d1 * (before1 > 0).sum() / total1 / SYMBOLS
-        if not before1.any():
-            p1[:] = 1 / SYMBOLS
-
-        d2 = _discount(before2)
-        total2 = np.bincount(pairs >> 6, weights=before2, minlength=SYMBOLS)
-        kinds2 = np.bincount(pairs >> 6, minlength=SYMBOLS)
-        backoff1 = np.where(total2 > 0, d2 * kinds2 / np.maximum(total2, 1), 1.0)
-        p2 = np.maximum(before2 - d2, 0) / total2[pairs >> 6] + backoff1[pairs >> 6] * p1[pairs & 63]
-
-        d3 = _discount(counts)
-        contexts, at = np.unique(grams >> 6, return_inverse=True)
-        total3 = np.bincount(at, weights=counts)
-        backoff = d3 * np.bincount(at) / np.maximum(total3, 1)
-        lower = p2[np.searchsorted(pairs, grams & 4095)]
-        log_p3 = np.log(np.maximum(counts - d3, 0) / total3[at] + backoff[at] * lower) if len(grams) else counts
-        return Model(lang, grams, log_p3, contexts, backoff, pairs, p2, backoff1, p1)
-
-    def log_p(self, codes: np.ndarray) -> np.ndarray:
-        """Log probability of the last symbol of each trigram after the other two."""
-        pair, context = codes & 4095, codes >> 6
-        p2, known = self._look(self.pairs, self.p2, pair)
-        p2 = np.where(known, p2, self.backoff1[pair >> 6] * self.p1[pair & 63])
-        weight, known = self._look(self.contexts, self.backoff, context)
-        unseen = np.log(np.where(known, weight, 1.0) * p2)
-        log_p3, known = self._look(self.grams, self.log_p3, codes)
-        return np.where(known, log_p3, unseen)
-
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return values[at], keys[at] == wanted
-
-
-def learn(counts: DataFrame) -> list[Model]:
-    """The model of every language, in order of their names. At most 2**18 rows per language reach the driver."""
-    table = counts.toArrow()
-    langs = np.array(table.column("lang").to_pylist(), dtype=object)
-    grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    return [Model.fit(lang, grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))]
-
-
-def cross_entropies(docs: DataFrame, models: list[Model], keep: dict[str, Column], text: Column) -> DataFrame:
-    """The columns ``keep`` of every row, the language with the lowest cross-entropy per trigram, that value, the share
-    of that language among all by likelihood, and the number of trigrams."""
+    """What a block needs of one language: sorted gram hashes, each with its count and its figures as a context."""
+
+    def __init__(self, head: np.ndarray, rest: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray):
+        keys = hashed(head, rest)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.stack([n, total, kinds])[:, order]
+
+    def look(self, head: np.ndarray | int, rest: np.ndarray) -> np.ndarray:
+        """Rows n, total, kinds; zeros for what was never seen."""
+        wanted = hashed(np.broadcast_to(np.asarray(head, np.int64), rest.shape), rest)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[:, at], 0.0)
+
+    def log_p(self, head: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each gram after the other three."""
+        discount = self.look(DISCOUNT, np.arange(ORDER + 1))[0]
+        p = np.full(len(rest), 1 / 0x110000)
+        steps = (
+            (-1, rest & LOW, EMPTY, np.zeros_like(rest)),
+            (-2, rest & LOW2, -1, rest >> BITS & LOW),
+            (-3, rest, -2, rest >> BITS),
+            (head, rest, -3, head << 2 * BITS | rest >> BITS),
+        )
+        for order, (mark, gram, before, context) in enumerate(steps, 1):
+            n, (_, total, kinds) = self.look(mark, gram)[0], self.look(before, context)
+            d = discount[order]
+            seen = (np.maximum(n - d, 0) + d * kinds * p) / np.maximum(total, 1)
+            p = np.where(total > 0, seen, p)
+        return np.log(p)
+
+
+def needed(head: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every gram and context that scoring some different grams looks up, once each."""
+    heads, rests = [head, np.full(5, DISCOUNT)], [rest, np.arange(5)]
+    heads[1][0], rests[1][0] = EMPTY, 0
+    for mark, wanted in (
+        (-1, np.r_[rest & LOW, rest >> BITS & LOW]),
+        (-2, np.r_[rest & LOW2, rest >> BITS]),
+        (-3, np.r_[rest, head << 2 * BITS | rest >> BITS]),
+    ):
+        wanted = np.unique(wanted)
+        heads.append(np.full(len(wanted), mark))
+        rests.append(wanted)
+    return np.concatenate(heads).astype(np.int64), np.concatenate(rests).astype(np.int64)
+
+
+def packed(src: DataFrame) -> DataFrame:
+    """Blocks of rows: ``(block, body, grams)``, with the rows compressed and the grams that scoring them looks up.
+
+    The last column of ``src`` is the text. Block names are unique within one run only, so the result must be written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def block():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for rows in held:
+                    out.write_batch(rows)
+            head, rest = (np.concatenate(x) for x in zip(*found))
+            head, rest = needed(*distinct(head, rest)[:2])
+            grams = pa.StructArray.from_arrays([pa.array(head), pa.array(rest)], names=["head", "rest"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{part}-{count}"]),
+                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(head)], pa.int32()), grams),
+                ],
+                names=["block", "body", "grams"],
+            )
+
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for a, b, data, offsets in pieces(texts):
+                head, rest, _, _ = grams_of(data, offsets)
+                found.append(distinct(head, rest)[:2])
+                held.append(batch.slice(a, b - a))
+                size += int(offsets[-1])
+                if size >= BLOCK:
+                    yield block()
+                    count, size = count + 1, 0
+                    held.clear()
+                    found.clear()
+        if held:
+            yield block()
+
+    return src.mapInArrow(run, "block string, body binary, grams array<struct<head:long,rest:long>>")
+
+
+def cross_entropies(docs: DataFrame, model: DataFrame, keep: dict[str, Column], text: Column) -> DataFrame:
+    """The columns ``keep`` of every row, the language with the lowest cross-entropy per gram, that value, the share of
+    that language among all by likelihood, and the number of grams."""
     src = docs.select(*(c.alias(k) for k, c in keep.items()), text.cast("string").alias("__text"))
     schema = T.StructType(
         [
@@ -199,37 +305,46 @@ def cross_entropies(docs: DataFrame, models: list[Model], keep: dict[str, Column
     )
     names = schema.names
 
-    def run(batches):
-        place = np.zeros(GRAMS, np.int32)
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(batch.num_columns - 1)):
-                codes, first = trigrams(data, offsets)
-                n = np.diff(first)
-                present = np.flatnonzero(np.bincount(codes, minlength=1))
-                place[present] = np.arange(len(present))
-                at = place[codes]
-                entropy = np.full((max(len(models), 1), b - a), np.inf)
-                for k, model in enumerate(models):
-                    run_sum = np.r_[0.0, np.cumsum(model.log_p(present)[at])]
-                    entropy[k] = -(run_sum[first[1:]] - run_sum[first[:-1]]) / np.maximum(n, 1)
-                best = entropy.argmin(axis=0)
-                least = entropy[best, np.arange(b - a)]
-                with np.errstate(invalid="ignore"):
-                    odds = np.exp(-(entropy - least) * np.minimum(n, EVIDENCE)).sum(axis=0)
-                sure = (n > 0) & np.isfinite(least)
-                lang = [models[k].lang if s else UNDECIDED for k, s in zip(best.tolist(), sure.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.slice(a, b - a) for c in batch.columns[:-1]),
-                        pa.array(lang, pa.string()),
-                        pa.array(np.where(sure, 1 / np.where(sure, odds, 1), 0.0)),
-                        pa.array(np.where(sure, least, 0.0)),
-                        pa.array(n),
-                    ],
-                    names=names,
-                )
-
-    return src.mapInArrow(run, schema)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        langs = sorted(right.column("lang").unique().to_pylist())
+        of = pd.Index(langs).get_indexer(right.column("lang").to_pandas())
+        values = [right.column(c).to_numpy() for c in ("head", "rest", "n", "total", "kinds")]
+        models = [Model(*(v[of == k] for v in values)) for k in range(len(langs))]
+        done = []
+        for body in left.column("body"):
+            for batch in pa.ipc.open_stream(body.as_buffer()):
+                for a, b, data, offsets in pieces(batch.column(batch.num_columns - 1)):
+                    head, rest, bounds, letters = grams_of(data, offsets)
+                    head, rest, place = distinct(head, rest)
+                    n = np.where(letters, np.diff(bounds), 0)
+                    entropy = np.full((max(len(models), 1), b - a), np.inf)
+                    for k, model in enumerate(models):
+                        upto = np.r_[0.0, np.cumsum(model.log_p(head, rest)[place])]
+                        entropy[k] = -(upto[bounds[1:]] - upto[bounds[:-1]]) / np.maximum(n, 1)
+                    best = entropy.argmin(axis=0)
+                    least = entropy[best, np.arange(b - a)]
+                    sure = (n > 0) & np.isfinite(least)
+                    with np.errstate(invalid="ignore"):
+                        odds = np.exp(-(entropy - least) * np.minimum(n, EVIDENCE)).sum(axis=0)
+                    lang = [langs[k] if s else UNDECIDED for k, s in zip(best.tolist(), sure.tolist())]
+                    done.append(
+                        pa.RecordBatch.from_arrays(
+                            [
+                                *(c.slice(a, b - a) for c in batch.columns[:-1]),
+                                pa.array(lang, pa.string()),
+                                pa.array(np.where(sure, 1 / np.where(sure, odds, 1), 0.0)),
+                                pa.array(np.where(sure, least, 0.0)),
+                                pa.array(n),
+                            ],
+                            names=names,
+                        )
+                    )
+        return pa.Table.from_batches(done)
+
+    blocks = materialize(packed(src), "language-blocks")
+    wanted = blocks.select(F.col("block").alias("asked"), F.explode("grams").alias("g")).select("asked", "g.head", "g.rest")
+    answers = wanted.join(model, ["head", "rest"])
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("asked")).applyInArrow(score, schema)
 
 
 def is_held_out(id_column: Column) -> Column:
@@ -248,16 +363,15 @@ def language_report(
     """
     held = is_held_out(docs[id_col])
     usable = docs.where(~held)
-    models = learn(trigram_counts(usable, usable[lang_col], usable[text_col]))
+    model = learn(gram_counts(usable, usable[lang_col], usable[text_col]))
     keep = {"id": docs[id_col], "held_out": held, "lang": docs[lang_col].cast("string")}
-    scored = materialize(cross_entropies(docs, models, keep, docs[text_col]), "languages")
+    scored = materialize(cross_entropies(docs, model, keep, docs[text_col]), "languages")
     scored = scored.withColumn("length", F.floor(F.log2(F.col("n_grams") + 1) / CLASS_BITS))
     known = scored.where("NOT held_out AND lang = lang_pred AND n_grams > 0")
     limits = known.groupBy("lang_pred", "length").agg(
         F.percentile_approx("cross_entropy", F.lit(float(accepted)), F.lit(10_000)).alias("limit")
     )
-    # a dozen rows per language at most, far less than the models that every task holds anyway
-    return scored.join(F.broadcast(limits), ["lang_pred", "length"], "left").select(
+    return scored.join(limits, ["lang_pred", "length"], "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "lang_pred",

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import xxhash
@@ -189,3 +190,55 @@ def rearranged(doc, text, seed="7", rate=100, suffix_first=50):
     if h[3] % 100 < suffix_first:
         return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
     return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def language_symbols(text):
+    """Two boundaries, the lower-cased letters and marks with runs of all else as one boundary, a boundary."""
+    s = ["", ""]
+    for ch in text or "":
+        x = ch.lower()[0] if ch.isalpha() else ch if unicodedata.category(ch)[0] == "M" else ""
+        if x or s[-1]:
+            s.append(x)
+    return s if not s[-1] else [*s, ""]
+
+
+def language_models(rows):
+    """Counts of every gram and, per context, the sum of what follows it and the number of kinds, by language."""
+    models = {}
+    for lang, text in rows:
+        s = language_symbols(text)
+        own = models.setdefault(lang, collections.Counter())
+        own.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    out = {}
+    for lang, four in models.items():
+        counts = {4: four}
+        for order in (3, 2, 1):
+            counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
+        if not four:
+            continue
+        out[lang] = counts
+    return out
+
+
+def language_p(counts, gram):
+    order = len(gram)
+    if not order:
+        return 1 / 0x110000
+    table = counts[order]
+    lower = language_p(counts, gram[1:])
+    follow = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+    if not follow:
+        return lower
+    once, twice = (sum(n == k for n in table.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    return (max(table[gram] - d, 0) + d * len(follow) * lower) / sum(follow)
+
+
+def language_of(models, text):
+    if not any(ch.isalpha() for ch in text or ""):
+        return "und", 0.0
+    s = language_symbols(text)
+    grams = [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
+    found = {lang: -sum(math.log(language_p(c, g)) for g in grams) / len(grams) for lang, c in models.items()}
+    best = min(sorted(found), key=found.get)
+    return best, found[best]

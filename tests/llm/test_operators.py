@@ -86,23 +86,41 @@ def test_shard_weights(spark):
     assert 0 < len(moved) and set(moved.b) <= {3, 4} and not ((moved.b == 4) & (moved.a == 3)).any()
 
 
-def test_language_counts_and_models(docs, nothing):
-    # four boundary cases by hand: one letter, marks only, words, a run of marks
-    data = [t.encode() for t in ("a", "..", "ab c", "a -- b", "")]
-    offsets = np.r_[0, np.cumsum([len(d) for d in data])]
-    codes, first = language_id.trigrams(np.frombuffer(b"".join(data), np.uint8), offsets)
-
-    def code(*s):
-        return s[0] << 12 | s[1] << 6 | s[2]
-
-    own = [codes[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
-    assert own == [
-        [code(0, 1, 0)], [], [code(0, 1, 2), code(1, 2, 0), code(2, 0, 3), code(0, 3, 0)],
-        [code(0, 1, 0), code(1, 0, 2), code(0, 2, 0)], [],
-    ]
-    model = language_id.Model.fit("x", *np.unique(codes, return_counts=True))
-    for context in (0 << 6 | 1, 1 << 6 | 0, 40 << 6 | 40):
-        assert abs(np.exp(model.log_p(np.arange(64) + (context << 6))).sum() - 1) < 1e-9
+LANG_TEXTS = [
+    ("en", "the cat and the dog sat there, then the cat left. That is the other thing"),
+    ("en", "a -- b of the"),
+    ("fr", "le chat et le chien sont l\u00e0; \u00c9t\u00e9 comme hiver"),
+    ("ru", "\u0431\u044b\u043b\u043e \u0433\u0434\u0435 \u0436\u0438\u043b \u0432\u0435\u0442\u0435\u0440 \u0438 \u0442\u0443\u0447\u0438 \u0449\u0438"),
+    ("sr", "\u0452\u0430\u043a \u0454\u0435 \u0457\u0435 \u0459\u0443\u0431\u0430\u0432 \u045a\u0435\u0433\u0430 \u045f\u0435\u043f \u0456\u0438"),
+    ("zh", "\u4eca\u5929\u5929\u6c23\u5f88\u597d \u6211\u5011\u53bb\u516c\u5712"),
+    ("ja", "\u4eca\u65e5\u306f\u6674\u308c\u3067\u3059 \u516c\u5712\u3078\u884c\u304d\u307e\u3059"),
+    (None, "\u5929\u6c23 \u516c\u5712"),
+    (None, "the \u0301 dog"),
+    (None, "q"),
+    (None, "\u0301 ."),
+    (None, None),
+    ("en", ""),
+]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_language_models(spark, block, monkeypatch):
+    """Languages, cross-entropies and the sum of probabilities against counting in dictionaries."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    ids = [i for i in range(1000) if B.crc(str(i)) % 4 != 2]
+    rows_ = [(ids[i], lang, text) for i, (lang, text) in enumerate(LANG_TEXTS)]
+    got = language_id.language_report(spark.createDataFrame(rows_, "doc_id long, lang string, text string"))
+    got = {r.doc_id: r for r in got.collect()}
+    assert len(got) == len(rows_)
+    models = B.language_models([(lang, text) for lang, text in LANG_TEXTS if lang is not None])
+    for i, lang, text in rows_:
+        want, entropy = B.language_of(models, text)
+        assert got[i].lang_pred == want, (text, got[i])
+        assert abs(got[i].cross_entropy - entropy) < 1e-9 and (want == "und") == (got[i].score == 0)
+    assert [got[ids[k]].lang_pred for k in (3, 4, 7, 8, 10, 11)] == ["ru", "sr", "zh", "en", "und", "und"]
+
+
+def test_language_report_of_awkward_rows(spark, docs, nothing):
     got = language_id.language_report(docs).collect()
     assert len(got) == len(B.ROWS)
     blank = [r for r in got if r.doc_id in (4, 5, 6, 8)]
@@ -110,6 +128,8 @@ def test_language_counts_and_models(docs, nothing):
     assert all(r.lang_pred in ("en", "fr", "de") and 0 < r.score <= 1 for r in got if r.doc_id not in (4, 5, 6, 8))
     assert all(r.held_out == (B.crc(str(r.doc_id)) % 4 == 2) for r in got if r.doc_id is not None)
     assert language_id.language_report(nothing).count() == 0
+    unlabelled = spark.createDataFrame([(1, None, "words"), (2, None, None)], "doc_id long, lang string, text string")
+    assert [r.lang_pred for r in language_id.language_report(unlabelled).collect()] == ["und", "und"]
 
 
 def test_language_accuracy(spark):
