@@ -33,7 +33,7 @@ EVIDENCE = 40
 #: A length class spans a factor of 2**3 in grams.
 CLASS_BITS = 3
 #: Bytes of text at which a block is closed.
-BLOCK = 4 << 20
+BLOCK = 16 << 20
 #: Distinct grams a counting task holds before it sends them on.
 HELD = 1 << 20
 BITS = 21  # of a code point; three fill a long
@@ -152,7 +152,8 @@ def gram_counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
 
 
 def learn(counts: DataFrame) -> DataFrame:
-    """``(lang, head, rest, n, total, kinds)``: the models of all languages as one table, a row per language and gram.
+    """``(head, rest, figures)``: the models of all languages as one table, a row per gram with ``(lang, n, total, kinds)``
+    of each language that has it.
 
     ``n`` counts a gram: occurrences if it is of full length, else the different symbols before it. ``total`` and ``kinds``
     belong to the gram as a context: the sum of ``n`` over what follows it, and how many different symbols do.
@@ -194,7 +195,8 @@ def learn(counts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         rows = rows.unionByName(part)
     rows = rows.groupBy("lang", "head", "rest").agg(*(F.sum(c).alias(c) for c in ("n", "total", "kinds")))
-    return materialize(rows, "models")
+    figures = F.collect_list(F.struct("lang", "n", "total", "kinds"))
+    return materialize(rows.groupBy("head", "rest").agg(figures.alias("figures")), "models")
 
 
 class Model:
@@ -306,10 +308,15 @@ def cross_entropies(docs: DataFrame, model: DataFrame, keep: dict[str, Column],
     names = schema.names
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs = sorted(right.column("lang").unique().to_pylist())
-        of = pd.Index(langs).get_indexer(right.column("lang").to_pandas())
-        values = [right.column(c).to_numpy() for c in ("head", "rest", "n", "total", "kinds")]
-        models = [Model(*(v[of == k] for v in values)) for k in range(len(langs))]
+        head, rest = (right.column(c).to_numpy() for c in ("head", "rest"))
+        figures = right.column("figures").combine_chunks()
+        gram = np.repeat(np.arange(len(head)), figures.value_lengths().to_numpy(zero_copy_only=False))
+        values = figures.flatten()
+        names_of = values.field("lang").dictionary_encode()
+        langs = sorted(names_of.dictionary.to_pylist())
+        of = np.array([langs.index(x) for x in names_of.dictionary.to_pylist()], int)[names_of.indices.to_numpy()]
+        rows = [head[gram], rest[gram], *(values.field(c).to_numpy() for c in ("n", "total", "kinds"))]
+        models = [Model(*(v[of == k] for v in rows)) for k in range(len(langs))]
         done = []
         for body in left.column("body"):
             for batch in pa.ipc.open_stream(body.as_buffer()):
