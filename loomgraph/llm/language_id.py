@@ -58,14 +58,15 @@ def symbol_tables() -> list[np.ndarray]:
     return _tables
 
 
-def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First symbols and the other three of all grams of some texts; the range of each text; whether it has a letter."""
+def symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of some texts, the range of each text, and whether it has a letter.
+
+    Two boundaries stand before and one behind each text, and runs of boundaries count once."""
     symbol, letter = symbol_tables()
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     begins = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]  # offsets in code points
     n = len(offsets) - 1
     letters = np.diff(np.r_[0, np.cumsum(letter[points])][begins]) > 0
-    # two boundaries before and one behind each text, and runs of boundaries as one
     text_of = np.repeat(np.arange(n), np.diff(begins))
     symbols = np.zeros(len(points) + 3 * n, np.uint32)
     symbols[np.arange(len(points)) + 3 * text_of + 2] = symbol[points]
@@ -73,10 +74,14 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep = symbols != 0
     keep[1:] |= symbols[:-1] != 0
     keep[first[:-1]] = keep[first[:-1] + 1] = True
-    at = np.r_[0, np.cumsum(keep)][first]
-    s = symbols[keep].astype(np.int64)
+    return symbols[keep], np.r_[0, np.cumsum(keep)][first], letters
+
+
+def grams_in(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First symbols and the other three of all grams, and the range of each text."""
+    s = symbols.astype(np.int64)
     if len(s) < ORDER:
-        return s[:0], s[:0], np.zeros(n + 1, np.int64), letters
+        return s[:0], s[:0], np.zeros(len(at), np.int64)
     head, rest = s[:-3], s[1:-2] << 2 * BITS | s[2:-1] << BITS | s[3:]
     # grams that begin in one text and end in another are left out
     within = np.ones(len(head), bool)
@@ -84,7 +89,16 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         cut = at[1:] - back
         within[cut[(cut >= 0) & (cut < len(head))]] = False
     upto = np.r_[0, np.cumsum(within)]
-    return head[within], rest[within], upto[np.minimum(at, len(head))], letters
+    return head[within], rest[within], upto[np.minimum(at, len(head))]
+
+
+def folded(symbols: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The texts as their symbols, a space for a boundary; their symbols are the same again."""
+    points = np.where(symbols == 0, np.uint32(32), symbols)
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    offsets = np.r_[0, np.cumsum(width)][at].astype(np.int32)
+    data = points.tobytes().decode("utf-32-le").encode("utf-8")
+    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def hashed(head: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -128,7 +142,8 @@ def gram_counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
         for batch in batches:
             names = batch.column(0).to_pylist()
             for a, b, data, offsets in pieces(batch.column(1)):
-                head, rest, bounds, _ = grams_of(data, offsets)
+                symbols, at, _ = symbols_of(data, offsets)
+                head, rest, bounds = grams_in(symbols, at)
                 own = names[a:b]
                 for name in dict.fromkeys(own):
                     mine = np.repeat(np.array([x == name for x in own]), np.diff(bounds))
@@ -247,7 +262,8 @@ def needed(head: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(src: DataFrame) -> DataFrame:
-    """Blocks of rows: ``(block, body, grams)``, with the rows compressed and the grams that scoring them looks up.
+    """Blocks of rows: ``(block, body, grams)``, with the rows compressed, their texts folded to symbols, and the grams
+    that scoring them looks up.
 
     The last column of ``src`` is the text. Block names are unique within one run only, so the result must be written.
     """
@@ -259,9 +275,9 @@ def packed(src: DataFrame) -> DataFrame:
 
         def block():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for rows in held:
-                    out.write_batch(rows)
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
             head, rest = (np.concatenate(x) for x in zip(*found))
             head, rest = needed(*distinct(head, rest)[:2])
             grams = pa.StructArray.from_arrays([pa.array(head), pa.array(rest)], names=["head", "rest"])
@@ -277,9 +293,10 @@ def packed(src: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b, data, offsets in pieces(texts):
-                head, rest, _, _ = grams_of(data, offsets)
-                found.append(distinct(head, rest)[:2])
-                held.append(batch.slice(a, b - a))
+                symbols, at, _ = symbols_of(data, offsets)
+                found.append(distinct(*grams_in(symbols, at)[:2])[:2])
+                kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                held.append(pa.RecordBatch.from_arrays([*kept, folded(symbols, at)], names=batch.schema.names))
                 size += int(offsets[-1])
                 if size >= BLOCK:
                     yield block()
@@ -321,7 +338,8 @@ def cross_entropies(docs: DataFrame, model: DataFrame, keep: dict[str, Column],
         for body in left.column("body"):
             for batch in pa.ipc.open_stream(body.as_buffer()):
                 for a, b, data, offsets in pieces(batch.column(batch.num_columns - 1)):
-                    head, rest, bounds, letters = grams_of(data, offsets)
+                    symbols, at, letters = symbols_of(data, offsets)
+                    head, rest, bounds = grams_in(symbols, at)
                     head, rest, place = distinct(head, rest)
                     n = np.where(letters, np.diff(bounds), 0)
                     entropy = np.full((max(len(models), 1), b - a), np.inf)
@@ -378,7 +396,8 @@ def language_report(
     limits = known.groupBy("lang_pred", "length").agg(
         F.percentile_approx("cross_entropy", F.lit(float(accepted)), F.lit(10_000)).alias("limit")
     )
-    return scored.join(limits, ["lang_pred", "length"], "left").select(
+    # a dozen rows per language; written out, Spark knows their size and does not shuffle the documents for them
+    return scored.join(materialize(limits, "limits"), ["lang_pred", "length"], "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "lang_pred",
