@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sentences, tokenize
@@ -194,6 +194,46 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH) ->
     return top_k(matched, ["qid"], [F.desc("score"), "chunk_id"], k).select("qid", "chunk_id", "score", "rank")
 
 
+def proximity_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH, span: int = 100) -> DataFrame:
+    """Chunks in which every query term occurs, ranked by how near to each other the terms stand.
+
+    Each two places of different terms at most ``span`` words apart bear evidence that falls with their distance; evidence
+    adds up as 1 - prod(1 - e). A query of one term is ranked by its occurrences, the j-th counting 1/j**2. Chunks without
+    near places score 0 and follow. Places come from one window of at most ``span`` words, not from pairs of a chunk.
+    """
+    terms = query_terms(queries, "qid", "q").select("qid", "term")
+    need = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
+    words = unnest(chunks, ["chunk_id"], tokenize(F.col("text")), "term", "pos")
+    hits = materialize(salted_join(words, terms, ["term"], F.col("chunk_id")).select("qid", "chunk_id", "pos", "term"), "places")
+    whole = (
+        hits.groupBy("qid", "chunk_id")
+        .agg(F.size(F.collect_set("term")).alias("have"))
+        .join(need, "qid")
+        .where("have = need")
+        .select("qid", "chunk_id", "need")
+    )
+    chunk = Window.partitionBy("qid", "chunk_id").orderBy("pos")
+    before = F.collect_list(F.struct("pos", "term")).over(chunk.rangeBetween(-span, -1))
+
+    def unlikely(total: Column, x: Column) -> Column:
+        gap = F.col("pos") - x["pos"]
+        evidence = 0.1 * F.sqrt(1 / (1.005 + 0.05 * F.exp(gap / 1.5 - 2)))
+        return total + F.when(x["term"] != F.col("term"), F.log(1 - evidence)).otherwise(0.0)
+
+    scored = (
+        hits.join(whole, ["qid", "chunk_id"])
+        .withColumn("before", before)
+        .withColumn("nth", F.row_number().over(chunk))
+        .withColumn("part", F.aggregate("before", F.lit(0.0), unlikely))
+        .groupBy("qid", "chunk_id", "need")
+        .agg(F.sum("part").alias("part"), F.sum(1 / (F.col("nth") * F.col("nth"))).alias("single"))
+    )
+    # the squares' reciprocals sum to pi**2 / 6
+    score = F.when(F.col("need") == 1, 0.1 * F.col("single") / 1.64493406685).otherwise(1 - F.exp("part"))
+    ranked = scored.select("qid", "chunk_id", F.round(score, 6).alias("score"))
+    return top_k(ranked, ["qid"], [F.desc("score"), "chunk_id"], k).select("qid", "chunk_id", "score", "rank")
+
+
 def rrf_fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (qid, chunk_id, rank)."""
     both = lists[0].select("qid", "chunk_id", "rank")

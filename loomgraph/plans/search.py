@@ -228,6 +228,34 @@ def keyword_topk(spark, d):
     return R.keyword_topk(R.visible_chunks(I.v_chunk(spark, d), I.v_doc(spark, d)), I.v_query(spark, d))
 
 
+@PLANS.add(
+    "keyword_proximity",
+    sql(r"""
+WITH w AS (SELECT chunk_id, l[i] AS term, i AS pos FROM (
+  SELECT chunk_id, l, unnest(range(1, len(l) + 1)) AS i
+  FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS l FROM v_vis))),
+n AS (SELECT qid, count(*) AS need FROM v_qterm GROUP BY qid),
+m AS (SELECT qid, chunk_id, need FROM w JOIN v_qterm USING (term) JOIN n USING (qid)
+  GROUP BY qid, chunk_id, need HAVING count(DISTINCT term) = need),
+h AS (SELECT m.qid, m.chunk_id, need, w.term, w.pos FROM m JOIN v_qterm q ON q.qid = m.qid
+  JOIN w ON w.chunk_id = m.chunk_id AND w.term = q.term),
+p AS (SELECT a.qid, a.chunk_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp((b.pos - a.pos) / 1.5 - 2))))) AS s
+  FROM h a JOIN h b ON a.qid = b.qid AND a.chunk_id = b.chunk_id AND a.term <> b.term AND b.pos - a.pos BETWEEN 1 AND 100
+  GROUP BY a.qid, a.chunk_id),
+o AS (SELECT qid, chunk_id, need, sum(1.0::DOUBLE / (nth * nth)) AS single FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY pos) AS nth FROM h) GROUP BY qid, chunk_id, need)
+SELECT qid, chunk_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT qid, chunk_id, round(CASE WHEN need = 1
+      THEN 0.1 * single / 1.64493406685
+      ELSE 1 - exp(coalesce(s, 0)) END, 6) AS score
+    FROM o LEFT JOIN p USING (qid, chunk_id)))
+WHERE rank <= 20"""),
+)
+def keyword_proximity(spark, d):
+    return R.proximity_topk(R.visible_chunks(I.v_chunk(spark, d), I.v_doc(spark, d)), I.v_query(spark, d))
+
+
 def stored_chunks(spark, d):
     """The chunk table, written once: retrieval reads different columns of it several times."""
     return materialize(I.v_chunk(spark, d), "chunks")
