@@ -8,10 +8,10 @@ windows of a text fall into runs that share one minimiser, its anchor:
 3. the other runs travel, each as one packed string, to the bucket of their anchor, where windows are compared;
 4. windows found twice go back to their texts.
 
-Equal texts take part once, with their number, and in a bucket so do equal strings. An anchor whose different strings
-exceed ``LARGE`` bytes is counted by window hashes in its task; one with more than ``hot`` runs (a passage in a large
-share of all texts) is not brought into one task at all: its windows are counted by digest, with partial sums before the
-shuffle. Texts are shuffled once, compressed.
+Equal texts take part once, with their number, and in a bucket so do equal strings. Strings of an anchor that are too
+many to be compared at once are dealt again by another minimiser of their windows (``dealt_again``), as often as it
+takes. An anchor with more than ``hot`` runs (a passage in a large share of all texts) is not brought into one task at
+all: its windows are counted by digest, with partial sums before the shuffle. Texts are shuffled once, compressed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.textarrays import Words, prefix_hash, slices, text_bytes, windows
+from loomgraph.llm.textarrays import Words, mix, prefix_hash, repeated, slices, text_bytes, windows
 from loomgraph.session import materialize
 
 PIECE = 1 << 20
@@ -35,8 +35,8 @@ PIECE = 1 << 20
 HOT = 500_000
 #: Bytes of packed strings that a task compares at once; the runs of one anchor stay together.
 AT_ONCE = 2 << 20
-#: Bytes of different strings up to which a bucket is compared by the operator's own method.
-LARGE = 2 << 20
+#: How often strings are dealt again. Each time, windows without a partner leave and the rest is cut.
+DEALS = 6
 PLACE_BITS = np.uint64(21)
 
 
@@ -81,6 +81,7 @@ class Plan:
     gram: int
     again: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     hot: int = HOT
+    at_once: int = AT_ONCE
 
 
 def text_key(text: Column) -> Column:
@@ -208,19 +209,73 @@ def _packed(texts: DataFrame, plan: Plan, single: bool) -> DataFrame:
     )
 
 
+def dealt_again(
+    data: np.ndarray, offsets: np.ndarray, n: np.ndarray, copies: np.ndarray, plan: Plan, at_once: int, deal: int = 1
+) -> np.ndarray:
+    """What ``plan.again`` tells of the strings, in parts of about ``at_once`` bytes.
+
+    A window whose hash no other window has occurs once in each copy of its string. The others are cut into runs that
+    share a minimiser under a hash function of this deal; equal windows get into the same part, and equal runs are
+    compared once. What one minimiser holds beyond ``at_once`` is dealt again.
+    """
+    if len(data) <= at_once or deal > DEALS:
+        return plan.again(data, offsets, n, copies)
+    hashes, least = [], []
+    for a, b in slices(offsets, PIECE):
+        units = plan.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        sums, own = units.sums(), n[a:b]
+        at = np.repeat(units.first[:-1] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        hashes.append(windows(sums, plan.window)[at])
+        grams = mix(windows(sums, plan.gram) + np.uint64(deal))
+        least.append(sliding_least(grams, plan.window - plan.gram + 1)[at])
+    shared, least = repeated(np.concatenate(hashes)), np.concatenate(least)
+    row = np.repeat(np.arange(len(n)), n)
+    new = np.r_[True, (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | ~shared[:-1]]
+    head = np.flatnonzero(new & shared)
+    if not len(head):
+        return copies[row] > 1
+    run = np.cumsum(new & shared) - 1
+    count = np.bincount(run[shared], minlength=len(head))
+    begins = np.cumsum(n) - n
+    first = head - begins[row[head]]  # counted from the start of its string
+    # the runs as strings of their own
+    strings, number = [], 0
+    for a, b in slices(offsets, PIECE):
+        units = plan.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        flat, begin, end = units.packed()
+        body, upto = flat.tobytes(), int(np.searchsorted(row[head], b))
+        own = slice(number, upto)
+        place = units.first[row[head[own]] - a] + first[own]
+        left, right = begin[place].tolist(), end[place + count[own] + plan.window - 2].tolist()
+        strings.append(pa.array([body[x:y] for x, y in zip(left, right)], pa.binary()).dictionary_encode())
+        number = upto
+    runs = pa.chunked_array(strings).unify_dictionaries().combine_chunks()
+    used, where, which = np.unique(runs.indices.to_numpy(), return_index=True, return_inverse=True)
+    which, different = which.ravel(), runs.dictionary.take(pa.array(used))
+    weight, anchor, n_own = np.bincount(which, weights=copies[row[head]]), least[head[where]], count[where]
+    turn = np.argsort(anchor, kind="stable")
+    size = np.cumsum(pc.binary_length(different).to_numpy()[turn])
+    edges = np.r_[np.flatnonzero(np.diff(anchor[turn])) + 1, len(turn)]
+    twice = [np.zeros(0, bool)] * len(turn)
+    a, base = 0, 0
+    for e, following in zip(edges, [*edges[1:], None]):
+        if following is None or size[following - 1] - base > at_once:
+            part = turn[a:e]
+            body, bounds = text_bytes(different.take(pa.array(part)))
+            found = dealt_again(body, bounds, n_own[part], weight[part], plan, at_once, deal + 1)
+            for k, own in zip(part.tolist(), np.split(found, np.cumsum(n_own[part])[:-1])):
+                twice[k] = own
+            a, base = int(e), int(size[e - 1])
+    out = copies[row] > 1
+    begin = np.cumsum(n_own) - n_own
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out[shared] = np.concatenate(twice)[begin[which][np.repeat(np.arange(len(head)), count)] + inside]
+    return out
+
+
 def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
     """(key, begin, end) of stretches of windows that occur again, from all runs of each anchor."""
 
-    def by_hash(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, copies: np.ndarray) -> np.ndarray:
-        out = []
-        for a, b in slices(offsets, PIECE):
-            units = plan.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            own = n[a:b]
-            at = np.repeat(units.first[:-1] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-            out.append(windows(units.sums(), plan.window)[at])
-        _, name = np.unique(np.concatenate(out), return_inverse=True)
-        return np.bincount(name, weights=np.repeat(copies, n))[name] > 1
-
     def found(table: pa.Table) -> pa.RecordBatch:
         n, start = table.column("n").to_numpy(), table.column("start").to_numpy()
         # equal strings once, with the number of their texts; they have the same windows
@@ -237,8 +292,8 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         twice = np.repeat(copies > 1, count)
         if len(open_):
             data, offsets = text_bytes(different.take(pa.array(open_)))
-            compare = plan.again if len(data) <= LARGE else by_hash
-            twice[np.repeat(np.isin(np.arange(len(first)), open_), count)] = compare(data, offsets, count[open_], copies[open_])
+            own = np.repeat(np.isin(np.arange(len(first)), open_), count)
+            twice[own] = dealt_again(data, offsets, count[open_], copies[open_], plan, plan.at_once)
         begin = np.cumsum(count) - count
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
@@ -254,7 +309,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         )
 
     def run(batches):
-        held, size, limit = [], 0, AT_ONCE
+        held, size, limit = [], 0, plan.at_once
         for batch in batches:
             # a passage that many texts share is held once
             held.append(batch.set_column(5, "packed", batch.column(5).dictionary_encode()))
@@ -267,14 +322,14 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
                 if not cut:
                     held, size, limit = table.to_batches(), table.nbytes, 2 * table.nbytes
                     continue
-                for part in _cut(table.slice(0, cut), anchor[:cut]):
+                for part in _cut(table.slice(0, cut), anchor[:cut], plan.at_once):
                     yield found(part)
                 plain = table.slice(cut).column("packed").cast(pa.binary()).combine_chunks()
                 rest = table.slice(cut).set_column(5, "packed", plain.dictionary_encode())
-                held, size, limit = rest.to_batches(), rest.nbytes, AT_ONCE
+                held, size, limit = rest.to_batches(), rest.nbytes, plan.at_once
         if held:
             table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
-            for part in _cut(table, table.column("anchor").to_numpy()):
+            for part in _cut(table, table.column("anchor").to_numpy(), plan.at_once):
                 yield found(part)
 
     return (
@@ -285,8 +340,8 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def _cut(table: pa.Table, anchor: np.ndarray) -> Iterator[pa.Table]:
-    """Whole anchors of about ``AT_ONCE`` bytes at a time."""
+def _cut(table: pa.Table, anchor: np.ndarray, at_once: int) -> Iterator[pa.Table]:
+    """Whole anchors of about ``at_once`` bytes at a time."""
     if not len(anchor):
         return
     packed = table.column("packed").combine_chunks()
@@ -294,7 +349,7 @@ def _cut(table: pa.Table, anchor: np.ndarray) -> Iterator[pa.Table]:
     edges = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
     a, base = 0, 0
     for e, following in zip(edges, [*edges[1:], None]):
-        if following is None or length[following - 1] - base > AT_ONCE:
+        if following is None or length[following - 1] - base > at_once:
             yield table.slice(a, e - a)
             a, base = int(e), int(length[e - 1])
 

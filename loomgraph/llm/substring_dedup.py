@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.repeats import HOT, Plan, WordUnits, pieces, removed, repeated_stretches, unzipped
+from loomgraph.llm.repeats import AT_ONCE, HOT, Plan, WordUnits, pieces, removed, repeated_stretches, unzipped
 from loomgraph.llm.textarrays import Words
 
 WINDOW = 35
@@ -53,7 +53,13 @@ def occur_again(window: int):
 
 
 def substring_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+    hot: int = HOT,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (and the kept words as ``kept_text``).
 
@@ -61,7 +67,7 @@ def substring_report(
     windows are judged on the input. A null or empty text has no words. Equal texts and repeated rows are copies of
     each other, so all of their windows repeat. Other columns are ignored; an empty table gives no rows.
     """
-    plan = Plan(WordUnits, window, min(gram, window), occur_again(window), hot)
+    plan = Plan(WordUnits, window, min(gram, window), occur_again(window), hot, at_once)
     rows = repeated_stretches(docs, id_col, text_col, plan).select("doc", "text", "copies", "stretches")
     schema = T.StructType(
         [

@@ -1,15 +1,15 @@
 """Suffix arrays by two-stage sorting, in numpy.
 
 Suffixes smaller than their successor are sorted directly; every other suffix is put in place by scanning the buckets of
-first bytes in order. Order is decided by the first ``depth`` bytes; suffixes that agree on them are neighbours.
+first bytes in order. Order is decided by the first ``depth`` bytes; suffixes that agree on them are neighbours. Rolling
+hashes shorten the sort; common prefixes of neighbours, and whether they are in order, are read from the text itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from loomgraph.llm.textarrays import powers, prefix_hash, windows
-
+from loomgraph.llm.textarrays import mix, powers, prefix_hash, windows
 
 #: Bytes that are compared without first asking how many a group shares.
 PLAIN = 32
@@ -27,14 +27,6 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return np.r_[rises, False][at]
 
 
-def eight_bytes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number in their order; ``text`` is long enough."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k].astype(np.uint64)
-    return out
-
-
 def common_prefix(sums: np.ndarray, powers_of: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, at most ``depth``, by halving on rolling hashes."""
     length = np.zeros(len(a), np.int64)
@@ -49,14 +41,20 @@ def common_prefix(sums: np.ndarray, powers_of: np.ndarray, a: np.ndarray, b: np.
 
 
 class Suffixes:
-    """``text`` with its rolling hashes and room behind its end."""
+    """``text`` with its rolling hashes and room behind its end. ``kind`` chooses the hash function."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, kind: int = 0):
         self.n, self.depth = len(text), depth
-        self.text = np.r_[text, np.zeros(depth + 8, np.uint8)]
-        self.sums = prefix_hash(self.text)  # only ranges of one length are compared
+        self.text = np.r_[text, np.zeros(depth + 16, np.uint8)]
+        values = self.text + np.uint64(1)
+        self.sums = prefix_hash(mix(values + np.uint64(kind << 8)) if kind else values)  # only ranges of one length are compared
         self.powers = powers(len(self.sums))[0]
         self.whole = windows(self.sums, depth)  # hash of the first ``depth`` bytes
+        # the eight bytes from each place on as one number in their order
+        self.eight = np.zeros(len(self.text) - 7, np.uint64)
+        for k in range(8):
+            self.eight <<= np.uint64(8)
+            self.eight |= self.text[k : k + len(self.eight)]
 
     def sort_directly(self, at: np.ndarray) -> np.ndarray:
         """The given suffixes in order.
@@ -66,7 +64,7 @@ class Suffixes:
         """
         _, first, same = np.unique(self.whole[at], return_index=True, return_inverse=True)
         some = at[first]
-        key = eight_bytes(self.text, some)
+        key = self.eight[some]
         order = np.argsort(key)
         key, some = key[order], some[order]
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(key) else np.zeros(0, np.int64)
@@ -84,7 +82,7 @@ class Suffixes:
                 lcp[head[1:] - 1] = self.depth  # neighbours of different groups
                 shared = np.minimum.reduceat(np.r_[lcp, self.depth], head)
                 ahead = np.repeat(shared, np.diff(np.r_[head, len(own)]))
-            key = eight_bytes(self.text, place + ahead)
+            key = self.eight[place + ahead]
             turn = np.lexsort((key, own))
             some[open_], back[open_] = place[turn], back[open_][turn]
             key, own = key[turn], own[turn]
@@ -139,7 +137,42 @@ class Suffixes:
                 scan(own, byte)
         return np.concatenate(out)
 
-    def neighbours_agree(self, order: np.ndarray) -> np.ndarray:
-        """True where a suffix has ``depth`` bytes in common with the one before it in ``order``."""
-        own = self.whole[order]
-        return np.r_[False, own[1:] == own[:-1]] if len(order) else np.zeros(0, bool)
+    def agreement(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that suffixes a and b have in common, at most ``depth``, read from the text."""
+        length = np.full(len(a), self.depth, np.int64)
+        open_ = np.arange(len(a))
+        for known in range(0, self.depth, 8):
+            differ = self.eight[a[open_] + known] ^ self.eight[b[open_] + known]
+            ends = differ != 0
+            low = differ[ends]
+            same = sum((low < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+            length[open_[ends]] = np.minimum(known + same, self.depth)
+            open_ = open_[~ends]
+            if not len(open_):
+                break
+        return length
+
+    def common_prefixes(self, order: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Bytes, at most ``depth``, that each suffix of ``order`` has in common with the one before it (0 for the
+        first), and whether all neighbours are in order.
+
+        A pair of neighbours whose two suffixes start one byte behind those of another pair, after an equal byte, agrees
+        on one byte less. Such pairs form chains through the text, and only the last pair of a chain is compared.
+        """
+        before = np.full(len(self.text), -1, np.int64)
+        before[order[1:]] = order[:-1]
+        place = np.flatnonzero(before >= 0)
+        other = before[place]
+        if not len(place):
+            return np.zeros(len(order), np.int64), True
+        goes_on = (place[1:] == place[:-1] + 1) & (other[1:] == other[:-1] + 1)
+        goes_on &= self.text[place[:-1]] == self.text[other[:-1]]
+        last = np.flatnonzero(np.r_[~goes_on, True])
+        known = self.agreement(other[last], place[last])
+        part = known < self.depth
+        at = known[part]
+        in_order = bool((self.text[other[last[part]] + at] < self.text[place[last[part]] + at]).all())
+        size = np.diff(np.r_[-1, last])
+        found = np.zeros(len(self.text), np.int64)
+        found[place] = np.repeat(known + last, size) - np.arange(len(place))
+        return np.minimum(np.r_[0, found[order[1:]]], self.depth), in_order

@@ -1,20 +1,21 @@
 """Repeated passages of bytes, found with suffix arrays.
 
 Runs of windows that may repeat meet in the bucket of their anchor (see ``repeats``). There the different strings of a
-bucket are laid out in a row and their suffixes sorted by two-stage sorting; windows with a full common prefix are
-neighbours in that order.
+bucket are laid out in a row and their suffixes sorted by two-stage sorting; neighbours whose common prefix is as long as
+a window are equal windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.repeats import HOT, ByteUnits, Plan, pieces, removed, repeated_stretches, unzipped
+from loomgraph.llm.repeats import AT_ONCE, HOT, ByteUnits, Plan, pieces, removed, repeated_stretches, unzipped
 from loomgraph.llm.suffix_array import Suffixes
 from loomgraph.llm.textarrays import sums_by
 
@@ -35,10 +36,14 @@ def occur_again(window: int):
         weight = np.zeros(len(text), np.float64)
         weight[begins] = np.repeat(copies, n)
 
-        suffixes = Suffixes(text, window)
-        order = suffixes.array()
-        order = order[weight[order] > 0]
-        family = np.cumsum(~suffixes.neighbours_agree(order)) - 1
+        for kind in itertools.count():
+            suffixes = Suffixes(text, window, kind)
+            order = suffixes.array()
+            order = order[weight[order] > 0]
+            prefix, in_order = suffixes.common_prefixes(order)
+            if in_order:  # else two strings had one hash, and another hash function sorts them
+                break
+        family = np.cumsum(prefix < window) - 1
         found = np.zeros(len(text), bool)
         found[order] = np.bincount(family, weights=weight[order], minlength=1)[family] > 1
         return found[begins]
@@ -47,7 +52,13 @@ def occur_again(window: int):
 
 
 def suffix_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+    hot: int = HOT,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes as ``kept``).
 
@@ -55,7 +66,7 @@ def suffix_report(
     overlaps count, and strings are judged on the input. A null text is empty. Equal texts and repeated rows are copies
     of each other, so all of their strings repeat. Other columns are ignored; an empty table gives no rows.
     """
-    plan = Plan(ByteUnits, window, min(gram, window), occur_again(window), hot)
+    plan = Plan(ByteUnits, window, min(gram, window), occur_again(window), hot, at_once)
     rows = repeated_stretches(docs, id_col, text_col, plan).select("doc", "text", "copies", "stretches")
     schema = T.StructType(
         [

@@ -233,9 +233,8 @@ def spans(gone):
     return sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
 
 
-@pytest.mark.parametrize("hot, large", [(10_000, 1 << 22), (10_000, 0), (1, 0)])
-def test_suffix_arrays(docs, nothing, hot, large, monkeypatch):
-    monkeypatch.setattr(repeats, "LARGE", large)
+@pytest.mark.parametrize("hot, at_once", [(10_000, 1 << 22), (10_000, 300), (1, 300)])
+def test_suffix_arrays(docs, nothing, hot, at_once):
     window = 60
     texts = [(r[1] or "").encode() for r in B.ROWS]
     gone = dict(zip(texts, B.repeated(texts, window)))
@@ -246,7 +245,7 @@ def test_suffix_arrays(docs, nothing, hot, large, monkeypatch):
         kept = bytes(b for b, g in zip(text, own) if not g)
         return len(text), sum(own), spans(own), B.sha(kept)
 
-    got = suffix_dedup.suffix_report(docs, window=window, gram=8, hot=hot)
+    got = suffix_dedup.suffix_report(docs, window=window, gram=8, hot=hot, at_once=at_once)
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected(want)
     assert suffix_dedup.suffix_report(nothing).count() == 0
 
@@ -262,11 +261,56 @@ def test_suffix_order():
         body = bytes(text) + bytes(depth)
         heads = [body[k : k + depth] for k in order]
         assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
+        assert Suffixes(text, depth, 1).array().tolist() == order.tolist()
 
 
-@pytest.mark.parametrize("hot, large", [(10_000, 1 << 22), (10_000, 0), (1, 0)])
-def test_substrings(docs, nothing, hot, large, monkeypatch):
-    monkeypatch.setattr(repeats, "LARGE", large)
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_common_prefixes():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n, depth, letters = int(rng.integers(2, 400)), int(rng.integers(1, 60)), int(rng.integers(1, 4))
+        text = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        if n > 200 and trial % 2:
+            text[100:190] = text[:90]
+        suffixes = Suffixes(text, depth)
+        order = suffixes.array()
+        order = order[order <= n - depth]  # whole windows
+        lengths, in_order = suffixes.common_prefixes(order)
+        body = bytes(text)
+        heads = [body[k : k + depth] for k in order]
+        assert in_order and lengths.tolist() == [0, *map(shared, heads, heads[1:])][: len(order)]
+        if len(set(heads)) > 1:
+            assert not suffixes.common_prefixes(order[::-1])[1]
+
+
+@pytest.mark.parametrize(
+    "module, window, gram, units",
+    [(suffix_dedup, 60, 8, repeats.ByteUnits), (substring_dedup, 9, 3, repeats.WordUnits)],
+)
+def test_strings_of_one_anchor_dealt_again(module, window, gram, units):
+    """One passage in three megabytes of different surroundings, many times what is compared at once."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    common = " ".join(rng.choice(vocabulary, 40))
+    some = [" ".join(rng.choice(vocabulary, 30)) for _ in range(200)]
+    texts = sorted({f"{some[int(rng.integers(200))]} {common} {k} {some[int(rng.integers(200))]}" for k in range(6000)})
+    body = "".join(texts).encode()
+    assert len(body) > 2 << 20
+    data, offsets = np.frombuffer(body, np.uint8), np.cumsum([0, *(len(t) for t in texts)])
+    n = np.diff(units(data, offsets).first) - window + 1
+    copies = rng.integers(1, 3, len(texts)).astype(float)
+    plan = repeats.Plan(units, window, gram, module.occur_again(window))
+    want = plan.again(data, offsets, n, copies)
+    for at_once in (1 << 20, 50_000):
+        assert (repeats.dealt_again(data, offsets, n, copies, plan, at_once) == want).all()
+    assert 0.1 < want.mean() < 0.99
+
+
+@pytest.mark.parametrize("hot, at_once", [(10_000, 1 << 22), (10_000, 300), (1, 300)])
+def test_substrings(docs, nothing, hot, at_once):
     window = 9
     texts = [tuple(B.words(r[1])) for r in B.ROWS]
     gone = dict(zip(texts, B.repeated(texts, window)))
@@ -276,7 +320,7 @@ def test_substrings(docs, nothing, hot, large, monkeypatch):
         kept = [w for w, g in zip(own, gone[own]) if not g]
         return len(own), sum(gone[own]), B.sha(" ".join(kept).encode())
 
-    got = substring_dedup.substring_report(docs, window=window, gram=3, hot=hot)
+    got = substring_dedup.substring_report(docs, window=window, gram=3, hot=hot, at_once=at_once)
     # texts that differ in white space only are one sequence of words, which is as the plain version has it
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == expected(want)
     assert substring_dedup.substring_report(nothing).count() == 0
