@@ -170,7 +170,10 @@ def _runs(keyed: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _packed(texts: DataFrame, plan: Plan, single: bool) -> DataFrame:
-    """The runs of ``texts`` (key, copies, runs, text) as packed strings, or each of their windows by itself."""
+    """The runs of ``texts`` (key, copies, runs, text) as packed strings, or each of their windows by itself.
+
+    Equal strings of a piece of texts are one row, with the places (key, start) that hold them.
+    """
 
     def run(batches):
         for batch in batches:
@@ -189,23 +192,37 @@ def _packed(texts: DataFrame, plan: Plan, single: bool) -> DataFrame:
                 first = units.first[text] + start
                 left, right = begin[first], end[first + n + plan.window - 2]
                 body = flat.tobytes()
-                strings = [body[x:y] for x, y in zip(left.tolist(), right.tolist())]
-                for x in range(0, len(strings), 20_000):
-                    part = slice(x, x + 20_000)
+                keys, copies = (batch.column(k).slice(a, b - a) for k in (0, 1))
+                # a line repeated in a text gives one string over and over, and so does a passage that texts share
+                turn = np.argsort(anchor, kind="stable")
+                for x in range(0, len(turn), 20_000):
+                    own = turn[x : x + 20_000]
+                    strings = pa.array(
+                        [body[y:z] for y, z in zip(left[own].tolist(), right[own].tolist())], pa.binary()
+                    ).dictionary_encode()
+                    # equal strings have one anchor and as many windows
+                    which = strings.indices.to_numpy()
+                    order = np.argsort(which, kind="stable")
+                    held = own[order]
+                    bounds = np.searchsorted(which[order], np.arange(len(strings.dictionary) + 1))
+                    some = held[bounds[:-1]]
+                    weight = np.bincount(which, weights=copies.to_numpy()[text[own]])
+                    holders = pa.StructArray.from_arrays(
+                        [keys.take(pa.array(text[held])), pa.array(start[held].astype(np.int32))], ["key", "start"]
+                    )
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(a, b - a).take(pa.array(text[part])),
-                            batch.column(1).slice(a, b - a).take(pa.array(text[part])),
-                            pa.array(anchor[part]),
-                            pa.array(start[part].astype(np.int32)),
-                            pa.array(n[part].astype(np.int32)),
-                            pa.array(strings[part], pa.binary()),
+                            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), holders),
+                            pa.array(weight.astype(np.int64)),
+                            pa.array(anchor[some]),
+                            pa.array(n[some].astype(np.int32)),
+                            strings.dictionary,
                         ],
-                        names=["key", "copies", "anchor", "start", "n", "packed"],
+                        names=["holders", "copies", "anchor", "n", "packed"],
                     )
 
     return texts.select("key", "copies", "runs", "text").mapInArrow(
-        run, "key binary, copies long, anchor long, start int, n int, packed binary"
+        run, "holders array<struct<key: binary, start: int>>, copies long, anchor long, n int, packed binary"
     )
 
 
@@ -277,7 +294,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
     """(key, begin, end) of stretches of windows that occur again, from all runs of each anchor."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        n, start = table.column("n").to_numpy(), table.column("start").to_numpy()
+        n = table.column("n").to_numpy()
         # equal strings once, with the number of their texts; they have the same windows
         packed = table.column("packed").unify_dictionaries().combine_chunks()
         used, first, which = np.unique(packed.indices.to_numpy(), return_index=True, return_inverse=True)
@@ -296,15 +313,26 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
             twice[own] = dealt_again(data, offsets, count[open_], copies[open_], plan, plan.at_once)
         begin = np.cumsum(count) - count
         row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         again = twice[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(len(row))]
         row, place = row[again], place[again]
         edge = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)] if len(row) else np.zeros(0, bool)
         at = np.flatnonzero(edge)
         last = np.r_[at[1:], len(row)] - 1 if len(at) else at
-        key = table.column("key").combine_chunks().take(pa.array(row[at]))
+        # each stretch for all places that hold its string
+        holders = table.column("holders").combine_chunks()
+        bounds = holders.offsets.to_numpy()
+        count = np.diff(bounds)[row[at]]
+        stretch = np.repeat(np.arange(len(at)), count)
+        held = np.arange(len(stretch)) + np.repeat(bounds[:-1][row[at]] - bounds[0] - (np.cumsum(count) - count), count)
+        places = holders.flatten()
+        start = places.field("start").to_numpy()[held]
         return pa.RecordBatch.from_arrays(
-            [key, pa.array(place[at].astype(np.int32)), pa.array((place[last] + 1).astype(np.int32))],
+            [
+                places.field("key").take(pa.array(held)),
+                pa.array((start + place[at][stretch]).astype(np.int32)),
+                pa.array((start + place[last][stretch] + 1).astype(np.int32)),
+            ],
             names=["key", "begin", "end"],
         )
 
@@ -312,7 +340,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
         held, size, limit = [], 0, plan.at_once
         for batch in batches:
             # a passage that many texts share is held once
-            held.append(batch.set_column(5, "packed", batch.column(5).dictionary_encode()))
+            held.append(batch.set_column(4, "packed", batch.column(4).dictionary_encode()))
             size += held[-1].nbytes
             if size >= limit:
                 table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
@@ -325,7 +353,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
                 for part in _cut(table.slice(0, cut), anchor[:cut], plan.at_once):
                     yield found(part)
                 plain = table.slice(cut).column("packed").cast(pa.binary()).combine_chunks()
-                rest = table.slice(cut).set_column(5, "packed", plain.dictionary_encode())
+                rest = table.slice(cut).set_column(4, "packed", plain.dictionary_encode())
                 held, size, limit = rest.to_batches(), rest.nbytes, plan.at_once
         if held:
             table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
@@ -333,7 +361,7 @@ def _compared(packed: DataFrame, plan: Plan) -> DataFrame:
                 yield found(part)
 
     return (
-        packed.select("key", "copies", "anchor", "start", "n", "packed")
+        packed.select("holders", "copies", "anchor", "n", "packed")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(run, "key binary, begin int, end int")
@@ -356,9 +384,10 @@ def _cut(table: pa.Table, anchor: np.ndarray, at_once: int) -> Iterator[pa.Table
 
 def _counted(single: DataFrame) -> DataFrame:
     """The same from windows by themselves: a count per digest, with partial sums before the shuffle."""
-    each = single.select("key", "copies", "start", F.unhex(F.md5("packed")).alias("window"))
+    each = single.select("holders", "copies", F.unhex(F.md5("packed")).alias("window"))
     twice = each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    return each.join(twice, "window").select("key", F.col("start").alias("begin"), (F.col("start") + 1).alias("end"))
+    places = each.join(twice, "window").select(F.inline("holders"))
+    return places.select("key", F.col("start").alias("begin"), (F.col("start") + 1).alias("end"))
 
 
 def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
