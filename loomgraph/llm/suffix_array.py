@@ -100,21 +100,31 @@ class Suffixes:
         equal = group[1:] == group[:-1]
         return np.r_[equal, False] | np.r_[False, equal] if len(group) else np.zeros(0, bool)
 
-    def array(self) -> np.ndarray:
-        """All suffixes in order."""
+    def array(self, wanted: np.ndarray | None = None) -> np.ndarray:
+        """All suffixes in order, or the ``wanted`` ones (a mask).
+
+        A suffix that is not wanted takes part only if one before it is put in place by it.
+        """
         text, n = self.text[: self.n], self.n
         if not n:
             return np.zeros(0, np.int64)
         small = smaller_than_next(text)
-        direct = self.sort_directly(np.flatnonzero(small))
+        takes_part = np.ones(n, bool)
+        if wanted is not None:
+            # no directly sorted suffix lies between the last wanted one, with it, and this one
+            last = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
+            direct_before = np.cumsum(small) - small
+            takes_part = wanted | (last >= 0) & (direct_before == direct_before[last])
+        direct = self.sort_directly(np.flatnonzero(small & takes_part))
         bounds = np.searchsorted(text[direct], np.arange(257))
+        large = ~small & takes_part
         induced: list[list[np.ndarray]] = [[] for _ in range(256)]
 
         def scan(suffixes: np.ndarray, byte: int) -> np.ndarray:
             """Put the predecessors that are larger than ``suffixes`` behind those of their buckets so far; the ones of
             this bucket are returned."""
             before = suffixes[suffixes > 0] - 1
-            before = before[~small[before]]
+            before = before[large[before]]
             first = text[before]
             turn = np.argsort(first, kind="stable")
             first, before = first[turn], before[turn]
@@ -123,7 +133,7 @@ class Suffixes:
                 induced[b].append(part)
             return before[first == byte]
 
-        induced[text[n - 1]].append(np.array([n - 1]))
+        induced[text[n - 1]].append(np.flatnonzero(takes_part[n - 1 :]) + n - 1)
         out = []
         for byte in range(256):
             own = np.concatenate(induced[byte]) if induced[byte] else np.zeros(0, np.int64)
@@ -135,7 +145,8 @@ class Suffixes:
             if len(own):
                 out.append(own)
                 scan(own, byte)
-        return np.concatenate(out)
+        order = np.concatenate(out) if out else np.zeros(0, np.int64)
+        return order if wanted is None else order[wanted[order]]
 
     def agreement(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that suffixes a and b have in common, at most ``depth``, read from the text."""

@@ -38,8 +38,7 @@ def occur_again(window: int):
 
         for kind in itertools.count():
             suffixes = Suffixes(text, window, kind)
-            order = suffixes.array()
-            order = order[weight[order] > 0]
+            order = suffixes.array(weight > 0)
             prefix, in_order = suffixes.common_prefixes(order)
             if in_order:  # else two strings had one hash, and another hash function sorts them
                 break

@@ -262,6 +262,11 @@ def test_suffix_order():
         heads = [body[k : k + depth] for k in order]
         assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
         assert Suffixes(text, depth, 1).array().tolist() == order.tolist()
+        wanted = rng.random(n) < rng.random()
+        some = Suffixes(text, depth).array(wanted)
+        assert sorted(some.tolist()) == np.flatnonzero(wanted).tolist()
+        heads = [body[k : k + depth] for k in some]
+        assert heads == sorted(heads)
 
 
 def shared(a, b):
