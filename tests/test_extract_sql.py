@@ -35,3 +35,19 @@ def test_outcomes(spark, tables):
 
     rows = entry.queries()["parse_extracts"](spark, tables[0]).collect()
     assert {r.document_id: r.outcome for r in rows} == {12: "invalid_json", 15: "ok", 468: "ok", 469: "ok"}
+
+
+@pytest.mark.parametrize("name", ["validate_extracts", "schema_valid_rate"])
+def test_every_rule_is_in_the_sql(spark, tables, name):
+    import __spark_entry__ as entry
+
+    folder, con = tables
+    ok, message, *_ = compare(spark, con, folder, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, message
+
+
+def test_an_extract_without_findings_is_empty(spark, tables):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["validate_extracts"](spark, tables[0]).collect()
+    assert {r.document_id: r.failed_rule for r in rows} == {15: None, 468: "empty", 469: "title"}
