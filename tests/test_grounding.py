@@ -48,3 +48,22 @@ def test_fewer_rows_meet(tables):
     assert rows[0.3] < 0.75 * rows[0.0] and rows[0.5] < 0.6 * rows[0.0]
     cut = E.rare_tokens(claims, held, 0.5).select("t", "prefix").distinct().collect()
     assert all(len(r.prefix) == len(r.t) - max(1, math.ceil(len(r.t) * 0.5)) + 1 for r in cut)
+
+
+def test_texts_are_shuffled_once_and_not_per_token(spark):
+    # a sentence of many tokens: a row per token that carries the whole sentence would grow with their square
+    words = [f"w{k}" for k in range(4000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + ".")], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, c, "s", " ".join(words[c : c + 400])) for c in range(600)], "doc_id long, claim_id long, system string, claim string")
+    got = E.token_overlap(claims, docs, X.LATIN_CORE_MARKERS, X.LATIN_EXTENDED_MARKERS, 0.3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    assert {(r.claim_id, r.ordinal, r.overlap) for r in got.collect()} == {(c, 1, 1.0) for c in range(600)}
+
+
+def test_pairs_are_counted_in_parts(monkeypatch):
+    sents, claims = ["a b c", "", "c d", "x"], ["a c", "", "d q", "z"]
+    whole = [tuple(map(tuple, p)) for p in E.shared_tokens("\n".join(claims), "\n".join(sents), 0.0)]
+    monkeypatch.setattr(E, "PAIRS_AT_ONCE", 4)
+    parts = [x for p in E.shared_tokens("\n".join(claims), "\n".join(sents), 0.0) for x in zip(*p)]
+    assert parts == list(zip(*whole[0])) == [(0, 0, 1.0), (0, 2, 0.5), (2, 2, 0.5)]
