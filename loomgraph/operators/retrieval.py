@@ -136,18 +136,52 @@ def _score(index: TextIndex, weighted: DataFrame, qid: str, avgdl: Column, k1: f
     )
 
 
-def bm25_search(
-    docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, qid: str, q: str, k: int, newest: str | None = None
+#: Hits, one for each query, document and common term, that one task scores, about.
+TASK_HITS = 1 << 20
+
+
+def bm25_search_scores(
+    docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, qid: str, q: str, keep: tuple[str, ...] = (), k1: float = K1, b: float = B
 ) -> DataFrame:
-    """Best ``k`` documents per query; equal scores: newest first, then id.
+    """Score of every (query, document) pair with a common term, from the texts themselves.
 
-    The index is restricted to the query terms before its shuffle.
+    The texts are read twice. The first pass counts: documents per query term and, under the empty term, all documents and
+    tokens; only sums leave its tasks. The second deals the tokens that queries name by document, once; postings, hits and
+    scores then need no further exchange. Tasks are as many as the hits ask for, so that none grows with the table.
     """
-    wanted = query_terms(queries, qid, q)
+    keys = [id_col, *keep]
+    asked = materialize(query_terms(queries, qid, q), "query-terms")
+    tokens = docs.select(*keys, tokenize(F.col(text_col)).alias("tokens"))
+    sized = tokens.select(*keys, F.size("tokens").cast("long").alias("len"), "tokens")
+    # no token is empty
+    seen = unnest(sized, [id_col, "len"], F.array_distinct(F.array_append("tokens", F.lit(""))), "term")
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    counted = salted_join(seen, wanted, ["term"], F.col(id_col), "left_semi")
+    stats = materialize(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")), "term-counts")
+    whole = stats.where("term = ''").first()
+    n, total = (whole["df"], whole["total"]) if whole else (0, 0)
+    w = (F.col("qtf") * lucene_idf(F.lit(n), F.col("df"))).alias("w")
+    # written out, the weights have a known size: Spark broadcasts them when they are small and
+    # otherwise joins on (term, salt)
+    weights = materialize(asked.join(stats, "term").select(qid, "term", w, "df"), "query-weights")
+    n_hits = weights.agg(F.sum("df")).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_hits // TASK_HITS))
+    found = unnest(sized, [*keys, "len"], F.col("tokens"), "term")
+    found = salted_join(found, weights.select("term").distinct(), ["term"], F.col(id_col), "left_semi").repartition(tasks, id_col)
+    postings = found.groupBy(*keys, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf, avgdl = F.col("tf"), F.lit(total / n if n else 1.0)
+    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / avgdl))
+    hits = salted_join(postings, weights.select(qid, "term", "w"), ["term"], F.col(id_col))
+    return hits.select(qid, *keys, part.alias("part")).groupBy(qid, *keys).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+
+
+def bm25_search(
+    docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, qid: str, q: str, k: int, newest: str | None = None
+) -> DataFrame:
+    """Best ``k`` documents per query; equal scores: newest first, then id."""
     keep = (newest,) if newest else ()
-    index = text_index(docs, id_col, text_col, wanted, keep)
     order = [F.desc("score"), *[F.desc(c) for c in keep], F.col(id_col)]
-    return top_k(bm25_scores(index, queries, qid, q), [qid], order, k)
+    return top_k(bm25_search_scores(docs, id_col, text_col, queries, qid, q, keep), [qid], order, k)
 
 
 def latest_n(docs: DataFrame, created: str, id_col: str, n: int) -> DataFrame:
@@ -314,15 +348,16 @@ def expand_one_hop(
         .distinct()
     )
     entities = materialize(entities, "seed-entities")
+    named = entities.select("entity").distinct()
     found = None
     for side in ("subject", "object"):
         side_rows = triples.select("triple_id", "event_at", F.col(side).alias("entity"))
-        # a hub entity may hold a large share of all triples
-        hit = salted_join(side_rows, entities, ["entity"], F.col("triple_id"))
-        # at most total + seeds rows per query and side can survive, so cut before the union
-        hit = top_k(hit, [qid, "entity"], [F.desc("event_at"), "triple_id"], total + seeds, "__r").drop("__r")
-        hit = hit.select(qid, "triple_id", "event_at")
+        # a hub entity may hold a large share of all triples, and belong to many queries
+        hit = salted_join(side_rows, named, ["entity"], F.col("triple_id"), "left_semi")
+        # at most total + seeds rows per query and side can survive, whichever the query, so cut before queries meet them
+        hit = top_k(hit, ["entity"], [F.desc("event_at"), "triple_id"], total + seeds, "__r").drop("__r")
         found = hit if found is None else found.unionByName(hit)
+    found = found.join(entities, "entity").select(qid, "triple_id", "event_at")
     neighbours = found.distinct().join(top.select(qid, "triple_id"), [qid, "triple_id"], "left_anti")
     n_seed = top.groupBy(qid).agg(F.count(F.lit(1)).alias("n_seed"))
     filled = (
