@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET = "__bucket"
+BUCKET, KEY = "__bucket", "__key"
 
 
 def scalar(df: DataFrame) -> Column:
@@ -48,6 +48,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(other, condition, how).drop(*names.values())
 
 
+def in_buckets(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """``df`` with its keys and its bucket as two structs, in which a null is a value like any other.
+
+    Windows over both and a plain join on both then deal rows alike, so rows travel once; a null-safe join would deal them again.
+    """
+    return df.withColumn(BUCKET, F.struct(bucket.alias("b"))).withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0)))
+
+
+def join_in_place(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of ``in_buckets`` beside the values of their bucket; rows that a window has dealt stay where they are."""
+    return rows.join(buckets, [KEY, BUCKET], how)
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,9 +78,8 @@ def prefix_scan(
     the previous row's value.
     """
     sums, lasts, firsts, lags = (dict(m or {}) for m in (sums, lasts, firsts, lags))
-    keys = list(keys)
-    src = df.withColumn(BUCKET, bucket)
-    inside = W.partitionBy(*keys, BUCKET).orderBy(*order)
+    src = in_buckets(df, keys, bucket)
+    inside = W.partitionBy(KEY, BUCKET).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     at = F.struct(*order)
 
@@ -86,7 +98,7 @@ def prefix_scan(
         local.append(F.lag(F.struct(e.alias("v"))).over(inside).alias(f"__l_{n}"))
         summary.append(F.max_by(F.struct(e.alias("v")), at).alias(f"__s_{n}"))
 
-    across = W.partitionBy(*keys).orderBy(BUCKET)
+    across = W.partitionBy(KEY).orderBy(BUCKET)
     before = across.rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for n in sums:
@@ -98,8 +110,8 @@ def prefix_scan(
     for n in lags:
         carried.append(F.lag(f"__s_{n}").over(across).alias(f"__p_{n}"))
 
-    buckets = src.groupBy(*keys, BUCKET).agg(*summary).select(*keys, BUCKET, *carried)
-    joined = join_null_safe(src.select("*", *local), buckets, [*keys, BUCKET], "left")
+    buckets = src.groupBy(KEY, BUCKET).agg(*summary).select(KEY, BUCKET, *carried)
+    joined = join_in_place(src.select("*", *local), buckets, "left")
 
     out = [F.col(c) for c in df.columns]
     for n in sums:
@@ -126,18 +138,17 @@ def bucketed_row_number(
     ``bucket`` must not decrease along ``order``; the only rows brought together are one
     count per bucket.
     """
-    partition = list(partition)
-    src = df.withColumn(BUCKET, bucket)
-    across = W.partitionBy(*partition) if partition else W.partitionBy(F.lit(0))
+    src = in_buckets(df, partition, bucket)
+    across = W.partitionBy(KEY)
     before = across.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        src.groupBy(*partition, BUCKET)
+        src.groupBy(KEY, BUCKET)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*partition, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        .select(KEY, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     )
-    inside = W.partitionBy(*partition, BUCKET).orderBy(*order)
+    inside = W.partitionBy(KEY, BUCKET).orderBy(*order)
     placed = src.withColumn("__rn", F.row_number().over(inside))
-    return join_null_safe(placed, offsets, [*partition, BUCKET]).select(
+    return join_in_place(placed, offsets).select(
         *df.columns, (F.col("__rn") + F.col("__off")).cast("long").alias(name)
     )
 

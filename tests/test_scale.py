@@ -1,6 +1,7 @@
 """Two-level helpers agree with plain windows, also when one key holds most rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -132,3 +133,27 @@ def test_status_fold_buckets(spark):
             if d == doc:
                 s = L.MOVES["none" if a == "replace" and not h else a][s]
         assert got[doc] == L.STATES[s]
+
+
+def test_rows_are_dealt_once(spark):
+    """Running values and row numbers join their buckets where a window has dealt the rows; null keys and buckets included."""
+    rows = [(k, None if i % 11 == 0 else i, i) for k in (None, "a", "b") for i in range(60)]
+    table = spark.createDataFrame(rows, "key string, pos long, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bucket = F.floor(F.col("pos") / 16)
+        scanned = S.prefix_scan(table, ["key"], ["pos", "v"], bucket, sums={"s": F.col("v")})
+        numbered = S.bucketed_row_number(table, bucket, ["pos", "v"], "n", ["key"])
+        for df in (scanned, numbered):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(coalesce" not in plan
+        got = {(r.key, r.v): (r.s, r.n) for r in scanned.join(numbered, [scanned.v == numbered.v, scanned.key.eqNullSafe(numbered.key)]).select(scanned.key, scanned.v, "s", "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for key in (None, "a", "b"):
+        total = 0
+        for place, (_, _, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
+            total += v
+            assert got[key, v] == (total, place)
