@@ -98,12 +98,20 @@ def marker(col: Column, core: Sequence = CORE_MARKERS, extended: Sequence = ())
         F.struct(F.nullif(F.regexp_instr(col, F.lit(rx)), F.lit(0)).alias("p"), F.lit(i).alias("i"), F.lit(name).alias("m"))
         for i, (name, rx) in enumerate(core)
     ]
-    found = F.filter(F.array(*at), lambda s: s["p"].isNotNull())
-    first = F.when(F.size(found) > 0, F.array_min(found)["m"])
+    # the least of no rules is null; named once, so that no rule is matched twice
+    first = F.array_min(F.filter(F.array(*at), lambda s: s["p"].isNotNull()))["m"]
     rest = [F.when(col.rlike(rx), F.lit(name)) for name, rx in extended]
     return F.coalesce(first, *rest)
 
 
+def is_marked(col: Column, core: Sequence = CORE_MARKERS, extended: Sequence = ()) -> Column:
+    """Whether a sentence has a decision marker; it stops at the first rule that matches."""
+    found = F.lit(False)
+    for _, rx in [*core, *extended]:
+        found = found | F.coalesce(col.rlike(rx), F.lit(False))
+    return found
+
+
 def pack_lines(col: Column, budget: int) -> Column:
     """Greedy packing of non-blank lines into chunks of at most ``budget`` characters.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import CORE_MARKERS, EXTENDED_MARKERS, bind, is_blank, marker, pack_lines, sentences
+from loomgraph.functions.text import CORE_MARKERS, EXTENDED_MARKERS, is_blank, is_marked, marker, pack_lines, sentences
 from loomgraph.operators.ingest import META_HEADING
 from loomgraph.operators.scale import first_per_key, ordered_concat, prefix_scan, unnest
 from loomgraph.operators.sections import block_bucket
@@ -64,18 +64,23 @@ def number_sentences(chunks: DataFrame, keys: list[str], text: str = "text", cap
 def sentence_jobs(chunks: DataFrame, keys: list[str], text: str = "text", core=CORE_MARKERS, extended=EXTENDED_MARKERS) -> DataFrame:
     """Numbered sentences of each chunk as one text, marked ones with a star, with both counts. No shuffle."""
 
-    def line(s: Column, n: Column) -> Column:
-        flag = F.when(marker(s, core, extended).isNotNull(), " * ").otherwise("   ")
-        return F.struct(F.concat(F.format_string("S%03d", n + 1), flag, s).alias("line"), (flag == " * ").alias("marked"))
+    def job(all_: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(all_, lambda x: x["line"]), "\n").alias("body"),
+            F.size(all_).cast("long").alias("n_sentences"),
+            F.size(F.filter(all_, lambda x: x["marked"])).cast("long").alias("n_marked"),
+        )
 
-    listed = bind(sentences(F.col(text), 2), lambda all_: F.transform(all_, line))
-    rows = chunks.select(*keys, listed.alias("__l")).where(F.size("__l") > 0)
-    return rows.select(
-        *keys,
-        F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("body"),
-        F.size("__l").cast("long").alias("n_sentences"),
-        F.size(F.filter("__l", lambda x: x["marked"])).cast("long").alias("n_marked"),
+    numbered = F.transform(sentences(F.col(text), 2), lambda s, n: F.struct(s.alias("s"), n.alias("n"), is_marked(s, core, extended).alias("marked")))
+    listed = F.transform(
+        numbered,
+        lambda x: F.struct(
+            F.concat(F.format_string("S%03d", x["n"] + 1), F.when(x["marked"], " * ").otherwise("   "), x["s"]).alias("line"), x["marked"].alias("marked")
+        ),
     )
+    # at most one job a chunk, unnested: a filter on columns would be pushed below them and take the sentences apart twice
+    jobs = F.transform(F.filter(F.array(listed), lambda all_: F.size(all_) > 0), job)
+    return unnest(chunks, keys, jobs, "job").select(*keys, "job.*")
 
 
 def gate_chunks(chunks: DataFrame, mode: str, text: str = "text", core=CORE_MARKERS, extended=EXTENDED_MARKERS) -> DataFrame:
@@ -85,7 +90,7 @@ def gate_chunks(chunks: DataFrame, mode: str, text: str = "text", core=CORE_MARK
     body = F.col(text)
     if mode == "off":
         return chunks.withColumn("body", body)
-    marked = F.filter(sentences(body), lambda s: marker(s, core, extended).isNotNull())
+    marked = F.filter(sentences(body), lambda s: is_marked(s, core, extended))
     rows = chunks.withColumn("__marked", marked)
     if mode == "filter":
         return rows.where(F.size("__marked") > 0).withColumn("body", body).drop("__marked")
