@@ -10,23 +10,114 @@ document of a range, and ranges below the floor are never unpacked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import tokenize
 from loomgraph.operators.retrieval import B, K1, lucene_idf, query_terms
-from loomgraph.operators.scale import salted_join, top_k, unnest
+from loomgraph.operators.scale import salted_join, top_k
 from loomgraph.session import materialize
 from loomgraph.sources.versioned import VersionedFolder
 
 RANGE_DOCS = 64
+#: Rows whose tokens are counted together.
+ROWS_AT_ONCE = 1000
 #: Ranges of each query that the first pass scores at least.
 FIRST_RANGES = 10
 #: Scores are rounded to six digits; bounds this much below the floor still count.
 SLACK = 1e-5
 
 
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+
+
+def count_terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with (term, tf) of each row's ``tokens`` as ``terms``, in order. A row is counted by itself, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
+                tokens = rows.column("tokens")
+                names, code = in_order(tokens.flatten())
+                row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+                key, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
+                row, code = np.divmod(key, max(1, len(names)))
+                terms = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(tf)], ["term", "tf"])
+                offsets = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)), pa.int32())
+                kept = {n: rows.column(n) for n in rows.schema.names if n != "tokens"}
+                yield pa.RecordBatch.from_pydict(kept | {"terms": pa.ListArray.from_arrays(offsets, terms)})
+
+    return docs.mapInArrow(run, T.StructType([*docs.drop("tokens").schema.fields, T.StructField("terms", TERMS)]))
+
+
+def in_order(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different values in order, and the place of each value among them."""
+    known = values.dictionary_encode()
+    order = pc.sort_indices(known.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return known.dictionary.take(order), place[known.indices.to_numpy(zero_copy_only=False)]
+
+
+def range_blocks(table: pa.Table) -> pa.Table:
+    """The blocks of one range of a segment, from its documents."""
+    table = table.combine_chunks()
+    lists = table["terms"].combine_chunks()
+    found = lists.flatten()
+    row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    names, code = in_order(found.field("term"))
+    order = np.argsort(code, kind="stable")
+    row, tf, begins = row[order], found.field("tf").to_numpy()[order], np.searchsorted(code[order], np.arange(len(names) + 1))
+    size = table["len"].to_numpy()[row]
+    postings = pa.StructArray.from_arrays([table["doc"].combine_chunks().take(pa.array(row)), pa.array(tf), pa.array(size)], ["doc", "tf", "len"])
+    heads = begins[:-1]
+    columns = {"term": names} | {n: pa.repeat(table[n][0], len(names)) for n in ("segment", "range")}
+    columns["max_tf"] = pa.array(np.maximum.reduceat(tf, heads) if len(heads) else tf, pa.int64())
+    columns["min_len"] = pa.array(np.minimum.reduceat(size, heads) if len(heads) else size, pa.int64())
+    columns["n"] = pa.array(np.diff(begins), pa.int32())
+    columns["postings"] = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), postings)
+    return pa.table(columns)
+
+
+def range_scores(qid: str, schema: pa.Schema, avgdl: float, k1: float, b: float):
+    """Scores of one range from its rows: blocks (term, p), current documents (doc) and what is asked (qid, term, w, floor)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asked, blocks = table.filter(pc.is_valid(table["w"])), table.filter(pc.is_valid(table["p"]))
+        if not asked.num_rows or not blocks.num_rows:
+            return schema.empty_table()
+        queries = asked[qid].combine_chunks().dictionary_encode()
+        query = queries.indices.to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(asked["term"], value_set=blocks["term"].combine_chunks()), -1).to_numpy()
+        weight = np.zeros((blocks.num_rows, len(queries.dictionary)))
+        np.add.at(weight, (at[at >= 0], query[at >= 0]), asked["w"].to_numpy()[at >= 0])
+        floor = np.full(len(queries.dictionary), -np.inf)
+        np.maximum.at(floor, query, pc.fill_null(asked["floor"], -np.inf).to_numpy())
+        lists = blocks["p"].combine_chunks()
+        found = lists.flatten()
+        docs = found.field("doc").dictionary_encode()
+        tf, size = found.field("tf").to_numpy().astype(np.float64), found.field("len").to_numpy()
+        part = np.zeros((len(docs.dictionary), blocks.num_rows))
+        block = np.repeat(np.arange(blocks.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        part[docs.indices.to_numpy(zero_copy_only=False), block] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avgdl))
+        score = part @ weight
+        # postings of documents that have changed since are skipped
+        current = pc.is_in(docs.dictionary, value_set=table["doc"].drop_null().combine_chunks()).to_numpy(zero_copy_only=False)
+        i, j = np.nonzero((score > 0) & (score >= floor) & current[:, None])
+        return pa.Table.from_arrays([queries.dictionary.take(pa.array(j)), docs.dictionary.take(pa.array(i)), pa.array(score[i, j])], names=schema.names)
+
+    return run
+
+
 class SearchIndex:
     """The index of the ``text_col`` of rows named by ``id_col``, stored below ``path``. Ids are unique and not null."""
 
@@ -52,15 +143,17 @@ class SearchIndex:
         """(term, change): summed over all segments, the documents of a term."""
         return self.folder.read([s["counts"] for s in state["segments"]], T._parse_datatype_string("term string, change long"))
 
-    def _blocks(self, state: dict) -> DataFrame:
+    def _block_schema(self, state: dict) -> T.StructType:
         posting = T.StructType([self._id(state), *T._parse_datatype_string("tf long, len long").fields])
-        schema = T.StructType(
+        return T.StructType(
             [
                 *T._parse_datatype_string("term string, segment int, range int, max_tf long, min_len long, n int").fields,
                 T.StructField("postings", T.ArrayType(posting)),
             ]
         )
-        return self.folder.read([s["blocks"] for s in state["segments"]], schema)
+
+    def _blocks(self, state: dict) -> DataFrame:
+        return self.folder.read([s["blocks"] for s in state["segments"]], self._block_schema(state))
 
     # ---- writing
 
@@ -76,13 +169,10 @@ class SearchIndex:
         changed = digested.join(before, "doc", "left").where("old IS NULL OR old <> digest")
         number = len(state["segments"])
         tokens = changed.select("doc", "digest", tokenize(F.col("text")).alias("tokens"))
-        # one row holds all of a document's tokens, so its counts need no shuffle of them
-        sized = tokens.select("doc", "digest", F.size("tokens").cast("long").alias("len"), "tokens")
-        terms = unnest(sized, ["doc", "digest", "len"], F.col("tokens"), "term")
-        counted = terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-        lists = counted.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-        rows = sized.drop("tokens").join(lists, "doc", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term: string, tf: bigint>>")))
-        rows = materialize(rows, "tokenised")
+        # one row holds all of a document's tokens, so they are counted in it
+        rows = count_terms(tokens.select("doc", F.lit(number).alias("segment"), "digest", F.size("tokens").cast("long").alias("len"), "tokens"))
+        forward = self.folder.stage(rows, "forward")
+        rows = self.folder.read([forward], rows.schema)
         removed = known.join(given.select("doc"), "doc", "left_anti").select("doc")
         n_new = rows.count()
         removed = materialize(removed, "removed")
@@ -95,10 +185,10 @@ class SearchIndex:
         lost = self._forward(state).join(stale, ["doc", "segment"], "left_semi")
         gone = lost.select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("change"))
         kept = self._docs(state).join(stale.select("doc"), "doc", "left_anti")
-        added = rows.select("doc", F.lit(number).alias("segment"), "digest", "len")
+        added = rows.select("doc", "segment", "digest", "len")
         # documents are narrow rows, so the list of them is written anew; texts and postings are not
         state["docs"] = [self.folder.stage(kept.unionByName(added), "docs")]
-        state["segments"] = [*state["segments"], self._segment(rows, number, n_new, gone)]
+        state["segments"] = [*state["segments"], self._segment(rows, forward, number, n_new, gone)]
         whole = self._docs(state).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         state["n"], state["total"] = int(whole[0]), int(whole[1])
         self.folder.commit(base, state)
@@ -110,27 +200,30 @@ class SearchIndex:
         if not state:
             return
         current = self._docs(state).select("doc", "segment", "digest")
-        rows = materialize(self._forward(state).join(current, ["doc", "segment"]).drop("segment"), "current")
-        docs = self.folder.stage(rows.select("doc", F.lit(0).alias("segment"), "digest", "len"), "docs")
-        self.folder.commit(base, state | {"docs": [docs], "segments": [self._segment(rows, 0, state["n"])]})
+        rows = self._forward(state).join(current, ["doc", "segment"]).withColumn("segment", F.lit(0))
+        forward = self.folder.stage(rows, "forward")
+        rows = self.folder.read([forward], rows.schema)
+        docs = self.folder.stage(rows.select("doc", "segment", "digest", "len"), "docs")
+        self.folder.commit(base, state | {"docs": [docs], "segments": [self._segment(rows, forward, 0, state["n"])]})
+
+    @staticmethod
+    def _range(ranges: Column) -> Column:
+        return F.pmod(F.xxhash64("doc", F.lit(3)), ranges).cast("int")
 
-    def _segment(self, rows: DataFrame, number: int, n: int, gone: DataFrame | None = None) -> dict:
+    def _segment(self, rows: DataFrame, forward: str, number: int, n: int, gone: DataFrame | None = None) -> dict:
         """Write the postings of tokenised documents, and by how much documents per term change."""
+        ranges = max(1, -(-n // RANGE_DOCS))
         segment = F.lit(number).alias("segment")
-        place = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(max(1, -(-n // RANGE_DOCS)))).cast("int").alias("range")
-        posting = rows.select("doc", "len", place, F.explode("terms").alias("x"))
-        posting = posting.select("x.term", "range", F.struct("doc", F.col("x.tf").alias("tf"), "len").alias("p"))
+        place = self._range(F.lit(ranges)).alias("range")
         # a block holds the documents of one range at most; sorted, so that a reader skips row groups by their terms
-        blocks = posting.groupBy("term", "range").agg(
-            F.max("p.tf").alias("max_tf"), F.min("p.len").alias("min_len"), F.count("p").cast("int").alias("n"),
-            F.collect_list("p").alias("postings"),
-        )
-        blocks = blocks.select("term", segment, "range", "max_tf", "min_len", "n", "postings")
+        dealt = rows.select("doc", segment, "len", "terms", place).groupBy("segment", "range")
+        blocks = dealt.applyInArrow(range_blocks, self._block_schema({"id": T.StructType([rows.schema["doc"]]).jsonValue()}))
         change = rows.select(F.explode("terms.term").alias("term"), F.lit(1).cast("long").alias("change"))
         change = change.union(gone) if gone is not None else change
         counts = change.groupBy("term").agg(F.sum("change").alias("change")).where("change <> 0")
         return {
-            "forward": self.folder.stage(rows.select("doc", segment, "len", "terms"), "forward"),
+            "forward": forward,
+            "ranges": ranges,
             "blocks": self.folder.stage(blocks.sortWithinPartitions("term", "range"), "blocks"),
             "counts": self.folder.stage(counts, "counts"),
         }
@@ -175,18 +268,25 @@ class SearchIndex:
         depth = max(FIRST_RANGES, k)
         first = materialize(top_k(ranges, [qid], [F.desc("most"), "segment", "range"], depth).drop("rank"), "first-ranges")
 
+        terms = materialize(weights.select("term").distinct(), "query-terms")
+        blocks = self._blocks(state).join(terms, "term", "left_semi").select("segment", "range", "term", F.col("postings").alias("p"))
+        number = F.get(F.array(*[F.lit(s["ranges"]) for s in state["segments"]]), F.col("segment"))
+        current = self._docs(state).select("segment", self._range(number).alias("range"), "doc")
+        schema = T.StructType([weights.schema[qid], self._id(state), T.StructField("score", T.DoubleType())])
+        run = range_scores(qid, to_arrow_schema(schema), avgdl, k1, b)
+
         def scores(of: DataFrame) -> DataFrame:
-            wanted = of.select(qid, "segment", "range").join(weights, qid)
-            blocks = self._blocks(state).select("term", "segment", "range", F.col("postings").alias("p"))
-            # postings of documents that have changed since are skipped
-            found = blocks.join(wanted, ["term", "segment", "range"]).select(qid, "w", "segment", F.explode("p").alias("p"))
-            found = found.select(qid, "w", "segment", "p.*").join(self._docs(state).select("doc", "segment"), ["doc", "segment"], "left_semi")
-            return found.groupBy(qid, "doc").agg(F.round(F.sum(part(F.col("tf"), F.col("len"))), 6).alias("score"))
-
-        best = materialize(scores(first), "first-scores")
+            """Scores in some ranges, not below the floor of their query. Only blocks, documents and questions travel, each to
+            its range; what they have in common does not leave it."""
+            held = blocks.unionByName(current, True).join(of.select("segment", "range").distinct(), ["segment", "range"], "left_semi")
+            asks = of.select(qid, "segment", "range", "floor").join(weights, qid)
+            found = held.unionByName(asks, True).groupBy("segment", "range").applyInArrow(run, schema)
+            return found.withColumn("score", F.round("score", 6))
+
+        best = materialize(scores(first.withColumn("floor", F.lit(None).cast("double"))), "first-scores")
         kth = top_k(best, [qid], [F.desc("score")], k).groupBy(qid).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"))
         floor = kth.where(F.col("c") == k).select(qid, (F.col("least") - SLACK).alias("floor"))
-        rest = ranges.join(floor, qid, "left").where("floor IS NULL OR most >= floor").drop("floor")
+        rest = ranges.join(floor, qid, "left").where("floor IS NULL OR most >= floor")
         rest = materialize(rest.join(first.select(qid, "segment", "range"), [qid, "segment", "range"], "left_anti"), "further-ranges")
         hits = best.unionByName(scores(rest)).where("score > 0")
         hits = top_k(hits, [qid], [F.desc("score"), "doc"], k).select(qid, F.col("doc").alias(self.id_col), "score", "rank")
