@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import sentences, tokenize
 from loomgraph.operators.nearest import InvertedFile, calibrated_probes, nearest_in_lists, nearest_k
@@ -74,6 +79,60 @@ def text_index(
     return TextIndex(keys, postings, terms, totals)
 
 
+#: Rows whose tokens are counted together.
+ROWS_AT_ONCE = 1000
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+
+
+def count_terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with (term, tf) of each row's ``tokens`` as ``terms``, in order. A row is counted by itself, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
+                tokens = rows.column("tokens")
+                names, code = in_order(tokens.flatten())
+                row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+                key, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
+                row, code = np.divmod(key, max(1, len(names)))
+                terms = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(tf)], ["term", "tf"])
+                offsets = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)), pa.int32())
+                kept = {n: rows.column(n) for n in rows.schema.names if n != "tokens"}
+                yield pa.RecordBatch.from_pydict(kept | {"terms": pa.ListArray.from_arrays(offsets, terms)})
+
+    return docs.mapInArrow(run, T.StructType([*docs.drop("tokens").schema.fields, T.StructField("terms", TERMS)]))
+
+
+def in_order(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different values in order, and the place of each value among them."""
+    known = values.dictionary_encode()
+    order = pc.sort_indices(known.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return known.dictionary.take(order), place[known.indices.to_numpy(zero_copy_only=False)]
+
+
+def counted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, len, df, n, avgdl): every posting beside its term's and the table's counts.
+
+    The texts are read twice. The first pass counts documents per term and, under the empty term, all documents and tokens; only
+    sums leave its tasks. The second counts tokens inside their row; postings meet the counts, which Spark broadcasts when they
+    are small, and travel once otherwise.
+    """
+    tokens = docs.select(id_col, tokenize(F.col(text_col)).alias("tokens"))
+    sized = tokens.select(id_col, F.size("tokens").cast("long").alias("len"), "tokens")
+    # no token is empty
+    seen = unnest(sized, ["len"], F.array_distinct(F.array_append("tokens", F.lit(""))), "term")
+    stats = materialize(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("total")), "term-counts")
+    whole = stats.where("term = ''").first()
+    n, total = (whole["df"], whole["total"]) if whole else (0, 0)
+    postings = unnest(count_terms(sized), [id_col, "len"], F.col("terms"), "x").select(id_col, "x.term", "x.tf", "len")
+    return salted_join(postings, stats.select("term", "df"), ["term"], F.col(id_col)).select(
+        id_col, "term", "tf", "len", "df", F.lit(n).cast("long").alias("n"), F.round(F.lit(total / n if n else None).cast("double"), 6).alias("avgdl")
+    )
+
+
 def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
     """Query tokens with their repeat count."""
     return (

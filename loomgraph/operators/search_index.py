@@ -10,8 +10,6 @@ document of a range, and ranges below the floor are never unpacked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,52 +19,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import tokenize
-from loomgraph.operators.retrieval import B, K1, lucene_idf, query_terms
+from loomgraph.operators.retrieval import B, K1, count_terms, in_order, lucene_idf, query_terms
 from loomgraph.operators.scale import salted_join, top_k
 from loomgraph.session import materialize
 from loomgraph.sources.versioned import VersionedFolder
 
 RANGE_DOCS = 64
-#: Rows whose tokens are counted together.
-ROWS_AT_ONCE = 1000
 #: Ranges of each query that the first pass scores at least.
 FIRST_RANGES = 10
 #: Scores are rounded to six digits; bounds this much below the floor still count.
 SLACK = 1e-5
 
 
-TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
-
-
-def count_terms(docs: DataFrame) -> DataFrame:
-    """``docs`` with (term, tf) of each row's ``tokens`` as ``terms``, in order. A row is counted by itself, so nothing is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(start, ROWS_AT_ONCE)
-                tokens = rows.column("tokens")
-                names, code = in_order(tokens.flatten())
-                row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
-                key, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
-                row, code = np.divmod(key, max(1, len(names)))
-                terms = pa.StructArray.from_arrays([names.take(pa.array(code)), pa.array(tf)], ["term", "tf"])
-                offsets = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)), pa.int32())
-                kept = {n: rows.column(n) for n in rows.schema.names if n != "tokens"}
-                yield pa.RecordBatch.from_pydict(kept | {"terms": pa.ListArray.from_arrays(offsets, terms)})
-
-    return docs.mapInArrow(run, T.StructType([*docs.drop("tokens").schema.fields, T.StructField("terms", TERMS)]))
-
-
-def in_order(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The different values in order, and the place of each value among them."""
-    known = values.dictionary_encode()
-    order = pc.sort_indices(known.dictionary)
-    place = np.empty(len(order), np.int64)
-    place[order.to_numpy()] = np.arange(len(order))
-    return known.dictionary.take(order), place[known.indices.to_numpy(zero_copy_only=False)]
-
-
 def range_blocks(table: pa.Table) -> pa.Table:
     """The blocks of one range of a segment, from its documents."""
     table = table.combine_chunks()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators import evaluation as E
 from loomgraph.operators import passages as P
+from loomgraph.operators import retrieval as R
 
 
 def plan(df):
@@ -37,3 +38,11 @@ def test_kappa_reads_its_pairs_once(spark):
     pairs = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), (None, "x")], "a string, b string").mapInArrow(seen, "a string, b string")
     k = E.cohen_kappa(pairs, "a", "b").first()
     assert (k.n, k.observed, k.expected, k.kappa) == (4, 0.5, 0.375, 0.2) and asked.value == 4
+
+
+def test_counted_index_deals_no_token(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "a")], "doc_id long, text string")
+    index = R.counted_index(docs, "doc_id", "text")
+    assert "HashAggregate" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in index.collect()) == [(1, "a", 1, 3, 2, 3, 1.333333), (1, "b", 2, 3, 1, 3, 1.333333), (3, "a", 1, 1, 2, 3, 1.333333)]
+    assert R.counted_index(docs.where("false"), "doc_id", "text").count() == 0

@@ -110,6 +110,6 @@ def test_second_writer_is_told(spark):
 def test_nothing_but_whole_rows_travels(spark):
     """Blocks and scores are made where a range lies: no exchange of single postings or hits."""
     rows_in = texts(spark, [(1, "b a b"), (2, None), (3, "c")]).select("doc_id", R.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    counted = S.count_terms(rows_in)
+    counted = R.count_terms(rows_in)
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc_id, [tuple(x) for x in r.terms]) for r in counted.orderBy("doc_id").collect()] == [(1, [("a", 1), ("b", 2)]), (2, []), (3, [("c", 1)])]
