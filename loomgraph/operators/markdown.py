@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import is_blank
+from loomgraph.functions.text import bind, is_blank
 from loomgraph.operators.scale import ordered_concat, unnest
 from loomgraph.operators.sections import block_bucket
 
@@ -33,10 +33,12 @@ def markdown_to_blocks(docs: DataFrame) -> DataFrame:
     from the first line followed by a separator line to the end of the run of table lines.
     The text of a table holds its rows with trimmed cells; of an image its address.
     """
-    lines = F.split("text", r"\r\n|\n|\r")
-    zipped = F.transform(
-        lines,
-        lambda s, i: F.struct(s.alias("line"), F.get(lines, i - 1).alias("prev"), F.get(lines, i + 1).alias("next")),
+    # bound, because an expression named inside the lambda would be computed again for every line
+    zipped = bind(
+        F.split("text", r"\r\n|\n|\r"),
+        lambda lines: F.transform(
+            lines, lambda s, i: F.struct(s.alias("line"), F.get(lines, i - 1).alias("prev"), F.get(lines, i + 1).alias("next"))
+        ),
     )
     rows = unnest(docs, ["doc_id"], zipped, "x", "position").select(
         "doc_id", F.col("position").cast("long").alias("position"), "x.line", "x.prev", "x.next"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import evaluation as E
+from loomgraph.operators import markdown as M
 from loomgraph.operators import passages as P
 from loomgraph.operators import retrieval as R
 
@@ -46,3 +47,10 @@ def test_counted_index_deals_no_token(spark):
     assert "HashAggregate" not in index._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in index.collect()) == [(1, "a", 1, 3, 2, 3, 1.333333), (1, "b", 2, 3, 1, 3, 1.333333), (3, "a", 1, 1, 2, 3, 1.333333)]
     assert R.counted_index(docs.where("false"), "doc_id", "text").count() == 0
+
+
+def test_markdown_lines_split_once(spark):
+    docs = spark.createDataFrame([(1, "# a\r\n| x |\n|---|\n| y |\n")], "doc_id long, text string")
+    blocks = M.markdown_to_blocks(docs)
+    assert plan(blocks).count("split(text#") == 1
+    assert sorted(tuple(r) for r in blocks.collect()) == [(1, 0, "HEADING1", "a"), (1, 1, "TABLE", "x\ny")]
