@@ -88,3 +88,13 @@ def test_yield_rounds_a_half_up(spark, odd):
     ok, message, *_ = compare(spark, con, folder, entry.queries()["extract_yield"], entry.oracle_sql()["extract_yield"])
     assert ok, message
     assert [r.decisions_per_document for r in entry.queries()["extract_yield"](spark, folder).collect()] == [0.064063]
+
+
+def test_a_conversation_without_an_id_keeps_its_failure(spark, odd):
+    import __spark_entry__ as entry
+
+    folder, con = odd([(c, 0, "user", "One two three") for c in (None, 11, 12)])
+    ok, message, *_ = compare(spark, con, folder, entry.queries()["first_valid_attempt"], entry.oracle_sql()["first_valid_attempt"])
+    assert ok, message
+    rows = entry.queries()["first_valid_attempt"](spark, folder).collect()
+    assert {tuple(r) for r in rows} == {(None, None, "no_json"), (2, 11, "no_json"), (3, 12, "invalid_json")}
