@@ -98,3 +98,32 @@ def test_a_conversation_without_an_id_keeps_its_failure(spark, odd):
     assert ok, message
     rows = entry.queries()["first_valid_attempt"](spark, folder).collect()
     assert {tuple(r) for r in rows} == {(None, None, "no_json"), (2, 11, "no_json"), (3, 12, "invalid_json")}
+
+
+def ids(spark, folder):
+    import __spark_entry__ as entry
+
+    return {r.document_id for r in entry.queries()["chunk_sft_pairs"](spark, folder).collect()}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_turn_without_text_loses_no_conversation(spark, odd, name):
+    import __spark_entry__ as entry
+
+    folder, con = odd([(15, 0, "user", None), (15, 1, "assistant", "One two three"), (16, 0, "user", None), (17, 0, "user", "One"), (17, 1, "user", None)])
+    ok, message, *_ = compare(spark, con, folder, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, message
+    assert ids(spark, folder) == {15, 17}
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("turn", [0, None])
+def test_equal_turns_come_by_their_words(spark, odd, name, turn):
+    import __spark_entry__ as entry
+
+    # cut at 60 characters, response 468 is JSON only if the turn without further words gives the summary
+    heads = [(468, "Two words"), (468, "One two three four five six"), (476, "One two three four five six"), (476, "Two words")]
+    folder, con = odd([(c, turn, "user", t) for c, t in heads] + [(c, None, "user", "Late") for c in (468, 476)])
+    ok, message, *_ = compare(spark, con, folder, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, message
+    assert ids(spark, folder) == {468, 476}
