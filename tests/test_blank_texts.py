@@ -24,7 +24,7 @@ def tables(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["judge_jobs", "judge_jobs_by_document"])
+@pytest.mark.parametrize("name", ["judge_jobs", "judge_jobs_by_document", "judge_join"])
 def test_jobs_equal_their_sql(spark, tables, name):
     import __spark_entry__ as entry
 
