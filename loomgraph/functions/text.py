@@ -65,9 +65,14 @@ def is_blank(col: Column) -> Column:
     return ~F.coalesce(col.rlike(r"\S"), F.lit(False))
 
 
+#: White space that ``strip`` removes, and the space characters of Unicode (category Zs), which SQL's ``trim`` removes.
+WHITE = " \t\n\x0b\f\r"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.trim(col, F.lit(" \t\n\x0b\f\r"))
+    return F.trim(col, F.lit(WHITE))
 
 
 def tokenize(col: Column) -> Column:

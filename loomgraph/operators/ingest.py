@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import is_blank, strip
+from loomgraph.functions.text import WHITE, is_blank, strip
 from loomgraph.operators.scale import bucketed_row_number, first_per_key, top_k, unnest
 from loomgraph.operators.sections import BLOCK_BUCKET
 from loomgraph.session import materialize
@@ -99,10 +99,15 @@ def sync_targets(ledgers: list[DataFrame], triples: DataFrame, force: bool = Fal
     return rows.join(triples.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def paragraph_blocks(docs: DataFrame, max_paragraphs: int | None = None) -> DataFrame:
-    """(doc_id, position, text): trimmed non-blank paragraphs, a marker after the cap if there is one, or a placeholder."""
-    parts = F.filter(F.transform(F.split("text", r"\n+"), strip), lambda s: s != "")
-    kept = F.when(F.size(parts) == 0, F.array(F.lit(EMPTY_DOCUMENT)))
+def paragraph_blocks(
+    docs: DataFrame, max_paragraphs: int | None = None, placeholder: str | None = EMPTY_DOCUMENT, white: str = WHITE
+) -> DataFrame:
+    """(doc_id, position, text): trimmed non-blank paragraphs, a marker after the cap if there is one, or a placeholder.
+
+    Without ``placeholder`` a document without paragraphs has no row; ``white`` are the characters that are trimmed.
+    """
+    parts = F.filter(F.transform(F.split("text", r"\n+"), lambda s: F.trim(s, F.lit(white))), lambda s: s != "")
+    kept = F.when(F.size(parts) == 0, F.array() if placeholder is None else F.array(F.lit(placeholder)))
     if max_paragraphs is not None:
         cut = F.concat(F.slice(parts, 1, max_paragraphs), F.array(F.lit(TRUNCATED.format(n=max_paragraphs))))
         kept = kept.when(F.size(parts) > max_paragraphs, cut)
