@@ -117,8 +117,9 @@ def counted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, len, df, n, avgdl): every posting beside its term's and the table's counts.
 
     The texts are read twice. The first pass counts documents per term and, under the empty term, all documents and tokens; only
-    sums leave its tasks. The second counts tokens inside their row; postings meet the counts, which Spark broadcasts when they
-    are small, and travel once otherwise.
+    sums leave its tasks. The second counts tokens inside their row; postings and counts are dealt by term and meet there. Counts
+    are as many as the terms: by the size of their files, packed, Spark would take them for small and gather them in the driver.
+    A term has one posting in a document, and Spark splits the tasks of frequent ones, so counts need no copies.
     """
     tokens = docs.select(id_col, tokenize(F.col(text_col)).alias("tokens"))
     sized = tokens.select(id_col, F.size("tokens").cast("long").alias("len"), "tokens")
@@ -128,7 +129,7 @@ def counted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = stats.where("term = ''").first()
     n, total = (whole["df"], whole["total"]) if whole else (0, 0)
     postings = unnest(count_terms(sized), [id_col, "len"], F.col("terms"), "x").select(id_col, "x.term", "x.tf", "len")
-    return salted_join(postings, stats.select("term", "df"), ["term"], F.col(id_col)).select(
+    return postings.join(stats.select("term", "df").hint("merge"), "term").select(
         id_col, "term", "tf", "len", "df", F.lit(n).cast("long").alias("n"), F.round(F.lit(total / n if n else None).cast("double"), 6).alias("avgdl")
     )
 

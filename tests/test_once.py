@@ -49,6 +49,12 @@ def test_counted_index_deals_no_token(spark):
     assert R.counted_index(docs.where("false"), "doc_id", "text").count() == 0
 
 
+def test_term_counts_do_not_pass_the_driver(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "a")], "doc_id long, text string")
+    index = R.counted_index(docs, "doc_id", "text")
+    assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString() and "__salt" not in plan(index)
+
+
 def test_markdown_lines_split_once(spark):
     docs = spark.createDataFrame([(1, "# a\r\n| x |\n|---|\n| y |\n")], "doc_id long, text string")
     blocks = M.markdown_to_blocks(docs)
