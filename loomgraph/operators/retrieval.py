@@ -249,12 +249,15 @@ def latest_n(docs: DataFrame, created: str, id_col: str, n: int) -> DataFrame:
     return docs.orderBy(F.desc(created), F.col(id_col)).limit(n).withColumn("score", F.lit(0.0))
 
 
+def visible_documents(docs: DataFrame, space: str | None = None) -> DataFrame:
+    """Active or stale documents, optionally of one space."""
+    shown = docs.where(F.col("status").isin("ACTIVE", "STALE"))
+    return shown if space is None else shown.where(F.col("space") == space)
+
+
 def visible_chunks(chunks: DataFrame, docs: DataFrame, space: str | None = None) -> DataFrame:
     """Chunks of active or stale documents, optionally of one space."""
-    shown = docs.where(F.col("status").isin("ACTIVE", "STALE"))
-    if space is not None:
-        shown = shown.where(F.col("space") == space)
-    return chunks.join(shown.select("doc_id"), "doc_id", "left_semi")
+    return chunks.join(visible_documents(docs, space).select("doc_id"), "doc_id", "left_semi")
 
 
 def vector_topk(
@@ -271,11 +274,17 @@ def vector_topk(
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH) -> DataFrame:
-    """Chunks in which every query term occurs, ranked by damped term frequency."""
-    terms = query_terms(queries, "qid", "q")
+    """Chunks in which every query term occurs, ranked by damped term frequency.
+
+    Terms are counted inside their chunk's row, so its hits lie side by side and leave their task as one row for each query.
+    """
+    # written out, the terms have a known size: Spark broadcasts them when they are small
+    terms = materialize(query_terms(queries, "qid", "q").select("qid", "term"), "query-terms")
     need = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
-    index = text_index(chunks, "chunk_id", "text", terms)
-    hits = salted_join(index.postings, terms.select("qid", "term"), ["term"], F.col("chunk_id"))
+    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
+    counted = count_terms(tokens.select("chunk_id", F.size("tokens").cast("long").alias("len"), "tokens"))
+    postings = unnest(counted, ["chunk_id", "len"], F.col("terms"), "x").select("chunk_id", "x.term", "x.tf", "len")
+    hits = salted_join(postings, terms, ["term"], F.col("chunk_id"))
     matched = (
         hits.groupBy("qid", "chunk_id")
         .agg(
@@ -344,11 +353,20 @@ def hybrid_search(
     ``queries``: qid, q, qvec. The limit is clamped to 1..50.
     """
     shown = visible_chunks(chunks, docs, space)
+    return hybrid_of_shown(queries, shown, shown.where("embedding IS NOT NULL"), docs, limit, depth)
+
+
+def hybrid_of_shown(
+    queries: DataFrame, shown: DataFrame, vectors: DataFrame, docs: DataFrame, limit: int = 10, depth: int = LIST_DEPTH
+) -> DataFrame:
+    """``hybrid_search`` of visible chunks whose ``vectors`` (chunk_id, embedding) may lie in a table of their own."""
     fused = rrf_fuse(
-        vector_topk(shown.where("embedding IS NOT NULL"), queries.select("qid", "qvec"), depth),
+        vector_topk(vectors, queries.select("qid", "qvec"), depth),
         keyword_topk(shown, queries.select("qid", "q"), depth),
     )
-    # the fused list holds at most two list depths per query, so the joins below start from it
+    # the fused list holds at most two list depths per query, so the joins below start from it; written out, it has a known
+    # size, and the texts of the chunks need not be dealt to meet it
+    fused = materialize(fused, "fused")
     located = fused.join(shown.select("chunk_id", "doc_id", "heading_path", "text"), "chunk_id")
     best = first_per_key(located, ["qid", "doc_id"], [F.desc("score"), "chunk_id"])
     hits = top_k(best, ["qid"], [F.desc("score"), "doc_id"], max(1, min(limit, 50)))

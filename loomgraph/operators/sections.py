@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomgraph.functions.text import is_blank
+from loomgraph.functions.text import WHITE, is_blank
 from loomgraph.operators.scale import bucketed_row_number, ordered_concat, prefix_scan
 
 NODE = "struct<type:string,content:array<struct<type:string,text:string>>>"
@@ -108,6 +113,73 @@ def fixed_chunks(sections: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return numbered.select("doc_id", "section", "ordinal", "heading_path", "text")
 
 
+#: Characters of chunks that a task hands on together, about.
+CHARS_AT_ONCE = 4 << 20
+
+
+def sections_in_order(title: str | None, types: list[str], texts: list[str]) -> Iterator[tuple[int, str | None, str]]:
+    """(section, heading path, text) of one document's blocks, as ``heading_sections`` has them."""
+    section, h1, h2, f2, body = 0, None, None, None, []
+
+    def closed() -> Iterator[tuple[int, str | None, str]]:
+        if body:
+            slot = h1 or f2
+            below = h2[1] if slot and h2 and h2[0] > slot[0] else None
+            path = title
+            if slot and title is not None:
+                path = " > ".join([title, slot[1], *([below] if below is not None else [])])
+            yield section, path, "\n".join(body)
+
+    for at, (kind, text) in enumerate(zip(types, texts)):
+        if kind not in HEADINGS:
+            if text.strip(WHITE):
+                body.append(text)
+            continue
+        yield from closed()
+        section, body = section + 1, []
+        if kind == "HEADING1":
+            h1 = (at, text)
+        elif kind == "HEADING2":
+            h2 = (at, text)
+            f2 = f2 or h2
+    yield from closed()
+
+
+def document_chunks(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """``fixed_chunks`` of the ``heading_sections`` of documents that hold their blocks in one row: nothing is shuffled.
+
+    ``docs``: doc_id, title, and the arrays types and texts in block order. A document without an id has no chunks.
+    """
+    rows = docs.where("doc_id IS NOT NULL AND texts IS NOT NULL").select("doc_id", "title", "types", "texts")
+    schema = T.StructType(
+        [rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("section", "ordinal")), *(T.StructField(n, T.StringType()) for n in ("heading_path", "text"))]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, chars = [], 0
+            ids = batch.column(0)
+            for row, (title, types, texts) in enumerate(zip(*(batch.column(i) for i in (1, 2, 3)))):
+                ordinal = 0
+                for section, path, text in sections_in_order(title.as_py(), types.as_py(), texts.as_py()):
+                    for start in range(0, len(text), size):
+                        ordinal += 1
+                        out.append((row, section, ordinal, path, text[start : start + size]))
+                    chars += len(text)
+                if chars >= CHARS_AT_ONCE:
+                    yield packed(ids, out)
+                    out, chars = [], 0
+            if out:
+                yield packed(ids, out)
+
+    def packed(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        row, *columns = zip(*out)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def chunk_diff(pieces: DataFrame, stored: DataFrame, status: DataFrame) -> DataFrame:
     """What to do with the chunks of each document.
 
