@@ -315,6 +315,8 @@ def proximity_topk(chunks: DataFrame, queries: DataFrame, k: int = LIST_DEPTH, s
         .where("have = need")
         .select("qid", "chunk_id", "need")
     )
+    # written out, its size is known: where chunks with all terms are few, the places of the others are not dealt
+    whole = materialize(whole, "whole-chunks")
     chunk = Window.partitionBy("qid", "chunk_id").orderBy("pos")
     before = F.collect_list(F.struct("pos", "term")).over(chunk.rangeBetween(-span, -1))
 
